@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import langid, quality
+from heliograph.llm import langid, quality, simhash
 from heliograph.llm.common import crc_mod, table
 
 
@@ -25,9 +25,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_classifier": op3_quality_classifier,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
