@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import langid, neardup_vectors, packing, quality, simhash, substring_dedup
+from heliograph.llm import decontaminate, langid, neardup_vectors, packing, quality, simhash, substring_dedup, urlfilter
 from heliograph.llm.common import crc_mod, table
 
 
@@ -48,6 +48,32 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document; all others are clean."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Rules (host, path, verdict), longest first to win.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+#: Sites whose canonical roots are listed for blocking, under each of the domains.
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_DOMAINS = ["example.com", "example.net", "example.org"]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = [(f"{site}.{domain}", "/", "block", "listed") for site in LISTED_SITES for domain in LISTED_DOMAINS]
+    entries = spark.createDataFrame([(*rule, "rule") for rule in URL_RULES] + listed, "host string, path string, verdict string, kind string")
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), entries)
+    rule = F.when(F.col("entry_kind") == "rule", F.col("entry"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("entry_verdict", F.lit("allow")).alias("verdict"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -55,7 +81,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_url_filters": op10_url_filters,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_url_filters": """
+        WITH cut AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parsed AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), judged AS (
+            SELECT *, CASE
+                WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+                WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule,
+                regexp_matches('.' || host, '[.](ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$') AND starts_with(path, '/') AS listed
+            FROM parsed
+        )
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
+        FROM judged
+    """,
+}

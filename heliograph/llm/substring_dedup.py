@@ -23,63 +23,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.wordhash import hash_texts, mix
+
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 #: Text in a batch, and text whose hashes meet in one partition (bytes, on average).
 BATCH_BYTES = 4 << 20
 PARTITION_BYTES = 20 << 20
-SEGMENT = 1 << 21
 LAST = np.iinfo(np.int64).max
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-_random = np.random.default_rng(7)
-BYTE_HASH = _random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_random.integers(0, 1 << 62)) * 4 + 3
-PLACE = _random.integers(0, 1 << 63, BLOCK, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _segment_hashes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    size = max(SEGMENT + 4096, 1 << (len(raw) + 1).bit_length()) if len(raw) >= SEGMENT + 4096 else SEGMENT + 4096
-    up, down = _powers(size)
-    space = SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[raw] * up[: len(raw)], dtype=np.uint64)])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash for each word, in bounded memory whatever the length of the text."""
-    parts, at = [], 0
-    while at < len(data):
-        end = at + SEGMENT
-        if end < len(data):
-            while end < len(data) and not SPACE[data[end]]:
-                end += 1
-        parts.append(_segment_hashes(data[at:end]))
-        at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+PLACE = np.random.default_rng(77).integers(0, 1 << 63, BLOCK, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Batch:
@@ -88,23 +46,7 @@ class Batch:
     def __init__(self, ids, texts):
         self.ids = np.array([LAST if pd.isna(i) else int(i) for i in ids], np.int64)
         self.texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
-        small = all(len(t) < SEGMENT // 8 for t in self.texts)
-        if small:  # hash many texts at once
-            hashes, counts, held, size = [], [], [], 0
-            for t in [*self.texts, None]:
-                if t is None or size + len(t) >= SEGMENT:
-                    hashes.append(_segment_hashes(b"\n".join(held)))
-                    held, size = [], 0
-                if t is not None:
-                    held.append(t)
-                    size += len(t) + 1
-                    counts.append(len(t.split()))
-            words = np.concatenate(hashes)
-        else:
-            each = [word_hashes(t) for t in self.texts]
-            counts = [len(h) for h in each]
-            words = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        self.counts = np.array(counts, np.int64)
+        words, self.counts = hash_texts(self.texts)
         self.firsts = np.concatenate([[0], np.cumsum(self.counts)])
         n = len(words)
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
