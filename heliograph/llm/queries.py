@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontaminate, langid, neardup_vectors, packing, quality, secrets, simhash, substring_dedup, urlfilter
+from heliograph.llm import decontaminate, langid, neardup_vectors, packing, pii, quality, secrets, simhash, substring_dedup, urlfilter
 from heliograph.llm.common import crc_mod, table
 
 
@@ -45,6 +45,15 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score")
 
 
+#: A deployment passes its own key.
+PII_KEY = b"heliograph example key"
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document with an entity, with its rewritten text; all others are as they were."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
