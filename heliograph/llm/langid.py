@@ -167,3 +167,16 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(score, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def accept(docs: DataFrame, model: LanguageModel | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language with a score of at least ``least``, unchanged."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        langs, sure = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
+        return pd.Series([lang != "und" and s >= least for lang, s in zip(langs, sure)], dtype=bool)
+
+    return docs.where(good(F.col(text_col)))

@@ -24,9 +24,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.bloom import maybe_in
 from heliograph.llm.common import bound_batches, cut
 from heliograph.llm.components import connected_components
 
@@ -34,6 +35,8 @@ SEED = 42
 #: Fingerprints of one key that are compared at once; more are cut into blocks of about this many.
 BLOCK = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: For deduplicate(): random tables of so many of the 64 bits each, and the radius within which texts are compared.
+SAMPLED_TABLES, SAMPLED_BITS, WIDE_RADIUS = 64, 18, 13
 #: The set bits of each byte value.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -62,17 +65,22 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart that differ in id or text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(id, row, fp) for every row; fp is the fingerprint as a signed long, row the row_key."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t if isinstance(t, str) else None, width) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "id long, row long, fp long")
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------
@@ -227,3 +235,108 @@ def group(docs: DataFrame, width: int = 5, radius: int = 4, id_col: str = "doc_i
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+# --- groups of similar texts ----------------------------------------------------------------------
+
+
+def sampled_tables() -> list[int]:
+    """Masks of SAMPLED_BITS random bits, the same at every call."""
+    random = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in random.choice(64, SAMPLED_BITS, replace=False)) for _ in range(SAMPLED_TABLES)]
+
+
+def _group_numbers(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    cols = [frame[k].to_numpy() for k in keys]
+    return np.cumsum(np.concatenate([[0], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j whose sets have a Jaccard similarity of at least similarity; exact, by incidence products."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    if n <= 12:
+        shared = np.zeros((n, n))
+        for i in range(n):
+            for j in range(i + 1, n):
+                if min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]):
+                    shared[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = counts[inverse] > 1  # what only one text has is shared with none
+        rank = np.cumsum(counts > 1) - 1
+        row, col = np.repeat(np.arange(n), sizes.astype(np.int64))[common], rank[inverse[common]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        shared = np.zeros((n, n), np.float32)
+        for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, 8192):
+            a, b = np.searchsorted(col, [at, at + 8192])
+            incidence = np.zeros((n, 8192), np.float32)
+            incidence[row[a:b], col[a:b] - at] = 1
+            shared += incidence @ incidence.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    return np.nonzero(np.triu((shared >= similarity * union) & (shared > 0), 1))
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): fingerprints of classes(fp, row) whose texts' shingle sets have a Jaccard similarity of at least similarity.
+
+    Candidates share SAMPLED_BITS fingerprint bits in one of SAMPLED_TABLES tables and differ in at most
+    WIDE_RADIUS bits; the texts of those, and only those, are read again and compared exactly.
+    """
+    keys = ["t", "key", "lo", "hi"]
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, keys):
+            left, right = close_pairs(frame["fp"].to_numpy().view(np.uint64), WIDE_RADIUS)
+            group_of = _group_numbers(frame, keys)
+            same = group_of[left] == group_of[right]
+            some = np.unique(np.concatenate([left[same], right[same]]))
+            if len(some):
+                yield frame.iloc[some]
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique((shingle_hashes(t if isinstance(t, str) else None, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"fp": batch["fp"], "shingles": sets})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, keys, 256):
+            group_of = _group_numbers(frame, keys)
+            fps, data = frame["fp"].to_numpy(), frame["shingles"].tolist()
+            for at in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(group_of)) + 1):
+                left, right = _similar([np.frombuffer(data[i], np.uint32) for i in at], similarity)
+                label = spanning(len(at), left, right)
+                moved = np.flatnonzero(label != np.arange(len(at)))
+                if len(moved):
+                    yield pd.DataFrame({"u": fps[at[moved]], "v": fps[at[label[moved]]]})
+
+    dealt = blocked(classes.select("fp"), sampled_tables()).select(*keys, "fp")
+    found = cut(dealt.mapInPandas(near, "t int, key long, lo int, hi int, fp long"), "candidates")
+    wanted = found.select("fp").distinct().join(classes, "fp").select("fp", "row")
+    maybe = maybe_in(wanted.select(F.col("row").alias("h")))
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where(maybe("row"))
+    sets = texts.join(wanted, "row").dropDuplicates(["fp"]).select("fp", "text").mapInPandas(shingles, "fp long, shingles binary")
+    return found.join(sets, "fp").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp", "shingles").mapInPandas(verify, "u long, v long")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each group: the one with the smallest id (rows without an id come last).
+
+    Texts with equal fingerprints, and texts linked by similar_links, are a group. Only rows that may go, and
+    those that meet them in a Bloom filter, are shuffled; the rest stay where they are.
+    """
+    bound_batches(docs.sparkSession)
+    fps = cut(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("fp", "first", F.col("first.row").alias("row"))
+    classes = cut(classes, "classes")
+    found = connected_components(similar_links(docs, classes, width, similarity, id_col, text_col))
+    rooted = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays")).select("root", F.col("stays.row").alias("stays"))
+    fate = rooted.join(stays, "root").select("fp", "stays")
+    counted = fps.groupBy("fp", "row").agg(F.count(F.lit(1)).alias("n")).join(fate, "fp")
+    touched = cut(counted.where("row != stays or n > 1").select(F.col("row").alias("__row"), (F.col("row") == F.col("stays")).alias("__stays")).distinct(), "touched")
+    maybe = maybe_in(touched.select(F.col("__row").alias("h")))
+    keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__maybe", maybe("__key"))
+    met = keyed.where("__maybe").join(touched, F.col("__key") == F.col("__row"), "left").where(F.coalesce("__stays", F.lit(True))).dropDuplicates(["__key"])
+    return keyed.where("not __maybe").select(*docs.columns).unionByName(met.select(*docs.columns))

@@ -5,10 +5,8 @@ entry's host or below it, and the URL's path starts with the entry's path; of th
 longest wins, ``block`` before ``allow`` among equals. The candidates of a URL are its host's suffixes
 (of the label counts that the list has) joined with its path's prefixes (of the lengths that the list has).
 
-The Bloom filter is cut into blocks of 512 bits, eight 64-bit words, one bit set in each; an entry
-touches one block. It is built by tasks, merged by bit_or and never larger than MAX_BLOCKS blocks,
-whatever the list's length: a long list makes it less selective, not wrong. Only candidates that pass it
-reach the exact hash join with the list, which removes the false positives. URLs are judged once each.
+Only candidates that pass the blocked Bloom filter of the list (see bloom.py) reach the exact hash join
+with the list, which removes the false positives. URLs are judged once each.
 
 A null URL and one without "://" have an empty host and path and fit no entry. Rows with null ids,
 repeated rows and further columns are kept as they are.
@@ -16,18 +14,12 @@ repeated rows and further columns are kept as they are.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of 64 bytes: at most 16 MB. Bits for each entry below that.
-MAX_BLOCKS = 1 << 18
-BITS_PER_ENTRY = 16
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Odd multipliers that choose the bit in each word of a block.
-SALTS = np.random.default_rng(10).integers(0, 1 << 31, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+from heliograph.llm.bloom import maybe_in
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
@@ -39,50 +31,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each hash and its bit in each of the block's words."""
-    h = hashes.astype(np.int64).view(np.uint64)
-    block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-    low = h & np.uint64(0xFFFFFFFF)
-    bits = ((low[:, None] * SALTS[None, :]) & np.uint64(0xFFFFFFFF)) >> np.uint64(26)
-    return block, np.uint64(1) << bits
-
-
-def bloom_filter(keys: DataFrame) -> np.ndarray:
-    """The filter of keys(h): blocks x 8 words."""
-    blocks = int(min(MAX_BLOCKS, 1 + keys.count() * BITS_PER_ENTRY // 512))
-
-    def part(batches):
-        words = np.zeros((blocks, 8), np.uint64)
-        for batch in batches:
-            block, bits = _places(batch["h"].to_numpy(), blocks)
-            np.bitwise_or.at(words, block, bits)
-        at = np.flatnonzero(words)
-        yield pd.DataFrame({"at": at, "word": words.reshape(-1)[at].view(np.int64)})
-
-    merged = keys.mapInPandas(part, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    words = np.zeros(blocks * 8, np.int64)
-    for row in merged.collect():  # at most MAX_BLOCKS * 8 words
-        words[row["at"]] = row["word"]
-    return words.view(np.uint64).reshape(blocks, 8)
-
-
 def judge(pages: DataFrame, entries: DataFrame, url_col: str = "url") -> DataFrame:
     """pages with host, path, entry, entry_kind and entry_verdict (null where none fits).
 
     entries(host, path, verdict, kind): within the longest fitting entries of each kind, see above.
     """
-    spark = pages.sparkSession
     listed = entries.select(F.concat("host", "path").alias("entry"), "verdict", "kind", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n")).distinct()
     shapes = [(r["labels"], r["n"]) for r in listed.select("labels", "n").distinct().collect()]
-    filter_words = spark.sparkContext.broadcast(bloom_filter(listed.select(F.xxhash64("entry").alias("h")).distinct()))
-
-    @F.pandas_udf("boolean")
-    def maybe(hashes: pd.Series) -> pd.Series:
-        words = filter_words.value
-        block, bits = _places(hashes.to_numpy(), len(words))
-        return pd.Series(((words[block] & bits) == bits).all(1))
-
+    maybe = maybe_in(listed.select(F.xxhash64("entry").alias("h")).distinct())
     parsed = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     labels = F.split("host", r"\.")
     keys = [F.when((F.size(labels) >= n) & (F.length("path") >= k) & (F.col("host") != ""), F.concat(F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n), "."), F.substring("path", 1, k))) for n, k in shapes]
