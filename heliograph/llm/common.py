@@ -1,10 +1,7 @@
-"""What the training-data operators share: table access, the shared folder, Arrow bounds."""
+"""What the training-data operators share: table access, Arrow bounds, folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +19,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the plan above starts from files that survive a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n (the folds that the labels are split by)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

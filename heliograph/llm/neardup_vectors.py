@@ -27,9 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches, cut
-from heliograph.llm.components import connected_components
+from heliograph.llm.common import bound_batches
 from heliograph.llm.simhash import spanning, whole_groups
+from heliograph.operators.components import connected_components
+from heliograph.shared import cut
 
 TABLES = 8
 ROUNDS = 3

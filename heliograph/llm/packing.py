@@ -22,7 +22,9 @@ once each. Rows with a null id are packed too. An empty table packs into nothing
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,12 +33,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches, cut
+from heliograph.llm.common import bound_batches
+from heliograph.shared import cut
 
 CAPACITY = 4096
 END_ID = 1
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+STOPS = (b".", b",")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte (a fixed rule)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
 #: Words a worker remembers the ids of.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Buckets that equal lengths are ranked in.
 RANK_BUCKETS = 256
 
@@ -49,20 +64,60 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        #: Letters decide whether a special token is one, so words that may hold one are left alone.
+        self.special = {t.content[:1].encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+
+        self.bare = self._is_bare()
+
+    def _bare_ids(self, text: str) -> list[int]:
+        """ids of one run of lower-case letters, straight from the model."""
+        return [t.id for t in self.tokenizer.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, text.encode())))]
+
+    def _is_bare(self) -> bool:
+        """Whether letters reach the model as they are, byte by byte."""
+        probe = ["the", "a", "tokenization", "zxqv", "élève", "straße", "ñandú", "привет", "日本語"]
+        try:
+            return all(self._bare_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        except Exception:  # a model of another kind
+            return False
+
+    def _learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.bare and text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                self.known[w] = array("I", self._bare_ids(text)).tobytes()
+            else:
+                rest.append((w, text))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + 2 * len(new) > REMEMBERED:
             self.known = {}
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+            new = words
+        # The tokenizer lower-cases and cuts between a letter and a full stop or comma, so most new words are
+        # known ones in another dress. Combining marks (lead bytes CC and CD) may join the letter before them.
+        bases = {}
+        for w in new:
+            if b"\xcc" not in w and b"\xcd" not in w and not any(x in w for x in self.special):
+                low = w.translate(LOWER)
+                if low[-1:] in STOPS and low[-2:-1].isalpha():
+                    bases[w] = (low[:-1], low[-1:])
+                elif low != w:
+                    bases[w] = (low, b"")
+        known = self.known
+        self._learn(list({x for pair in bases.values() for x in pair if x}.union(w for w in new if w not in bases).difference(known)))
+        for w, (base, stop) in bases.items():
+            known[w] = known[base] + known[stop] if stop else known[base]
+        find = known.__getitem__
+        return [b"".join(map(find, ws)) for ws in split]
 
 
 #: One for each tokenizer file in a worker process, kept from task to task.

@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.bloom import maybe_in
-from heliograph.llm.common import bound_batches, cut
-from heliograph.llm.components import connected_components
+from heliograph.llm.common import bound_batches
+from heliograph.operators.components import connected_components
+from heliograph.shared import cut
 
 SEED = 42
 #: Fingerprints of one key that are compared at once; more are cut into blocks of about this many.
