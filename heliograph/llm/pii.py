@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.llm.common import bound_batches, cut
+from heliograph.llm.common import bound_batches
+from heliograph.shared import cut
 
 #: Common given names by gender, and titles.
 FEMALE = ["Alice", "Amelia", "Anna", "Barbara", "Camille", "Carmen", "Carol", "Charlotte", "Chloe", "Claire", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Greta", "Hannah", "Helen", "Ingrid", "Isabel", "Jane", "Jennifer", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Monica", "Nancy", "Olivia", "Patricia", "Paula", "Rachel", "Sarah", "Sofia", "Sophie", "Susan", "Teresa"]
@@ -44,8 +45,9 @@ NUMERIC = re.compile("|".join([SSN, IP, CARD, PHONE]))
 #: Digits, or a plus sign or parenthesis before them, are where a search by NUMERIC is worth its time.
 NUMERIC_HINT = re.compile(r"\d[\d.()\- ]{5,}\d")
 MAILS, IBANS = re.compile(EMAIL), re.compile(IBAN)
-PERSON = re.compile(r"\b(?:(?P<title>" + "|".join(TITLES) + r")\.? )?(?P<first>[^\W\d_a-z][^\W\d_]+)(?: (?P<last>[^\W\d_a-z][^\W\d_]+))?")
-NAME_HINT = re.compile(r"\b(?:" + "|".join([*FEMALE, *MALE]) + r") [^\W\d_]|\b(?:" + "|".join(TITLES) + r")\.? [^\W\d_]")
+_SURE = "|".join([*FEMALE, *MALE, *(n.upper() for n in [*FEMALE, *MALE])])
+#: A title and one or two capitalised words, or a given name and a capitalised word.
+PERSON = re.compile(r"\b(?=[^\W\d_a-z])(?:(?P<title>" + "|".join(TITLES) + r")\.? (?P<first>[^\W\d_a-z][^\W\d_]+)(?: (?P<last>[^\W\d_a-z][^\W\d_]+))?|(?P<given>" + _SURE + r") (?P<family>[^\W\d_a-z][^\W\d_]+))")
 
 #: Code point ranges of letters that are replaced among themselves: (first upper, first lower, count).
 SCRIPTS = [(0x41, 0x61, 26), (0x391, 0x3B1, 17), (0x410, 0x430, 32), (0x531, 0x561, 38)]
@@ -73,13 +75,11 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             kind = m.lastgroup or ""
             found.append((*m.span(), kind, m.group() if kind == "ip" else re.sub(r"\D", "", m.group())))
         found += [(*m.span(), "iban", m.group().replace(" ", "")) for m in IBANS.finditer(text)]
-    if NAME_HINT.search(text):
-        for m in PERSON.finditer(text):
-            first, last, title = m.group("first"), m.group("last"), m.group("title")
-            gender = GENDER.get(first.lower(), TITLES.get(title or "", ""))
-            if title or (last and first.lower() in GENDER):
-                start = m.start("first")
-                found.append((start, m.end(), "name", f"{gender}|{m.group()[start - m.start() :].lower()}"))
+    for m in PERSON.finditer(text):
+        part = "first" if m.group("title") else "given"
+        gender = GENDER.get(m.group(part).lower(), TITLES.get(m.group("title") or "", ""))
+        start = m.start(part)
+        found.append((start, m.end(), "name", f"{gender}|{text[start : m.end()].lower()}"))
     found.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str, str]] = []
     for x in found:
