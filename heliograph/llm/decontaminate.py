@@ -68,8 +68,7 @@ class SeedIndex:
         self.masks: list[tuple[int, ...]] = []
         self.seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, items, positions
         lengths = sorted({len(w) for w in self.items if SHORTEST <= len(w) < SPAN})
-        for mask in [*MASKS, *(tuple(range(n)) for n in lengths)]:
-            whole = mask not in MASKS
+        for mask, whole in [*((m, False) for m in MASKS), *((tuple(range(n)), True) for n in lengths)]:
             found = [(h, np.full(len(h), i), np.arange(len(h))) for i, w in enumerate(self.items) if (len(w) == len(mask) if whole else len(w) >= SPAN) for h in [seed_hashes(w, mask)]]
             if found:
                 h, item, at = (np.concatenate(x) for x in zip(*found))
@@ -82,8 +81,8 @@ class SeedIndex:
             bits[h >> np.uint64(64 - FILTER_BITS)] = True
             self.maybe.append(bits)
 
-    def alignments(self, words: np.ndarray) -> np.ndarray:
-        """Distinct (item, place of the item's first token among words) of all hits."""
+    def alignments(self, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, place of the item's first token among words) of all hits; texts begin at firsts."""
         out = []
         for mask, (h, item, at), maybe in zip(self.masks, self.seeds, self.maybe):
             probe = seed_hashes(words, mask)
@@ -95,8 +94,9 @@ class SeedIndex:
             spots = np.repeat(spots, count)
             rank = np.arange(len(spots)) - np.repeat(np.cumsum(count) - count, count)
             entry = np.repeat(low, count) + rank
-            out.append(np.stack([item[entry], spots - at[entry]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            text = np.searchsorted(firsts, spots, side="right") - 1
+            out.append(np.stack([text, item[entry], spots - at[entry]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def verified(self, words: np.ndarray, item: int, start: int) -> int:
         """Most equal tokens in a window of the alignment, or 0 if they are too few."""
@@ -115,13 +115,10 @@ class SeedIndex:
         words, counts = hash_texts([normalised(t) for t in texts], NOT_ALNUM)
         firsts = np.concatenate([[0], np.cumsum(counts)])
         found: list[dict[int, int]] = [{} for _ in texts]
-        for item, start in self.alignments(words).tolist():
-            # A hit near a seam of two documents is checked in both.
-            ends = np.maximum(0, [start, start + len(self.items[item]) - 1])
-            for d in {min(len(texts), int(x)) - 1 for x in np.searchsorted(firsts, ends, side="right")}:
-                most = self.verified(words[firsts[d] : firsts[d + 1]], item, start - int(firsts[d]))
-                if most:
-                    found[d][item] = max(most, found[d].get(item, 0))
+        for d, item, start in self.alignments(words, firsts).tolist():
+            most = self.verified(words[firsts[d] : firsts[d + 1]], item, start - int(firsts[d]))
+            if most:
+                found[d][item] = max(most, found[d].get(item, 0))
         return found
 
 
