@@ -1,0 +1,371 @@
+"""Language ID, quality, packing, decontamination, substring dedup, PII and secrets on small tables."""
+
+import hashlib
+import itertools
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heliograph.llm import decontaminate, langid, packing, pii, quality, queries, secrets, substring_dedup, wordhash
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "the and of that with " * 60_000
+EDGES = [
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, " \t\n ", "en", "a", 4),
+    (4, "12345 !!!", "en", "a", 9),
+    (None, "the house of the rising sun", "en", None, 27),
+    (6, "the house of the rising sun", "en", "a", 27),
+    (6, "the house of the rising sun", "en", "a", 27),
+    (7, LONG, "en", "a", len(LONG)),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    odd = spark.createDataFrame(EDGES, SCHEMA)
+    for clash in ("id", "score", "length", "row", "fp", "batch", "kind"):
+        odd = odd.withColumn(clash, F.lit("clash"))
+    return odd
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 1: language ID
+
+
+def test_language_accuracy_on_held_out(spark):
+    found = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text"), "doc_id").toPandas()
+    assert len(found) == 1000 and found["score"].between(0, 1).all()
+    assert (found["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found["doc_id"]]).all()
+    held = found[found["held_out"] & found["text"].str.contains(r"[^\W\d_]", na=False)]
+    assert (held["lang_pred"] == held["lang"]).mean() > 0.99
+
+
+def test_language_edges(spark, docs, edges, none):
+    model = langid.fit(docs)
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(edges, model).collect()]
+    assert len(got) == len(EDGES)
+    assert sorted(str(i) for i, lang, s in got if lang == "und") == ["1", "2", "3", "4"] and all(s == 0 for _, lang, s in got if lang == "und")
+    assert {lang for i, lang, _ in got if i in (6, 7)} == {"en"}
+    assert langid.identify(none, model).count() == 0
+    assert langid.fit(none) is None and {r["lang_pred"] for r in langid.identify(edges, None).collect()} == {"und"}
+    assert langid.accept(edges, model, 0.0).columns == edges.columns
+
+
+def test_language_kernel_is_the_number_of_shared_grams():
+    texts, langs = ["abc abd", "xyz xyw", "abq", "xyq"], ["a", "x", "a", "x"]
+    model = langid.train(texts, langs)
+    grams = lambda t: {w[i : i + n] for w in ["".join(c if c.isalpha() else "_" for c in t)] for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    block, some = langid._kernel_rows(["abz xy"], model.columns, model.presence, model.classes)
+    # letters that no landmark has share a class, so compare over the landmarks' letters only
+    want = [len(grams("abz xy") & grams(t)) / np.sqrt(len(grams("abz xy")) * len(grams(t))) for t in texts]
+    assert some.all() and np.allclose(sorted(block[0]), sorted(want), atol=1e-6)
+
+
+# --- 3: quality
+
+
+def test_quality_accuracy_on_held_out(spark):
+    path = "/root/testdata/sf0.01"
+    found = queries.op3_quality_classifier(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").toPandas()
+    held = found[found["held_out"]]
+    assert (held["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in held["doc_id"]]).all()
+    good, bad = held[held["quality"] == 1]["score"].to_numpy(), held[held["quality"] == 0]["score"].to_numpy()
+    auc = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
+    assert auc > 0.9 and ((found["score"] >= 0.7) == (found["predicted"] == 1)).all()
+
+
+def test_quality_edges(spark, docs, edges, none):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = quality.score(edges, model).collect()
+    assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.score(none, model).count() == 0
+    empty = quality.fit(docs, labels.limit(0))
+    assert empty is None and {r["score"] for r in quality.score(edges, empty).collect()} == {0.5}
+
+
+# --- 2: packing
+
+
+def _fits(plan, counts):
+    used = {}
+    seen = np.zeros(len(counts), int)
+    for size, _, number, first, offset in plan.slots:
+        seen[size] += number
+        for i in range(number):
+            used.setdefault(first + i, []).append((offset, size))
+    assert (seen == counts).all() and len(used) == plan.sequences
+    for parts in used.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= plan.capacity
+
+
+def _optimum(sizes, capacity):
+    best = [len(sizes)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= sizes[i] and rooms[j] not in rooms[:j]:
+                rooms[j] -= sizes[i]
+                go(i + 1, rooms)
+                rooms[j] += sizes[i]
+        go(i + 1, [*rooms, capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_reduction_never_costs_a_sequence():
+    random = np.random.default_rng(3)
+    for _ in range(150):
+        capacity = int(random.integers(5, 30))
+        sizes = random.integers(1, capacity + 1, int(random.integers(1, 10)))
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        _fits(packing.plan(counts), counts)
+        reduced = packing.Plan(counts)
+        reduced.reduce()
+        rest = sorted((s for s in range(capacity + 1) for _ in range(reduced.left[s])), reverse=True)
+        assert reduced.sequences + (_optimum(rest, capacity) if rest else 0) == _optimum(sorted(sizes.tolist(), reverse=True), capacity)
+
+
+def test_packing_edges(spark, edges, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    got = packing.pack(edges, path, capacity=64).toPandas()
+    tokenizer = Tokenizer.from_file(path)
+    for i, text in [(1, ""), (2, ""), (4, "12345 !!!"), (7, LONG)]:
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        own = got[got["doc_id"] == i].sort_values("piece")
+        assert own["length"].sum() == len(ids) and own["start"].tolist() == list(range(0, len(ids), 64))
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own["start"], own["length"])] == own["ids_crc32"].tolist()
+    assert (got["doc_id"] == 6).sum() == 2 and got["doc_id"].isna().sum() == 1
+    for _, seq in got.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq["offset"].tolist() == [0, *seq["length"].cumsum().tolist()[:-1]] and seq["length"].sum() <= 64
+    assert got["sequence_id"].nunique() == -(-got["length"].sum() // 64)
+    assert packing.pack(none, path).count() == 0
+
+
+def test_word_by_word_ids_are_the_tokenizers():
+    ids = packing.WordIds(queries.tokenizer_path())
+    odd = ["don't I'll 12a3, THE. x<|endoftext|>y <|ENDOFTEXT|>. É́. J̌. İstanbul ΣΑΣ", "\x1c a\x85b   q. ﬁ é 日本語 🙂🙂 O'S,", "", "., ...a. ,b"]
+    for text, data in zip(odd, ids.encode([t.encode() for t in odd])):
+        assert np.frombuffer(data, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# --- 7: substring dedup
+
+
+def _brute_repeats(rows):
+    low, words = {}, [(i, (t or "").encode().split()) for i, t in rows]
+    key = lambda i: substring_dedup.LAST if i is None else i
+    for i, w in words:
+        for k in range(len(w) - 12):
+            low[tuple(w[k : k + 13])] = min(key(i), low.get(tuple(w[k : k + 13]), substring_dedup.LAST))
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if low[tuple(w[k : k + 13])] < key(i):
+                gone[k : k + 13] = [True] * 13
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sizes", [(4 << 20, 20 << 20), (30_000, 50_000)])
+def test_repeats_against_brute_force(spark, docs, monkeypatch, sizes):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", sizes[0])
+    monkeypatch.setattr(substring_dedup, "PARTITION_BYTES", sizes[1])
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(docs).collect()), key=str)
+    assert got == _brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_repeats_edges(spark, none):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [*[(r[0], r[1]) for r in EDGES], (9, passage), (8, f"x {passage} y"), (None, passage), (10, passage), (10, passage), (11, " ".join(passage.split()[:12])), (12, "a " * 40), (13, "a " * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("p", F.lit("clash"))
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(frame).collect()), key=str)
+    assert got == _brute_repeats(rows)
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_segments(monkeypatch):
+    texts = [b"one two  three", b"", b" four\tfive ", b"x" * 500 + b" y", b"six"]
+    whole = wordhash.hash_texts(texts)
+    monkeypatch.setattr(wordhash, "SEGMENT", 8)
+    cut = wordhash.hash_texts(texts)
+    assert (whole[0] == cut[0]).all() and whole[1].tolist() == cut[1].tolist() == [3, 0, 2, 2, 1]
+
+
+# --- 9: decontamination
+
+
+def test_masks_reach_every_window_with_two_substitutions():
+    for bad in itertools.combinations(range(decontaminate.OVERLAP), 2):
+        assert any(all(s + j not in bad for j in mask) for mask in decontaminate.MASKS for s in range(decontaminate.OVERLAP - mask[-1]))
+
+
+def _brute_contaminated(texts, items):
+    tokens = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    out = []
+    for text in texts:
+        w, found = tokens(text), set()
+        for item, target in items:
+            b = tokens(target)
+            n = min(13, len(b))
+            if n < 5:
+                continue
+            need = n if len(b) < 9 else int(np.ceil(0.8 * n - 1e-9))
+            if any(sum(x == y for x, y in zip(w[i : i + n], b[j : j + n])) >= need for j in range(len(b) - n + 1) for i in range(len(w) - n + 1)):
+                found.add(item)
+        out.append(found)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    random = np.random.default_rng(4)
+    word = lambda: "".join(random.choice(list("abcdefghij"), 5))
+    items = [(k, " ".join(word() for _ in range(int(n)))) for k, n in enumerate(random.integers(4, 40, 12))]
+    docs = []
+    for d in range(60):
+        w = [word() for _ in range(int(random.integers(0, 80)))]
+        if d % 2:
+            b = items[int(random.integers(0, 12))][1].split()
+            for i in random.choice(len(b), int(random.integers(0, 4)), replace=False):
+                b[int(i)] = word()
+            w[len(w) // 2 : len(w) // 2] = [x.upper() + "," for x in b]
+        docs.append((d, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.find(frame, bench).collect()}
+    want = {d: f for (d, _), f in zip(docs, _brute_contaminated([t for _, t in docs], items)) if f}
+    # Masks see up to two substitutions in 13 tokens; a window of 9 to 12 tokens may have as many and be missed.
+    assert set(got) <= set(want) and all(got[d] <= want[d] for d in got)
+    sure = {d: {i for i in f if len(items[i][1].split()) >= 13 or len(items[i][1].split()) < 9} for d, f in want.items()}
+    assert all(f <= got.get(d, set()) for d, f in sure.items())
+    clean = {r["doc_id"] for r in decontaminate.clean(frame, bench).collect()}
+    assert clean == {d for d, _ in docs} - set(got)
+
+
+def test_decontamination_edges(spark, edges, none, monkeypatch):
+    bench = spark.createDataFrame([(1, "the house of the rising sun in New Orleans"), (2, "the house of the rising sun")], "item_id long, text string")
+    got = decontaminate.find(edges, bench).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["6", "6", "None"] and all(r["item_ids"] == [2] for r in got)
+    assert decontaminate.clean(edges, bench).columns == edges.columns and decontaminate.clean(edges, bench).count() == len(EDGES) - 3
+    assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(edges, bench.limit(0)).count() == 0
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    assert sorted(str(r["doc_id"]) for r in decontaminate.find(edges, bench).collect()) == ["6", "None"]
+
+
+# --- 6: PII
+
+
+def test_surrogates_keep_type_format_and_coreference(spark, edges, none):
+    rows = [
+        (1, "Mail Maria.Lopez@mail.example.com or +1 (212) 555-0147; card 4111 1111 1111 1111."),
+        (2, "maria.lopez@MAIL.example.com, 10.20.30.40, 123-45-6789, +1 212 555 0147, 4111111111111111"),
+        (3, "Dr. Maria Lopez met JOHN SMITH; IBAN DE89 3704 0044 0532 0130 00"),
+        (4, "nothing here 12 34"),
+        (5, None),
+        (None, "10.20.30.40"),
+        (6, "Господин Mr. Иванов"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("x")).withColumn("spans", F.lit(1))
+    got = {r["doc_id"]: r for r in pii.pseudonymise(frame, b"key").collect()}
+    assert set(got) == {1, 2, 3, None, 6}
+    assert got[1]["kinds"] == ["card", "email", "phone"] and got[2]["kinds"] == ["card", "email", "ip", "phone", "ssn"]
+    old = {i: t for i, t in rows}
+    for i in got:
+        assert got[i]["text"] != old[i]
+        for _, _, _, canon in pii.entities(old[i]):
+            assert canon.partition("|")[2] not in got[i]["text"].lower() if "|" in canon else canon not in got[i]["text"]
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    new1, new2 = got[1]["text"], got[2]["text"]
+    mail1, mail2 = new1.split()[1], new2.split(",")[0]
+    assert mail1.lower() == mail2.lower() and mail1[0].isupper()
+    card = new2.rsplit(" ", 1)[1]
+    assert pii.luhn(card) and card in digits(new1) and card[0] == "4"
+    assert got[None]["text"] == new2.split(", ")[1]  # the same address everywhere
+    names = got[3]["text"].split()
+    assert names[1] in pii.FEMALE and names[4].capitalize() in pii.MALE and names[4].isupper()
+    assert all(0x410 <= ord(c) <= 0x44F for c in got[6]["text"].split()[-1])
+    again = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame, b"key").collect()}
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame, b"another").collect()}
+    assert again == {i: r["text"] for i, r in got.items()} and other[1] != again[1]
+    assert pii.pseudonymise(none, b"key").count() == 0 and pii.pseudonymise(edges, b"key").count() == 0
+
+
+def test_surrogates_stay_distinct_when_forms_are_scarce(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, canon, attempt: f"{(int(canon) + attempt) % 5}")
+    found = spark.createDataFrame([("x", str(i)) for i in (5, 10, 15, 7)], "kind string, canon string")
+    new = [r["new"] for r in pii.assign(found, b"k").collect()]
+    assert len(new) == len(set(new)) == 4 and not set(new) & {"5", "10", "15", "7"}
+
+
+# --- 5: secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_secrets_found_and_lookalikes_removed(spark, forest, edges, none):
+    hexes = hashlib.sha256(b"a").hexdigest()[:40]
+    rows = [
+        (1, f'x token = "{hexes}" y', True),
+        (2, f"see commit {hexes} for it", False),
+        (3, "card 4111111111111111 and 4929348385146306", False),
+        (4, "the file /usr/local/lib/report_2024_index.txt", False),
+        (5, "password = your_password_here_12", False),
+        (6, "api_key: dGhpc0lzQVZlcnlTZWNyZXRLZXk4NDcyMzQ", True),
+        (7, f"secret={hexes} secret={hexes}", True),
+        (8, None, False),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("cand", F.lit("clash")).withColumn("features", F.lit("clash"))
+    found = secrets.scan(frame, forest).collect()
+    assert {r["doc_id"] for r in found} == {i for i, _, bad in rows if bad}
+    texts = {i: t for i, t, _ in rows}
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["secret"] for r in found)
+    assert sum(r["doc_id"] == 7 for r in found) == 2
+    clean = {r["doc_id"]: r for r in secrets.redact(frame, forest).collect()}
+    assert clean[1]["text"] == 'x token = "[SECRET]" y' and clean[7]["text"] == "secret=[SECRET] secret=[SECRET]"
+    assert all(clean[i]["text"] == t for i, t, bad in rows if not bad) and clean[1]["cand"] == "clash"
+    assert secrets.redact(edges, forest).count() == len(EDGES) and secrets.redact(edges, forest).columns == edges.columns
+    assert secrets.scan(none, forest).count() == 0 and secrets.redact(none, forest).count() == 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    every = secrets.labelled_findings(spark).withColumn("fold", F.pmod(F.crc32(F.col("cand").cast("binary")), F.lit(5)))
+    model = secrets.train(every.where("fold != 0").drop("fold"))
+    test = secrets.VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.features(every.where("fold = 0")))
+    right = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.97
+
+
+def test_secret_scan_plan_has_no_python(spark, forest, docs):
+    plan = secrets.scan(docs, forest)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
