@@ -1 +1 @@
-
+"""DataFrame operators of a media and document library."""

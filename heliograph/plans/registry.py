@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from heliograph.plans import aggregates, changes, joins, sequences, texts, vectors
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+FAMILIES = [sequences, aggregates, joins, changes, texts, vectors]
+QUERIES = {name: f for m in FAMILIES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in FAMILIES for name, sql in m.ORACLES.items()}

@@ -1 +1 @@
-
+"""Readers for tables, media listings, gazetteers and import sidecars."""

@@ -1 +1 @@
-
+"""Streaming operators, each with a batch twin."""
