@@ -52,12 +52,9 @@ SIDECAR = T.StructType([*(T.StructField(k, T.StringType()) for k in ("title", "d
 
 def first_bytes(c: Column, n: int) -> Column:
     """The longest prefix of whole characters within n bytes."""
-    fits = F.left(c, F.lit(n))
-    cut = F.substring(F.encode(fits, "UTF-8"), 1, n)
-    # A character cut in half decodes to a replacement mark that was not there before.
-    shorter = [F.substring(F.encode(fits, "UTF-8"), 1, n - k) for k in range(4)]
-    whole = [F.decode(s, "UTF-8") for s in shorter]
-    return F.when(F.octet_length(c) <= n, c).otherwise(F.coalesce(*[F.when(F.startswith(c, w), w) for w in whole], F.decode(cut, "UTF-8")))
+    data = F.encode(F.left(c, F.lit(n)), "UTF-8")
+    # A character takes four bytes at most, so one of four cuts falls between two characters.
+    return F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, n - k).cast("string")) for k in range(4)])
 
 
 def parse_sidecar(json: Column) -> Column:

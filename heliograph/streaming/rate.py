@@ -66,7 +66,7 @@ def admitted_stream(df: DataFrame, key: str, ident: str, at: str, limit: int, se
         frame = pd.concat(list(frames)).sort_values([at, ident])
         times = frame[at].astype("int64").to_numpy() / _unit(frame[at])
         allowed = _admit(times, held, limit, seconds)
-        state.update((list(held),))
+        state.update(([float(t) for t in held],))
         state.setTimeoutDuration(int(seconds * 1000))
         yield pd.DataFrame({key: group[0], ident: frame[ident], "allowed": allowed})
 
