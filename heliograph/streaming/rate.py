@@ -55,7 +55,7 @@ def _unit(s: pd.Series) -> float:
 
 
 def admitted_stream(df: DataFrame, key: str, ident: str, at: str, limit: int, seconds: float) -> DataFrame:
-    """(key, ident, allowed) of a stream; the state of a key expires with its window."""
+    """(key, ident, allowed) of a stream; the state of a key expires when the watermark passes its window."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,8 +67,9 @@ def admitted_stream(df: DataFrame, key: str, ident: str, at: str, limit: int, se
         times = frame[at].astype("int64").to_numpy() / _unit(frame[at])
         allowed = _admit(times, held, limit, seconds)
         state.update(([float(t) for t in held],))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((held[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: group[0], ident: frame[ident], "allowed": allowed})
 
     out = f"{key} {kinds[key]}, {ident} {kinds[ident]}, allowed boolean"
-    return df.select(key, ident, at).groupBy(key).applyInPandasWithState(step, out, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = df.select(key, ident, at).withWatermark(at, f"{int(seconds)} seconds")
+    return timed.groupBy(key).applyInPandasWithState(step, out, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
