@@ -84,3 +84,30 @@ def edit_flags(json) -> Column:
     some = lambda c: F.coalesce(c, F.lit(False))
     crop = some((e["cropWidth"] < 1) | (e["cropHeight"] < 1) | (e["cropX"] > 0) | (e["cropY"] > 0))
     return F.struct(crop.alias("has_crop"), some(F.pmod(e["rotation"], F.lit(360)) != 0).alias("has_rotation"), some(e["brightness"] != 0).alias("has_brightness"), some((e["trimStart"] > 0) | (e["trimEnd"] > 0)).alias("has_trim"))
+
+
+def camera(make, model) -> Column:
+    """Make and model; a make that the model begins with is not repeated."""
+    a, b = F.nullif(F.trim(_col(make)), F.lit("")), F.nullif(F.trim(_col(model)), F.lit(""))
+    return F.when(b.isNull(), a).when(a.isNull() | F.startswith(F.lower(b), F.lower(a)), b).otherwise(F.concat_ws(" ", a, b))
+
+
+def upright(width, height, orientation) -> Column:
+    """(width, height) as shown: orientations 5 to 8 lie on their side."""
+    w, h = _col(width), _col(height)
+    turned = F.coalesce(_col(orientation).between(5, 8), F.lit(False))
+    return F.struct(F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+
+
+def xmp_subtype(xmp) -> Column:
+    """motion before equirectangular and panorama, before burst, before hdr; null if the document names none."""
+    x = _col(xmp)
+    motion = xmp_attribute(x, "GCamera:MotionPhoto").isin("1", "true") | xmp_attribute(x, "GCamera:MicroVideo").isin("1", "true")
+    projection = xmp_attribute(x, "GPano:ProjectionType")
+    return (
+        F.when(motion, "motion")
+        .when(projection == "equirectangular", "equirectangular")
+        .when(projection.isNotNull(), "panorama")
+        .when(xmp_attribute(x, "GCamera:BurstID").isNotNull(), "burst")
+        .when(x.contains("HDRGainMap") | x.contains("hdrgm:Version"), "hdr")
+    )

@@ -77,3 +77,16 @@ def best_with_fill(df: DataFrame, keys: list[str], score: str, tie: str, fill: l
     order = F.struct(score, tie)
     rest = [c for c in df.columns if c not in {*keys, *fill}]
     return df.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in rest], *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fill])
+
+
+def match_cascade(left: DataFrame, right: DataFrame, ident: str, rules: list[tuple[Column, Column]], value: str) -> DataFrame:
+    """left with ``match``: the value of the first rule (left key, right key) under which a right row fits, the smallest of several.
+
+    Every rule is an equi join against one row a key.
+    """
+    out = left
+    for i, (mine, theirs) in enumerate(rules):
+        keyed = right.select(theirs.alias(f"__k{i}"), F.col(value)).where(F.col(f"__k{i}").isNotNull()).groupBy(f"__k{i}").agg(F.min(value).alias(f"__m{i}"))
+        out = out.withColumn(f"__l{i}", mine).join(keyed, F.col(f"__l{i}") == F.col(f"__k{i}"), "left")
+    matches = [f"__m{i}" for i in range(len(rules))]
+    return out.select(*left.columns, F.coalesce(*matches).alias("match"))

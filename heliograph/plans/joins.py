@@ -150,3 +150,14 @@ def slug_filter(spark, sf_dir):
 
     name = F.col("n_name")
     return load(spark, sf_dir, "nation").where(slug(name).contains("-") | name.startswith("U") | F.length(name).between(4, 6)).select("n_name", slug(name).alias("slug"))
+
+
+@query("""
+    WITH a AS (SELECT url, min(page_id) AS p FROM pages WHERE page_id % 3 = 0 GROUP BY 1),
+         b AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, min(page_id) AS p FROM pages WHERE page_id % 3 = 0 GROUP BY 1)
+    SELECT pages.page_id, coalesce(a.p, b.p) AS match FROM pages LEFT JOIN a ON pages.url = a.url LEFT JOIN b ON regexp_extract(pages.url, '://([^/?#]*)', 1) = b.host""")
+def metadata_cascade(spark, sf_dir):
+    """Each page's source: the one of its whole address, else of its host."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return relational.match_cascade(pages, pages.where("page_id % 3 = 0"), "page_id", [(F.col("url"), F.col("url")), (host, host)], "page_id").select("page_id", "match")

@@ -182,6 +182,13 @@ def failure_streaks(spark, sf_dir):
     return found.select("user_id", "failures", stamp("first_at").alias("first_at"), stamp("last_at").alias("last_at"))
 
 
+@query()
+def locked_attempts(spark, sf_dir):
+    """Attempts that meet a lock: a day after two failures in a row."""
+    attempts = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    return rate.lockouts(attempts, "user_id", ["ts", "event_id"], "ts", "failed", 2, 86_400).select("event_id", "user_id", "locked")
+
+
 @query("""
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50""")
 def recent_failures(spark, sf_dir):

@@ -73,3 +73,29 @@ def admitted_stream(df: DataFrame, key: str, ident: str, at: str, limit: int, se
     out = f"{key} {kinds[key]}, {ident} {kinds[ident]}, allowed boolean"
     timed = df.select(key, ident, at).withWatermark(at, f"{int(seconds)} seconds")
     return timed.groupBy(key).applyInPandasWithState(step, out, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lockouts(df: DataFrame, key: str, order: list[str], at: str, failed: str, most: int, seconds: float) -> DataFrame:
+    """df with ``locked``: attempts while a key is locked, which is for ``seconds`` after ``most`` failures in a row.
+
+    Attempts of a locked key change nothing; a success, and the lock's end, start the count anew.
+    """
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    dealt = df.repartition(key).sortWithinPartitions(key, *order)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, count, until = object(), 0, 0.0
+        for batch in batches:
+            locked = []
+            for k, t, bad in zip(batch[key].tolist(), batch[at].astype("int64").to_numpy() / _unit(batch[at]), batch[failed].tolist()):
+                if k != now:
+                    now, count, until = k, 0, 0.0
+                locked.append(t < until)
+                if locked[-1]:
+                    continue
+                count = count + 1 if bad else 0
+                if count >= most:
+                    count, until = 0, t + seconds
+            yield batch.assign(locked=locked)
+
+    return dealt.mapInPandas(fold, f"{kind}, locked boolean")

@@ -159,3 +159,52 @@ def test_sidecars(spark):
     pairs = files.pair_sidecars(paths("a.jpg", "b.jpg", "c.jpg"), sidecars)
     assert sorted(map(str, map(tuple, pairs.collect()))) == sorted(map(str, [("a.jpg", "a.jpg.supplemental-metadata.json"), ("b.jpg", "b.json"), ("c.jpg", None)]))
     assert [r["path"] for r in files.unpaired_sidecars(sidecars, pairs).collect()] == ["lost.json"]
+
+
+def test_pictures(spark):
+    assert [_one(spark, media.camera(F.lit(a).cast("string"), F.lit(b).cast("string"))) for a, b in (("Canon", "Canon EOS"), ("Apple", "iPhone"), (None, "X"), ("Y", ""))] == ["Canon EOS", "Apple iPhone", "X", "Y"]
+    assert tuple(_one(spark, media.upright(F.lit(4), F.lit(3), F.lit(6)))) == (3, 4) and tuple(_one(spark, media.upright(F.lit(4), F.lit(3), F.lit(None).cast("int")))) == (4, 3)
+    docs = ["<x GCamera:MotionPhoto='1' GPano:ProjectionType='cylindrical'/>", "<x GPano:ProjectionType='equirectangular'/>", "<x GCamera:BurstID='b'/>", "<x hdrgm:Version='1'/>", "<x/>"]
+    assert [_one(spark, media.xmp_subtype(F.lit(d))) for d in docs] == ["motion", "equirectangular", "burst", "hdr", None]
+
+
+def test_archives(spark):
+    import io
+    import zipfile
+
+    from heliograph.operators import export
+
+    rows = [("u", 1, "a.txt", bytearray(b"x" * 300)), ("u", 2, "a.txt", bytearray(b"y" * 300)), ("u", 3, "b.txt", bytearray(b"z" * 300)), ("v", 1, "c", bytearray(b"")), ("v", 2, "d", None)]
+    got = export.zip_parts(spark.createDataFrame(rows, "owner string, i long, name string, data binary"), "owner", ["i"], 900.0).collect()
+    names = {(r["owner"], r["part"]): zipfile.ZipFile(io.BytesIO(bytes(r["archive"]))).namelist() for r in got}
+    assert names == {("u", 0): ["a.txt", "a_(1).txt"], ("u", 1): ["b.txt"], ("v", 0): ["c"]}
+
+
+def test_phases():
+    from heliograph.operators import export
+
+    ran = []
+    jobs = {n: (lambda n=n: (ran.append(n), (1, 0) if n != "photos" else (1, 2))[1]) for n in ("trash", "photos", "purge")}
+    assert export.synchronise(jobs) == {"purge": "success", "photos": "partial", "trash": "success"} and ran == ["purge", "photos", "trash"]
+    assert list(export.synchronise(jobs, recovery=True)) == ["photos", "trash"]
+
+
+def test_lockouts(spark):
+    from heliograph.streaming import rate
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(i, "u", at(s), bad) for i, (s, bad) in enumerate([(0, True), (1, False), (2, True), (3, True), (4, False), (5, True), (14, True), (15, False)])]
+    got = rate.lockouts(spark.createDataFrame(rows, "id long, u string, at timestamp, bad boolean"), "u", ["at", "id"], "at", "bad", 2, 10).orderBy("id").collect()
+    assert [r["locked"] for r in got] == [False, False, False, False, True, True, False, False]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    from heliograph.sources.tables import load
+
+    first = lambda: load(spark, "/root/testdata/sf0.001", "events").agg(F.unix_micros(F.min("ts")).alias("t")).first()["t"]
+    utc = first()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert first() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
