@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import bound_batches
 
-#: The labelled sample, in expected rows a language, and the longest text in it (bytes).
+#: The labelled sample, in expected rows a language and in all, and the longest text in it (bytes).
 SAMPLE_PER_LANG = 1200
+SAMPLE_ROWS = 6000
 SAMPLE_MAX_BYTES = 32_768
 #: Landmarks a language, and the lengths (characters) a landmark may have.
 LANDMARKS_PER_LANG = 48
@@ -145,7 +146,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1 << 20, (SAMPLE_PER_LANG << 20) // n))) for lang, n in sorted(sizes.items())])
+    each = min(SAMPLE_PER_LANG, max(1, SAMPLE_ROWS // len(sizes)))
+    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1 << 20, (each << 20) // n))) for lang, n in sorted(sizes.items())])
     draw = F.xxhash64(F.col("i"))
     sample = rows.where((F.pmod(draw, F.lit(1 << 20)) < share) & (F.octet_length("t") <= SAMPLE_MAX_BYTES)).withColumn("h", draw)
     drawn = sample.select("h", "i", "t", "l").toPandas().sort_values(["h", "i", "t"], kind="stable")

@@ -170,7 +170,7 @@ def test_urls_against_brute_force(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string")
     entries = spark.createDataFrame([("com", "/", "block", "rule")], "host string, path string, verdict string, kind string")
     assert urlfilter.judge(none, entries).count() == 0
-    assert urlfilter.judge(none, entries.limit(0)).columns == urlfilter.judge(none, entries).columns or True
+    assert set(urlfilter.judge(none, entries.limit(0)).columns) == set(urlfilter.judge(none, entries).columns)
 
 
 # --- pipeline
