@@ -34,6 +34,8 @@ LANDMARK_CHARS = (150, 4000)
 #: Letters that keep a class of their own; all others share one.
 ALPHABET = 62
 RIDGE = 1e-3
+#: Characters that are looked at together; longer texts take no more memory.
+SEGMENT = 1 << 20
 CLASSES = 64
 GRAMS = CLASSES + CLASSES**2 + CLASSES**3
 
@@ -64,16 +66,18 @@ def _letter_classes(texts: list[str]) -> np.ndarray:
 
 def _gram_flags(text: str, classes: np.ndarray, flags: np.ndarray) -> bool:
     """Mark the distinct n-grams of the whole text in flags; False if it has no letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = classes[points].astype(np.int32)
     flags[:] = False
-    if not c.any():
-        return False
-    pairs = c[:-1] * CLASSES + c[1:]
-    flags[c] = True
-    flags[CLASSES + pairs] = True
-    flags[CLASSES + CLASSES**2 + pairs[:-1] * CLASSES + c[2:]] = True
-    return True
+    some = False
+    for at in range(0, len(text), SEGMENT):  # two characters more on the left, so that no n-gram is cut
+        part = text[max(0, at - 2) : at + SEGMENT]
+        points = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = classes[points].astype(np.int32)
+        some |= bool(c.any())
+        pairs = c[:-1] * CLASSES + c[1:]
+        flags[c] = True
+        flags[CLASSES + pairs] = True
+        flags[CLASSES + CLASSES**2 + pairs[:-1] * CLASSES + c[2:]] = True
+    return some
 
 
 def _kernel_rows(texts: list[str | None], model_columns: np.ndarray, presence: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heliograph.llm.bloom import maybe_in
 from heliograph.llm.common import bound_batches
 from heliograph.shared import cut
 
@@ -208,7 +209,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     named = found.join(assign(found, key), ["kind", "canon"])
     spans = named.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "stop", "kind", "new")))).alias("spans"))
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    met = texts.join(spans, F.col("d").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))).select("id", "text", "spans")
+    # Only texts whose hash passes the Bloom filter of those with an entity are shuffled.
+    maybe = maybe_in(found.select(F.col("text_hash").alias("h")).distinct())
+    met = texts.where(maybe("h")).join(spans, F.col("d").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))).select("id", "text", "spans")
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -22,19 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import bound_batches
+from heliograph.llm.wordhash import hash_texts, mix
 
 #: Hash buckets of trigrams; levels of each repetition term.
 BUCKETS = 8192
 LEVELS = 16
 WIDTH = BUCKETS + 3 * LEVELS + 1
 #: Expected rows of each label in the sample, and the longest text in it (bytes).
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 1000
 SAMPLE_MAX_BYTES = 65_536
 DIMENSIONS = 64
 NEIGHBOURS = 15
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
 THRESHOLD = 0.7
+#: Bytes that are looked at together; longer texts take no more memory.
+SEGMENT = 1 << 20
 
 
 @dataclass
@@ -49,47 +52,56 @@ def _level(share: float) -> int:
     return min(LEVELS - 1, int(share * LEVELS))
 
 
-def term_counts(text: str | None) -> np.ndarray:
-    counts = np.zeros(WIDTH, np.float32)
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(data):
-        counts[-1] = 1
-        return counts
-    wide = np.concatenate([[32], data, [32]]).astype(np.uint32)
-    codes = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
-    codes = (codes * np.uint32(2654435761)) >> np.uint32(32 - 13)
-    counts[:BUCKETS] = np.log1p(np.bincount(codes, minlength=BUCKETS))
-    norm = float(np.sqrt((counts * counts).sum()))
-    words = text.split()
-    lines = [x for x in text.split("\n") if x]
-    follow = list(zip(words, words[1:]))
-    for k, parts in enumerate((words, follow, lines)):
-        share = 1 - len(set(parts)) / len(parts) if parts else 0.0
-        counts[BUCKETS + k * LEVELS + _level(share)] = 0.35 * norm
-    return counts
+def term_counts(texts: list[str | None]) -> np.ndarray:
+    """One row of damped counts for each text."""
+    out = np.zeros((len(texts), WIDTH), np.float32)
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    words, counts = hash_texts(data)
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    for row, text, a, b in zip(out, data, firsts, firsts[1:]):
+        if not text:
+            row[-1] = 1
+            continue
+        raw = np.zeros(BUCKETS, np.int64)
+        for at in range(0, len(text), SEGMENT):  # a byte more on either side, a space at the text's ends
+            part = np.frombuffer(text[max(0, at - 1) : at + SEGMENT + 1], np.uint8)
+            wide = np.concatenate([[32] if at == 0 else [], part, [32] if at + SEGMENT >= len(text) else []]).astype(np.uint32)
+            codes = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
+            raw += np.bincount((codes * np.uint32(2654435761)) >> np.uint32(32 - 13), minlength=BUCKETS)
+        row[:BUCKETS] = np.log1p(raw)
+        norm = float(np.sqrt(np.einsum("i,i", row, row)))
+        own = words[a:b]
+        lines = [x for x in text.split(b"\n") if x]
+        follow = mix(own[:-1] * np.uint64(3) + (own[1:] >> np.uint64(1)))
+        for k, (n, distinct) in enumerate(((len(own), len(np.unique(own))), (len(follow), len(np.unique(follow))), (len(lines), len(set(lines))))):
+            row[BUCKETS + k * LEVELS + _level(1 - distinct / n if n else 0.0)] = 0.35 * norm
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x, in place, at unit length."""
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def _embed(texts: list[str | None], weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    x = np.stack([term_counts(t) for t in texts])
+    x = term_counts(texts)
     x *= weights
-    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
-    v = x @ basis
-    return v / np.maximum(np.sqrt((v * v).sum(1)), 1e-12)[:, None]
+    return _unit(_unit(x) @ basis)
 
 
 def train(texts: list[str | None], labels: list[int]) -> QualityModel | None:
     if not labels:
         return None
-    x = np.stack([term_counts(t) for t in texts])
-    weights = (np.log((1 + len(texts)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+    x = term_counts(texts)
+    weights = (np.log((1 + len(texts)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     x *= weights
-    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+    x = _unit(x)
     gram = (x @ x.T).astype(np.float64)  # documents are fewer than terms
     values, vectors = np.linalg.eigh(gram)
     top = [i for i in np.argsort(-values)[:DIMENSIONS] if values[i] > 1e-9]
     basis = (x.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
-    v = x @ basis
-    v /= np.maximum(np.sqrt((v * v).sum(1)), 1e-12)[:, None]
+    v = _unit(x @ basis)
     return QualityModel(weights, basis, np.ascontiguousarray(v.T), np.array(labels, np.float64))
 
 

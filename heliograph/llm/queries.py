@@ -13,7 +13,7 @@ from heliograph.llm.common import crc_mod, table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 5) == 0
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = langid.fit(docs.where(~held_out))
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -30,7 +30,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 4) == 2
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -37,7 +37,7 @@ SEED = 42
 BLOCK = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: For deduplicate(): random tables of so many of the 64 bits each, and the radius within which texts are compared.
-SAMPLED_TABLES, SAMPLED_BITS, WIDE_RADIUS = 64, 18, 13
+SAMPLED_TABLES, SAMPLED_BITS, WIDE_RADIUS = 28, 14, 13
 #: The set bits of each byte value.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -173,15 +173,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def blocked(nodes: DataFrame, masks: list[int]) -> DataFrame:
+def blocked(nodes: DataFrame, masks: list[int], few_keys: bool = False) -> DataFrame:
     """Rows of nodes(fp, ...) dealt to comparison groups: (t, key, lo, hi, fp, ...), sorted within partitions.
 
     Only keys with two fingerprints or more are kept; large keys are cut into blocks that meet pairwise.
+    few_keys: the masks' bits bound the number of keys, so that their sizes can be broadcast.
     """
     keyed = nodes.withColumn("k", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])))
     keyed = keyed.select("k.t", "k.key", *nodes.columns)
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = keyed.join(sizes, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = keyed.join(F.broadcast(sizes) if few_keys else sizes, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     groups = dealt.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *nodes.columns)
     return groups.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
 
@@ -285,14 +286,20 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
     Candidates share SAMPLED_BITS fingerprint bits in one of SAMPLED_TABLES tables and differ in at most
     WIDE_RADIUS bits; the texts of those, and only those, are read again and compared exactly.
     """
-    keys = ["t", "key", "lo", "hi"]
+    keys, masks = ["t", "key", "lo", "hi"], sampled_tables()
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, keys):
-            left, right = close_pairs(frame["fp"].to_numpy().view(np.uint64), WIDE_RADIUS)
+            fps, table = frame["fp"].to_numpy().view(np.uint64), frame["t"].to_numpy()
+            left, right = close_pairs(fps, WIDE_RADIUS)
             group_of = _group_numbers(frame, keys)
             same = group_of[left] == group_of[right]
-            some = np.unique(np.concatenate([left[same], right[same]]))
+            left, right = left[same], right[same]
+            apart = fps[left] ^ fps[right]
+            for t, mask in enumerate(masks):  # a pair counts in the first table in which it meets
+                again = (table[left] > t) & (apart & np.uint64(mask) == 0)
+                left, right, apart = left[~again], right[~again], apart[~again]
+            some = np.unique(np.concatenate([left, right]))
             if len(some):
                 yield frame.iloc[some]
 
@@ -312,7 +319,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
                 if len(moved):
                     yield pd.DataFrame({"u": fps[at[moved]], "v": fps[at[label[moved]]]})
 
-    dealt = blocked(classes.select("fp"), sampled_tables()).select(*keys, "fp")
+    dealt = blocked(classes.select("fp"), masks, few_keys=True).select(*keys, "fp")  # at most SAMPLED_TABLES << SAMPLED_BITS keys
     found = cut(dealt.mapInPandas(near, "t int, key long, lo int, hi int, fp long"), "candidates")
     wanted = found.select("fp").distinct().join(classes, "fp").select("fp", "row")
     maybe = maybe_in(wanted.select(F.col("row").alias("h")))

@@ -369,3 +369,12 @@ def test_forest_on_findings_it_has_not_seen(spark):
 def test_secret_scan_plan_has_no_python(spark, forest, docs):
     plan = secrets.scan(docs, forest)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_segments_change_nothing(spark, docs, monkeypatch):
+    texts = [r["text"] for r in docs.limit(30).collect()]
+    model = langid.train(texts, ["x" if i % 2 else "y" for i in range(30)])
+    whole = langid._kernel_rows(texts, model.columns, model.presence, model.classes)[0], quality.term_counts(texts)
+    monkeypatch.setattr(langid, "SEGMENT", 50)
+    monkeypatch.setattr(quality, "SEGMENT", 50)
+    assert np.allclose(langid._kernel_rows(texts, model.columns, model.presence, model.classes)[0], whole[0]) and np.allclose(quality.term_counts(texts), whole[1])
