@@ -84,6 +84,21 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
     return rows.mapInPandas(run, "id long, row long, fp long")
 
 
+def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, fp, node) for every row: fingerprints, and a hash of the set of shingles. Only equal sets share a node."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+            fps = np.array([fingerprint(t, width) for t in texts], np.uint64)
+            nodes = np.array([xxhash.xxh64_intdigest(np.unique(shingle_hashes(t, width)).tobytes(), SEED) for t in texts], np.uint64)
+            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": fps.view(np.int64), "node": nodes.view(np.int64)})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "id long, row long, fp long, node long")
+
+
 # --- bit-sliced comparison -------------------------------------------------------------------------
 
 
@@ -173,16 +188,17 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def blocked(nodes: DataFrame, masks: list[int], few_keys: bool = False) -> DataFrame:
+def blocked(nodes: DataFrame, masks: list[int], few_keys: bool = False, spread: str = "fp") -> DataFrame:
     """Rows of nodes(fp, ...) dealt to comparison groups: (t, key, lo, hi, fp, ...), sorted within partitions.
 
     Only keys with two fingerprints or more are kept; large keys are cut into blocks that meet pairwise.
-    few_keys: the masks' bits bound the number of keys, so that their sizes can be broadcast.
+    few_keys: the masks' bits bound the number of keys, so that their sizes can be broadcast. spread: the
+    column that deals a large key's rows to its blocks.
     """
     keyed = nodes.withColumn("k", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])))
     keyed = keyed.select("k.t", "k.key", *nodes.columns)
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(sizes) if few_keys else sizes, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = keyed.join(F.broadcast(sizes) if few_keys else sizes, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64(spread), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     groups = dealt.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *nodes.columns)
     return groups.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
 
@@ -281,7 +297,7 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): fingerprints of classes(fp, row) whose texts' shingle sets have a Jaccard similarity of at least similarity.
+    """(u, v): nodes of classes(node, fp, row) whose texts' shingle sets have a Jaccard similarity of at least similarity.
 
     Candidates share SAMPLED_BITS fingerprint bits in one of SAMPLED_TABLES tables and differ in at most
     WIDE_RADIUS bits; the texts of those, and only those, are read again and compared exactly.
@@ -306,43 +322,43 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [np.unique((shingle_hashes(t if isinstance(t, str) else None, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"fp": batch["fp"], "shingles": sets})
+            yield pd.DataFrame({"node": batch["node"], "shingles": sets})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, keys, 256):
             group_of = _group_numbers(frame, keys)
-            fps, data = frame["fp"].to_numpy(), frame["shingles"].tolist()
+            nodes, data = frame["node"].to_numpy(), frame["shingles"].tolist()
             for at in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(group_of)) + 1):
                 left, right = _similar([np.frombuffer(data[i], np.uint32) for i in at], similarity)
                 label = spanning(len(at), left, right)
                 moved = np.flatnonzero(label != np.arange(len(at)))
                 if len(moved):
-                    yield pd.DataFrame({"u": fps[at[moved]], "v": fps[at[label[moved]]]})
+                    yield pd.DataFrame({"u": nodes[at[moved]], "v": nodes[at[label[moved]]]})
 
-    dealt = blocked(classes.select("fp"), masks, few_keys=True).select(*keys, "fp")  # at most SAMPLED_TABLES << SAMPLED_BITS keys
-    found = cut(dealt.mapInPandas(near, "t int, key long, lo int, hi int, fp long"), "candidates")
-    wanted = found.select("fp").distinct().join(classes, "fp").select("fp", "row")
+    dealt = blocked(classes.select("node", "fp"), masks, few_keys=True, spread="node").select(*keys, "node", "fp")  # at most SAMPLED_TABLES << SAMPLED_BITS keys
+    found = cut(dealt.mapInPandas(near, "t int, key long, lo int, hi int, node long, fp long").drop("fp"), "candidates")
+    wanted = found.select("node").distinct().join(classes, "node").select("node", "row")
     maybe = maybe_in(wanted.select(F.col("row").alias("h")))
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where(maybe("row"))
-    sets = texts.join(wanted, "row").dropDuplicates(["fp"]).select("fp", "text").mapInPandas(shingles, "fp long, shingles binary")
-    return found.join(sets, "fp").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp", "shingles").mapInPandas(verify, "u long, v long")
+    sets = texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "text").mapInPandas(shingles, "node long, shingles binary")
+    return found.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "shingles").mapInPandas(verify, "u long, v long")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each group: the one with the smallest id (rows without an id come last).
 
-    Texts with equal fingerprints, and texts linked by similar_links, are a group. Only rows that may go, and
+    Texts with equal sets of shingles, and texts linked by similar_links, are a group; texts that only share a
+    fingerprint are compared like any others. Only rows that may go, and
     those that meet them in a Bloom filter, are shuffled; the rest stay where they are.
     """
-    bound_batches(docs.sparkSession)
-    fps = cut(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("fp", "first", F.col("first.row").alias("row"))
+    fps = cut(signatures(docs, width, id_col, text_col), "fingerprints")
+    classes = fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("node", "fp", "first", F.col("first.row").alias("row"))
     classes = cut(classes, "classes")
     found = connected_components(similar_links(docs, classes, width, similarity, id_col, text_col))
-    rooted = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("first").alias("stays")).select("root", F.col("stays.row").alias("stays"))
-    fate = rooted.join(stays, "root").select("fp", "stays")
-    counted = fps.groupBy("fp", "row").agg(F.count(F.lit(1)).alias("n")).join(fate, "fp")
+    fate = rooted.join(stays, "root").select("node", "stays")
+    counted = fps.groupBy("node", "row").agg(F.count(F.lit(1)).alias("n")).join(fate, "node")
     touched = cut(counted.where("row != stays or n > 1").select(F.col("row").alias("__row"), (F.col("row") == F.col("stays")).alias("__stays")).distinct(), "touched")
     maybe = maybe_in(touched.select(F.col("__row").alias("h")))
     keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__maybe", maybe("__key"))

@@ -96,6 +96,22 @@ def test_deduplicate_against_brute_force(spark):
     assert got == sorted(set(_reach(set(texts), pairs).values()), key=str)
 
 
+def test_deduplicate_compares_equal_fingerprints(spark, monkeypatch):
+    # All texts share one fingerprint: only similar sets may merge.
+    monkeypatch.setattr(simhash, "signatures", lambda *a, inner=simhash.signatures: inner(*a).withColumn("fp", F.lit(5).cast("long")))
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[1] + " more"), (4, texts[2]), (5, texts[2].upper())]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+
+
+def test_deduplicate_keeps_texts_that_share_a_repeated_line(spark):
+    line = " ".join(f"line{i}" for i in range(13))
+    rows = [(k, " ".join(f"own{k}x{i}" for i in range(40)) + f" {line}" * 60) for k in range(2)]
+    assert simhash.fingerprint(rows[0][1], 5) == simhash.fingerprint(rows[1][1], 5)
+    assert simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
 # --- 4
 
 
