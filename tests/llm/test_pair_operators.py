@@ -112,6 +112,28 @@ def test_deduplicate_keeps_texts_that_share_a_repeated_line(spark):
     assert simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
 
 
+def test_candidates_at_the_threshold():
+    random, found, n = np.random.default_rng(8), 0, 1500
+    for _ in range(n):
+        size = int(random.integers(40, 400))
+        own = round(size * (1 - 0.8) / (1 + 0.8) - 0.5)  # both texts have that many of their own
+        h = random.integers(0, 1 << 63, size + own, np.uint64)
+        a, b = h[:size], h[own:]
+        near = (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= simhash.WIDE_RADIUS
+        found += near and bool((simhash.table_keys(a) == simhash.table_keys(b)).any())
+    assert found >= 0.998 * n
+
+
+def test_deduplicate_finds_copies_at_the_threshold(spark):
+    random = np.random.default_rng(9)
+    words = [[f"w{k}x{i}" for i in random.permutation(9000)[:200]] for k in range(60)]
+    # Of 196 shingles 20 change, each in both texts: a similarity of 176 / 216 = 0.815.
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)] + [(1000 + k, " ".join([*(f"v{i}" for i in range(20)), *w[20:]])) for k, w in enumerate(words)]
+    rows += [(2000, f"{rows[0][1]} {rows[1][1][:0]}" + (" " + " ".join(f"l{i}" for i in range(13))) * 60), (2001, rows[0][1])]
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept & set(range(60))) == 60 and len(kept & set(range(1000, 1060))) <= 1 and 2001 not in kept and 2000 not in kept
+
+
 # --- 4
 
 
