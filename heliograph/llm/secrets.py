@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false positives; DataFrame functions only.
 
-Candidates are runs of 16 or more key characters that hold a digit, and quoted or bare values of 8 or
-more characters assigned to a name like password. Each gets features of itself (length, character
+Candidates are runs of 16 or more key characters, of any length, that hold a digit or begin as known keys do,
+without the name that an equals sign sets off, and quoted or bare values of 8 or more characters assigned to a
+name that ends like password, token or api_key. Each gets features of itself (length, character
 transitions, character classes, distinct characters, dictionary coverage), of the path it may be part of
 and of its neighbouring words. A random forest trained on labelled findings scores it, and candidates
 below THRESHOLD are dropped as false positives.
@@ -34,10 +35,17 @@ TREES, DEPTH, SEED = 24, 7, 5
 AROUND = 64
 MASK = "[SECRET]"
 
-KEY_RUN = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z0-9+/_=.\-]{16})(?=[A-Za-z+/_=.\-]{0,4096}+[0-9])[A-Za-z0-9+/_=.\-]{16,4096}+"
+#: Keys that issuers mark; these need no digit.
+KNOWN = r"(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|[rs]k_(?:live|test)_|sk-|eyJ)"
+RUN = rf"(?=[A-Za-z0-9+/_=.\-]{{16}})(?=[A-Za-z+/_=.\-]*+[0-9]|{KNOWN})[A-Za-z0-9+/_=.\-]{{16,}}+"
+#: The name before an equals sign in a run.
+SET = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}+={1,2}"
 #: The name and the quote belong to the match, not to the candidate.
-NAMED = r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Ss]ecret|SECRET)\s{0,2}[:=]\s{0,2}[\"']?"
-CANDIDATE = f"{NAMED}(?![\\s\"'])[^\\s\"']{{8,4096}}+|{KEY_RUN}"
+NAMED = r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_.\-]*?(?i:passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|auth|private|secret|account|encryption|signing|ssh)[_.\-]?key)(?:s|_?id|_?value)?[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
+VALUE = r"(?![\s\"'])[^\s\"']{8,}+"
+CANDIDATE = rf"{NAMED}{VALUE}|(?<![A-Za-z0-9+/_=.\-])(?:{SET})?{RUN}"
+#: What of a candidate's match comes before the candidate.
+LEAD = rf"^(?:{NAMED}(?={VALUE})|{SET}(?={RUN}))"
 
 #: Parts of identifiers, paths and placeholders that real keys hold only by chance.
 DICTIONARY = ["access", "admin", "archive", "backup", "build", "cache", "change", "class", "client", "config", "count", "create", "data", "debug", "default", "demo", "document", "download", "dummy", "error", "example", "export", "field", "file", "final", "folder", "global", "group", "here", "home", "image", "import", "index", "input", "insert", "item", "label", "library", "local", "login", "main", "message", "model", "module", "name", "number", "output", "package", "page", "password", "path", "placeholder", "print", "python", "query", "release", "report", "request", "result", "sample", "script", "secret", "server", "service", "session", "source", "state", "static", "status", "string", "style", "system", "table", "temp", "test", "text", "time", "title", "token", "type", "update", "upload", "user", "value", "version", "your"]
@@ -55,7 +63,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     flat = each.where("z.cand is not null").select("id", "text_hash", "ordinal", "z.cand", F.col("z.part.n").alias("n"), F.col("z.part.last").alias("before"), F.col("z.after").alias("after"))
     flat = flat.dropDuplicates(["id", "text_hash", "ordinal"])
     # The name of an assignment goes to what stands before.
-    name = F.regexp_extract("cand", f"^{NAMED}", 0)
+    name = F.regexp_extract("cand", LEAD, 0)
     flat = flat.withColumns({"n": F.col("n") + F.length(name), "before": F.right(F.concat("before", name), F.lit(AROUND)), "cand": F.substr("cand", F.length(name) + 1)})
     upto = Window.partitionBy("id", "text_hash").orderBy("ordinal")
     ends = F.sum(F.col("n") + F.length("cand")).over(upto)
@@ -156,7 +164,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     some = docs.where(suspect)
     met = some.join(found, some[id_col].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(some[text_col]) == found["__hash"]), "left")
     parts, cands = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(CANDIDATE), 0)
-    masked = F.transform(cands, lambda c, i: F.when(F.array_contains("__kept", i), F.concat(F.regexp_extract(c, f"^{NAMED}", 0), F.lit(MASK))).otherwise(c))
+    masked = F.transform(cands, lambda c, i: F.when(F.array_contains("__kept", i), F.concat(F.regexp_extract(c, LEAD, 0), F.lit(MASK))).otherwise(c))
     whole = F.array_join(F.zip_with(parts, masked, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
     new = met.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(whole)).select(*docs.columns)
     return docs.where(~suspect).unionByName(new.to(T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])))
