@@ -113,9 +113,9 @@ def original_of_edited(name) -> Column:
 
 
 def bytes_label(n) -> Column:
-    """A size in B, KB, MB or GB with one decimal."""
+    """A size in B, KB, MB or GB with one decimal; null for null."""
     c = _col(n).cast("double")
-    return F.when(c < 1024, F.format_string("%.0f B", c)).when(c < 1024**2, F.format_string("%.1f KB", F.round(c / 1024, 1))).when(c < 1024**3, F.format_string("%.1f MB", F.round(c / 1024**2, 1))).otherwise(F.format_string("%.1f GB", F.round(c / 1024**3, 1)))
+    return F.when(c.isNull(), F.lit(None)).when(c < 1024, F.format_string("%.0f B", c)).when(c < 1024**2, F.format_string("%.1f KB", F.round(c / 1024, 1))).when(c < 1024**3, F.format_string("%.1f MB", F.round(c / 1024**2, 1))).otherwise(F.format_string("%.1f GB", F.round(c / 1024**3, 1)))
 
 
 def content_hash(c) -> Column:

@@ -117,7 +117,7 @@ def bbox_iou(spark, sf_dir):
 @query("""
     SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.1f KB', round(n_chars / CAST(1024 AS DOUBLE), 1)) END AS size FROM documents WHERE n_chars < 1048576""")
 def size_labels(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where("n_chars < 1048576").select("doc_id", text.bytes_label("n_chars").alias("size"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.bytes_label("n_chars").alias("size"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import geo, media, text, time, vector
 from heliograph.operators import clustering, merge, packing, relational, sessions
 from heliograph.sources import files
+from heliograph.plans import texts
 
 
 def _one(spark, column):
@@ -208,3 +209,10 @@ def test_times_do_not_depend_on_the_session_zone(spark):
         assert first() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_size_labels_of_every_document(spark, tmp_path):
+    sizes = [(1, 10), (2, 2048), (3, 1048576), (4, 3 * 1024**3), (5, None)]
+    spark.createDataFrame(sizes, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["size"] for r in texts.size_labels(spark, str(tmp_path)).collect()}
+    assert got == {1: "10 B", 2: "2.0 KB", 3: "1.0 MB", 4: "3.0 GB", 5: None}
