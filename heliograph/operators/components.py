@@ -2,7 +2,7 @@
 
 Every round is two aggregations and two joins over the edges; nothing is gathered on the driver but a
 count and a checksum. The edge table of each round is written to the shared folder, so a lost executor
-costs one round at most. Rounds end when a round changes no edge; the edges then form stars around the
+costs one round at most, and takes the place of the table before. Rounds end when a round changes no edge; the edges then form stars around the
 smallest id of each component.
 """
 
@@ -27,6 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def checksum(edges: DataFrame):
+    """(n, h): the number of distinct edges and the exclusive or of their hashes, which no number of edges overflows."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u, v) of integer ids -> (id, root) for every id in an edge, where root is the component's smallest id.
 
@@ -35,9 +40,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))).alias("h")).first()
+        mark = checksum(now)
         if mark["n"] == 0 or mark == seen:
             break
         seen = mark
-        now = cut(_small_star(_large_star(now)), "edges")
+        now = cut(_small_star(_large_star(now)), "edges", replaces=now)
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()

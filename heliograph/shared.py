@@ -9,17 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is named."""
+    """The folder the cluster names for checkpoints; a temporary one where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the plan above starts from files that survive a lost executor."""
+def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the plan above starts from files that survive a lost executor.
+
+    ``replaces`` is an earlier result of cut that nothing reads any more once df is written; its files are removed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if replaces is not None:
+        remove(replaces)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(table: DataFrame) -> None:
+    """Remove the files of a table that cut has written."""
+    spark = table.sparkSession
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

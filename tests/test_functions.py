@@ -216,3 +216,12 @@ def test_size_labels_of_every_document(spark, tmp_path):
     spark.createDataFrame(sizes, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["size"] for r in texts.size_labels(spark, str(tmp_path)).collect()}
     assert got == {1: "10 B", 2: "2.0 KB", 3: "1.0 MB", 4: "3.0 GB", 5: None}
+
+
+def test_checksum_of_many_edges(spark):
+    from heliograph.operators.components import checksum
+
+    n = 1 << 25
+    edges = spark.range(n).select(F.col("id").alias("u"), (F.col("id") * 3 + 1).alias("v"))
+    mark = checksum(edges)
+    assert mark["n"] == n and mark != checksum(edges.where("u != 7"))
