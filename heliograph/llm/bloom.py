@@ -41,9 +41,9 @@ def bloom_filter(keys: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"at": at, "word": words.reshape(-1)[at].view(np.int64)})
 
     merged = keys.mapInPandas(part, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    found = merged.toArrow()  # at most MAX_BLOCKS * 8 words, 16 bytes each, as columns
     words = np.zeros(blocks * 8, np.int64)
-    for row in merged.collect():  # at most MAX_BLOCKS * 8 words
-        words[row["at"]] = row["word"]
+    words[found["at"].to_numpy()] = found["word"].to_numpy()
     return words.view(np.uint64).reshape(blocks, 8)
 
 
