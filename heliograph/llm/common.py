@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def as_rows(df: DataFrame):
+    """All columns of df as one struct, so that no column of an operator's own can clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep what one Python worker holds at once small, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

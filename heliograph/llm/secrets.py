@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from heliograph.llm.common import as_rows, quoted
+
 THRESHOLD = 0.5
 FINDINGS = 2000
 TREES, DEPTH, SEED = 24, 7, 5
@@ -37,13 +39,14 @@ MASK = "[SECRET]"
 
 #: Keys that issuers mark; these need no digit.
 KNOWN = r"(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|[rs]k_(?:live|test)_|sk-|eyJ)"
-RUN = rf"(?=[A-Za-z0-9+/_=.\-]{{16}})(?=[A-Za-z+/_=.\-]*+[0-9]|{KNOWN})[A-Za-z0-9+/_=.\-]{{16,}}+"
+RUN = rf"(?=[\w+/=.\-]{{16}})(?=[A-Za-z+/_=.\-]*+[0-9]|{KNOWN})[\w+/=.\-]{{16,}}+"
 #: The name before an equals sign in a run.
-SET = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}+={1,2}"
-#: The name and the quote belong to the match, not to the candidate.
-NAMED = r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_.\-]*?(?i:passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|auth|private|secret|account|encryption|signing|ssh)[_.\-]?key)(?:s|_?id|_?value)?[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
+SET = r"[A-Za-z_][\w.\-]{0,63}+={1,2}"
+#: The name and the quote belong to the match, not to the candidate. The first look ahead leaves most words at once.
+NAMED = r"(?=[\w.\-]{3,}+[\"']?\s{0,2}[:=])[\w.\-]*?(?i:passw(?:or)?d|passphrase|pwd|secret|token|credential|(?:api|access|auth|private|secret|account|encryption|signing|ssh)[_.\-]?key)(?:s|_?id|_?value)?[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
 VALUE = r"(?![\s\"'])[^\s\"']{8,}+"
-CANDIDATE = rf"{NAMED}{VALUE}|(?<![A-Za-z0-9+/_=.\-])(?:{SET})?{RUN}"
+#: Both kinds begin where no word goes on, which is looked at once.
+CANDIDATE = rf"(?<![\w.\-])(?:{NAMED}{VALUE}|(?<![+/=])(?=[\w+/=.\-]{{16}})(?:{SET}(?={RUN}))?{RUN})"
 #: What of a candidate's match comes before the candidate.
 LEAD = rf"^(?:{NAMED}(?={VALUE})|{SET}(?={RUN}))"
 
@@ -52,6 +55,9 @@ DICTIONARY = ["access", "admin", "archive", "backup", "build", "cache", "change"
 SECRET_WORDS = r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|private|auth|bearer|credential|pwd)[^\n]{0,12}$"
 OTHER_WORDS = r"(?i)(sha\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|version|build|order|invoice|card|phone|serial|isbn|\bid|image|see|file|path|from|ref)\W{0,6}$"
 
+#: The characters that are told apart.
+PRINTED = [chr(c) for c in range(33, 127)]
+
 FEATURES = ["length", "transitions", "digits", "uppers", "marks", "distinct", "dictionary", "hex", "numeric", "path", "secret_word", "other_word", "assigned", "quoted"]
 
 
@@ -84,7 +90,7 @@ def features(found: DataFrame) -> DataFrame:
         "digits": without(r"[0-9]") / n,
         "uppers": without(r"[A-Z]") / n,
         "marks": without(r"[^A-Za-z0-9]") / n,
-        "distinct": F.size(F.array_distinct(F.split(F.left(cand, F.lit(200)), ""))) / F.least(n, F.lit(40.0)),
+        "distinct": reduce(Column.__add__, [cand.contains(ch).cast("int") for ch in PRINTED]) / F.least(n, F.lit(40.0)),
         "dictionary": (n - F.length(F.regexp_replace(F.lower(cand), "|".join(DICTIONARY), ""))) / n,
         "hex": flag(cand.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "numeric": flag(cand.rlike(r"^[0-9.\-]+$")),
@@ -158,13 +164,15 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
 
     Only texts with a candidate are shuffled, to meet their findings.
     """
-    suspect = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    found = scan(docs, model, id_col, text_col).groupBy(id_col, "text_hash").agg(F.collect_list("ordinal").alias("__kept"))
-    found = found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "__kept")
-    some = docs.where(suspect)
-    met = some.join(found, some[id_col].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(some[text_col]) == found["__hash"]), "left")
-    parts, cands = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(CANDIDATE), 0)
-    masked = F.transform(cands, lambda c, i: F.when(F.array_contains("__kept", i), F.concat(F.regexp_extract(c, LEAD, 0), F.lit(MASK))).otherwise(c))
+    text = F.col(quoted(text_col))
+    suspect = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
+    found = scan(docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text")), model, "id", "text").groupBy("id", "text_hash").agg(F.collect_list("ordinal").alias("kept"))
+    some = docs.where(suspect).select(as_rows(docs).alias("doc"))
+    own = F.col("doc").getField
+    met = some.join(found, own(id_col).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(own(text_col)) == F.col("text_hash")), "left")
+    parts, cands = F.split(own(text_col), CANDIDATE, -1), F.regexp_extract_all(own(text_col), F.lit(CANDIDATE), 0)
+    masked = F.transform(cands, lambda c, i: F.when(F.array_contains("kept", i), F.concat(F.regexp_extract(c, LEAD, 0), F.lit(MASK))).otherwise(c))
     whole = F.array_join(F.zip_with(parts, masked, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
-    new = met.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(whole)).select(*docs.columns)
-    return docs.where(~suspect).unionByName(new.to(T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])))
+    new = F.when(F.col("kept").isNull(), own(text_col)).otherwise(whole)
+    clean = met.select(*[(new if c == text_col else own(c)).alias(c) for c in docs.columns])
+    return docs.where(~suspect).unionByName(clean.to(T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])))
