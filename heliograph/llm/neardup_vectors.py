@@ -12,9 +12,9 @@ counts in the first one only, which each task tells from the bucket numbers that
 vectors, so links are summed without listing pairs. Buckets with more than BLOCK rows are cut into
 blocks that meet pairwise.
 
-Null vectors, zero vectors, vectors with null or non-finite components and vectors of another length
-than the most frequent one link with nothing. Rows with a null id get no links, a null component and
-kept = false. Repeated rows count as other vectors.
+Only vectors of one length are compared. Null vectors, zero vectors and vectors with null or non-finite
+components link with nothing. Rows with a null id get no links, a null component and kept = false.
+Repeated rows count as other vectors; different vectors that share an id are one, with the links of all.
 """
 
 from __future__ import annotations
@@ -95,13 +95,12 @@ def _nodes(valid: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            x /= np.abs(x).max(1, keepdims=True)
-            own, more = buckets(x / np.sqrt((x * x).sum(1, keepdims=True)))
-            batch["own"], batch["more"] = list(own), list(more.reshape(len(x), -1))
-            yield batch
+            sizes = batch["v"].map(len)
+            for _, part in batch.groupby(sizes):  # vectors of one length
+                x = np.stack(part["v"].to_numpy()).astype(np.float64)
+                x /= np.abs(x).max(1, keepdims=True)
+                own, more = buckets(x / np.sqrt((x * x).sum(1, keepdims=True)))
+                yield part.assign(own=list(own), more=list(more.reshape(len(x), -1)))
 
     return classes.mapInPandas(run, "node long, h long, n long, v array<double>, own array<long>, more array<long>")
 
@@ -112,27 +111,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     bound_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    usual = rows.where(finite & F.col("id").isNotNull()).groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    dims = usual["d"] if usual else 0
-    ok = finite & F.col("id").isNotNull() & (F.size("v") == dims)
+    ok = finite & F.col("id").isNotNull()
     valid = rows.where(ok).select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))  # -0.0 becomes 0.0
     nodes = cut(_nodes(valid), "vectors")
 
     homes = F.transform("own", lambda b, t: F.struct(t.alias("t"), b.alias("bucket"), F.lit(True).alias("home")))
     probes = F.transform("more", lambda b, i: F.struct((i / PROBES).cast("int").alias("t"), b.alias("bucket"), F.lit(False).alias("home")))
-    at = nodes.select("node", "h", F.explode(F.concat(homes, probes)).alias("p")).select("p.t", "p.bucket", "p.home", "node", "h")
-    sizes = at.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("lived_in")).where("n > 1 and lived_in").select("t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = at.join(sizes, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "h"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    groups = dealt.select("t", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "home", "node", "h").join(nodes, ["node", "h"])
-    keys = ["t", "bucket", "lo", "hi"]
+    at = nodes.select("node", "h", F.size("v").alias("d"), F.explode(F.concat(homes, probes)).alias("p")).select("d", "p.t", "p.bucket", "p.home", "node", "h")
+    sizes = at.groupBy("d", "t", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("lived_in")).where("n > 1 and lived_in").select("d", "t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = at.join(sizes, ["d", "t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "h"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    groups = dealt.select("d", "t", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "home", "node", "h").join(nodes, ["node", "h"])
+    keys = ["d", "t", "bucket", "lo", "hi"]
     groups = groups.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, keys, BLOCK // 2):
+        for frame in (part for held in whole_groups(batches, keys, BLOCK // 2) for _, part in held.groupby("d")):
             x = np.stack(frame["v"].to_numpy())
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            t, bucket, lo, hi, part, home, node, count = (frame[c].to_numpy() for c in [*keys, "part", "home", "node", "n"])
+            t, bucket, lo, hi, part, home, node, count = (frame[c].to_numpy() for c in [*keys[1:], "part", "home", "node", "n"])
             own = np.stack(frame["own"].to_numpy())
             more = np.stack(frame["more"].to_numpy()).reshape(len(x), TABLES, PROBES)
             group = np.cumsum(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in (t, bucket, lo, hi)], axis=0)]))
