@@ -22,17 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches
+from heliograph.llm.common import bound_batches, quoted
 
-#: The labelled sample, in expected rows a language and in all, and the longest text in it (bytes).
+#: The labelled sample: expected rows a language, the most rows of all, the languages that are learnt (the most frequent
+#: ones), and the characters of a text in it: of a longer text the sample has a run of as many, from a place that the
+#: row's hash chooses.
 SAMPLE_PER_LANG = 1200
 SAMPLE_ROWS = 6000
-SAMPLE_MAX_BYTES = 32_768
+LANGUAGES = 256
+SAMPLE_CHARS = 32_768
 #: Landmarks a language, and the lengths (characters) a landmark may have.
 LANDMARKS_PER_LANG = 48
 LANDMARK_CHARS = (150, 4000)
-#: Letters that keep a class of their own; all others share one.
-ALPHABET = 62
+#: Letters of the landmarks that keep a class of their own; all others share one. With up to 62 letters every n-gram
+#: has its own number; with more, the numbers are hashed into as many places.
+ALPHABET = 8192
 RIDGE = 1e-3
 #: Characters that are looked at together; longer texts take no more memory.
 SEGMENT = 1 << 20
@@ -57,22 +61,33 @@ def _letter_classes(texts: list[str]) -> np.ndarray:
             if ch.isalpha():
                 counts[ch] = counts.get(ch, 0) + 1
     kept = sorted(counts, key=lambda ch: (-counts[ch], ch))[:ALPHABET]
-    classes = np.zeros(0x110000, np.uint8)
-    classes[[cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha()]] = CLASSES - 1
+    classes = np.zeros(0x110000, np.uint16)
+    classes[[cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha()]] = max(CLASSES - 1, len(kept) + 1)
     for i, ch in enumerate(kept):
         classes[ord(ch)] = i + 1
     return classes
 
 
+def _places(numbers: np.ndarray) -> np.ndarray:
+    """The places of n-grams whose numbers are too many for places of their own."""
+    return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+
 def _gram_flags(text: str, classes: np.ndarray, flags: np.ndarray) -> bool:
     """Mark the distinct n-grams of the whole text in flags; False if it has no letter."""
     flags[:] = False
     some = False
+    base = max(CLASSES, int(classes.max()) + 1)
     for at in range(0, len(text), SEGMENT):  # two characters more on the left, so that no n-gram is cut
         part = text[max(0, at - 2) : at + SEGMENT]
         points = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = classes[points].astype(np.int32)
+        c = classes[points].astype(np.int64)
         some |= bool(c.any())
+        if base > CLASSES:
+            pairs = c[:-1] * base + c[1:]
+            for numbers in (c, base + pairs, base + base**2 + pairs[:-1] * base + c[2:]):
+                flags[_places(numbers)] = True
+            continue
         pairs = c[:-1] * CLASSES + c[1:]
         flags[c] = True
         flags[CLASSES + pairs] = True
@@ -145,16 +160,20 @@ def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Draw the bounded sample by the ids' hashes, about SAMPLE_PER_LANG rows a language, and train on it."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Draw the bounded sample by the rows' hashes, about SAMPLE_PER_LANG rows a language, and train on it.
+
+    Rows equal in id, text and language are drawn once, so neither repeated nor missing ids make the sample larger.
+    """
+    rows = labelled.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).alias("t"), F.col(quoted(lang_col)).alias("l")).where("t is not null and l is not null")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     each = min(SAMPLE_PER_LANG, max(1, SAMPLE_ROWS // len(sizes)))
-    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1 << 20, (each << 20) // n))) for lang, n in sorted(sizes.items())])
-    draw = F.xxhash64(F.col("i"))
-    sample = rows.where((F.pmod(draw, F.lit(1 << 20)) < share) & (F.octet_length("t") <= SAMPLE_MAX_BYTES)).withColumn("h", draw)
-    drawn = sample.select("h", "i", "t", "l").toPandas().sort_values(["h", "i", "t"], kind="stable")
+    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1 << 20, (each << 20) // n))) for lang, n in sorted(sizes.items())], F.lit(0))
+    hashed = rows.withColumns({"h": F.xxhash64("i", "t"), "k": F.xxhash64("t")})
+    run = F.substr("t", F.pmod("k", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    sample = hashed.where(F.pmod("h", F.lit(1 << 20)) < share).select("h", "i", "k", "l", run.alias("t")).dropDuplicates(["h", "i", "k", "l"])
+    drawn = sample.orderBy("h", "i", "l").limit(2 * SAMPLE_ROWS).toPandas()
     return train(drawn["t"].tolist(), drawn["l"].tolist())
 
 
@@ -170,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
             langs, sure = predict(shared.value, texts)
             yield pd.DataFrame({"id": batch["id"], "lang_pred": langs, "score": sure})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(score, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
@@ -185,4 +204,4 @@ def accept(docs: DataFrame, model: LanguageModel | None, least: float, text_col:
         langs, sure = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
         return pd.Series([lang != "und" and s >= least for lang, s in zip(langs, sure)], dtype=bool)
 
-    return docs.where(good(F.col(text_col)))
+    return docs.where(good(F.col(quoted(text_col))))

@@ -21,16 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches
+from heliograph.llm.common import bound_batches, quoted
 from heliograph.llm.wordhash import hash_texts, mix
 
 #: Hash buckets of trigrams; levels of each repetition term.
 BUCKETS = 8192
 LEVELS = 16
 WIDTH = BUCKETS + 3 * LEVELS + 1
-#: Expected rows of each label in the sample, and the longest text in it (bytes).
+#: Expected rows of each label in the sample, the most rows of all, and the characters of a text in it: of a longer
+#: text the sample has a run of as many, from a place that the row's hash chooses.
 SAMPLE_PER_LABEL = 1000
-SAMPLE_MAX_BYTES = 65_536
+SAMPLE_ROWS = 2 * 2 * SAMPLE_PER_LABEL
+SAMPLE_CHARS = 65_536
 DIMENSIONS = 64
 NEIGHBOURS = 15
 #: Similarities are raised to this power before they weigh a vote.
@@ -105,6 +107,14 @@ def train(texts: list[str | None], labels: list[int]) -> QualityModel | None:
     return QualityModel(weights, basis, np.ascontiguousarray(v.T), np.array(labels, np.float64))
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest of each row, in the columns' order; of equal ones the first."""
+    edge = np.partition(cosines, -k, axis=1)[:, -k, None]
+    over, even = cosines > edge, cosines == edge
+    even &= np.cumsum(even, axis=1) <= k - over.sum(1, keepdims=True)
+    return np.nonzero(over | even)[1].reshape(len(cosines), k)
+
+
 def predict(model: QualityModel | None, texts: list[str | None]) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
@@ -113,24 +123,29 @@ def predict(model: QualityModel | None, texts: list[str | None]) -> np.ndarray:
     prior = np.array([1 / max(1, (model.labels == y).sum()) for y in model.labels])  # the sample's labels count alike
     for i in range(0, len(texts), 256):
         cosines = _embed(texts[i : i + 256], model.weights, model.basis) @ model.vectors
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        near = nearest(cosines, k)
         w = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6).astype(np.float64) ** SHARPNESS * prior[near]
         out.append((w * model.labels[near]).sum(1) / w.sum(1))
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    """Draw about SAMPLE_PER_LABEL rows of each label by the ids' hashes, and train on them."""
-    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
+    """Draw about SAMPLE_PER_LABEL rows of each label by the ids' hashes, and train on them.
+
+    An id that is labelled twice has its larger label. Rows equal in id and text are drawn once.
+    """
+    marks = labels.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(label_col)).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1 << 20, (SAMPLE_PER_LABEL << 20) // n))) for y, n in sorted(sizes.items())])
-    draw = F.xxhash64(F.col("i"))
-    drawn = marks.where(F.pmod(draw, F.lit(1 << 20)) < share)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_MAX_BYTES)
-    # The drawn ids are bounded by SAMPLE_PER_LABEL for each of the two labels.
-    sample = texts.join(F.broadcast(drawn), "i").withColumn("h", F.xxhash64("i")).toPandas().sort_values(["h", "i"], kind="stable")
+    drawn = marks.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share)
+    texts = docs.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).alias("t"))
+    # The drawn ids are bounded by SAMPLE_PER_LABEL for each of the two labels; their rows by SAMPLE_ROWS.
+    found = texts.join(F.broadcast(drawn), "i").withColumns({"h": F.xxhash64("i"), "k": F.xxhash64("t")})
+    run = F.substr("t", F.pmod("k", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    rows = found.dropDuplicates(["h", "i", "k"]).select("h", "i", "k", "y", run.alias("t"))
+    sample = rows.orderBy("h", "i", "k").limit(SAMPLE_ROWS).toPandas()
     return train([t if isinstance(t, str) else None for t in sample["t"]], sample["y"].tolist())
 
 
@@ -145,6 +160,6 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
             s = np.clip(predict(shared.value, [t if isinstance(t, str) else None for t in batch["text"]]), 0, 1)
             yield pd.DataFrame({"id": batch["id"], "score": s, "predicted": (s >= THRESHOLD).astype("int32")})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(vote, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
