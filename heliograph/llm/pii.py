@@ -1,15 +1,20 @@
 """PII surrogates: every detected entity is replaced by a keyed, type-consistent stand-in.
 
 Detection finds e-mail addresses, phone numbers, payment cards, US social security numbers, IBANs, IPv4
-addresses and names of persons (a title or a known given name, then a capitalised word). An entity's
-canonical form (lower case, digits only, ...) decides its surrogate, so all mentions of it in the corpus
-change alike whatever their punctuation or case; each mention keeps its own format.
+addresses and names of persons (a title or a known given name, then a capitalised word). A person's given name
+and surname are entities of their own, and once a text has named a person, the same capitalised words are
+that person wherever else they stand in it, with or without a title. An entity's canonical form (lower
+case, digits only, ...) decides its surrogate, so all mentions of it in the corpus change alike whatever
+their punctuation or case: "John Smith", "Mr Smith" and "Smith" keep one surname. Each mention keeps its own format.
+Names without a title or a known given name anywhere in their text are not found.
 
 Surrogates are drawn from a keyed digest of (type, canonical form, attempt): letters become letters of the
-same script and case, digits become digits, cards keep their Luhn status, addresses stay addresses, given
-names keep their gender where it is known. A draw that equals another entity's draw of that type, or any
-entity that occurs in the corpus, is repeated with the next attempt until all are distinct; these checks are
-joins over the table of distinct entities, which is never gathered.
+same script and case, digits become digits, cards keep their Luhn status and IBANs their check digits' validity,
+addresses stay addresses, given names keep their gender where it is known; names are taken from a list, then
+made of syllables, more of them with every few attempts, so that they never run out. A draw that equals another
+entity's draw of that type, or any entity that occurs in the corpus, is repeated with the next attempt until all
+are distinct; these checks are joins over the table of distinct entities, which is never gathered. From the
+40th attempt on a surrogate has more letters or digits than its entity, so a type whose forms are all taken still ends.
 
 Null and empty texts have no entity. Documents without an entity are not returned. Repeated rows are
 rewritten once each; null ids are kept.
@@ -28,7 +33,7 @@ from pyspark.sql.window import Window
 
 from heliograph.llm.bloom import maybe_in
 from heliograph.llm.common import bound_batches
-from heliograph.shared import cut
+from heliograph.shared import cut, remove
 
 #: Common given names by gender, and titles.
 FEMALE = ["Alice", "Amelia", "Anna", "Barbara", "Camille", "Carmen", "Carol", "Charlotte", "Chloe", "Claire", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Greta", "Hannah", "Helen", "Ingrid", "Isabel", "Jane", "Jennifer", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Monica", "Nancy", "Olivia", "Patricia", "Paula", "Rachel", "Sarah", "Sofia", "Sophie", "Susan", "Teresa"]
@@ -41,12 +46,15 @@ IBAN = r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
 SSN = r"(?P<ssn>(?<![\d\-.])\d{3}-\d{2}-\d{4}(?![\d\-]))"
 IP = r"(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))"
 CARD = r"(?P<card>(?<![\w.\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\w\-]))"
-PHONE = r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?<![\w.])\+\d{8,15}(?!\w))"
+PHONE = r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?<![\w.])\+\d{8,15}(?!\w)|(?<![\w.])\+\d{1,3}+(?:[ .\-]\(?\d{1,8}+\)?){1,6}+(?!\w)|(?<![\w.])0\d(?:[ .\-]\d{2}){4}(?![\w\-]))"
 NUMERIC = re.compile("|".join([SSN, IP, CARD, PHONE]))
 #: Digits, or a plus sign or parenthesis before them, are where a search by NUMERIC is worth its time.
 NUMERIC_HINT = re.compile(r"\d[\d.()\- ]{5,}\d")
 MAILS, IBANS = re.compile(EMAIL), re.compile(IBAN)
 _SURE = "|".join([*FEMALE, *MALE, *(n.upper() for n in [*FEMALE, *MALE])])
+#: Syllables of made names (consonant and vowel), and the endings of given names by gender.
+CONSONANTS, VOWELS, ENDINGS = "bdfgklmnprstvz", "aeiou", {"f": "a", "m": "n", "": ""}
+_WORD = re.compile(r"[^\W\d_]+")
 #: A title and one or two capitalised words, or a given name and a capitalised word.
 PERSON = re.compile(r"\b(?=[^\W\d_a-z])(?:(?P<title>" + "|".join(TITLES) + r")\.? (?P<first>[^\W\d_a-z][^\W\d_]+)(?: (?P<last>[^\W\d_a-z][^\W\d_]+))?|(?P<given>" + _SURE + r") (?P<family>[^\W\d_a-z][^\W\d_]+))")
 
@@ -64,6 +72,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(canon: str) -> int:
+    """The check digits that make an IBAN of this country and account valid."""
+    return 98 - int("".join(str(int(ch, 36)) for ch in canon[4:] + canon[:2] + "00")) % 97
+
+
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Spans of given names and surnames; every further mention of a name that the text has given to a person is one."""
+    found, known = [], {}
+    for m in PERSON.finditer(text):
+        parts = [p for p in ("first", "last", "given", "family") if m.group(p)]
+        words = [m.group(p) for p in parts]
+        title = TITLES.get(m.group("title") or "", "")
+        gender = GENDER.get(words[0].lower(), title)
+        for i, (part, word) in enumerate(zip(parts, words)):
+            given = i == 0 and (len(words) == 2 or word.lower() in GENDER)
+            kind, canon = ("given", f"{gender}|{word.lower()}") if given else ("family", word.lower())
+            found.append((*m.span(part), kind, canon))
+            known.setdefault(word.lower(), (kind, canon))
+    if known:
+        found += [(*m.span(), *known[m.group().lower()]) for m in _WORD.finditer(text) if m.group()[:1].isupper() and m.group().lower() in known]
+    return found
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of the entities of the whole text, in order, without overlaps."""
     if not text:
@@ -74,13 +105,11 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if NUMERIC_HINT.search(text):
         for m in NUMERIC.finditer(text):
             kind = m.lastgroup or ""
+            if kind == "phone" and not 7 <= sum(map(str.isdigit, m.group())) <= 15:
+                continue
             found.append((*m.span(), kind, m.group() if kind == "ip" else re.sub(r"\D", "", m.group())))
         found += [(*m.span(), "iban", m.group().replace(" ", "")) for m in IBANS.finditer(text)]
-    for m in PERSON.finditer(text):
-        part = "first" if m.group("title") else "given"
-        gender = GENDER.get(m.group(part).lower(), TITLES.get(m.group("title") or "", ""))
-        start = m.start(part)
-        found.append((start, m.end(), "name", f"{gender}|{text[start : m.end()].lower()}"))
+    found += persons(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str, str]] = []
     for x in found:
@@ -121,45 +150,59 @@ class _Draw:
         return ch
 
 
+def _name(draw: _Draw, like: str, attempt: int, known: list[str], ending: str) -> str:
+    """A name: of the list at first, then of syllables; letter by letter in other scripts than the Latin one."""
+    if known and attempt < 3:
+        return known[draw.below(len(known))].lower()
+    if not like[:1].isascii():
+        return "".join(map(draw.letter, like)) + "".join(draw.letter(like[0]) for _ in range(attempt // 8))
+    syllables = 2 + attempt // 8
+    return "".join(CONSONANTS[draw.below(len(CONSONANTS))] + VOWELS[draw.below(len(VOWELS))] for _ in range(syllables)) + (ending or CONSONANTS[draw.below(len(CONSONANTS))])
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
-    """The canonical form of the stand-in: as long as the entity's, except for given names."""
+    """The canonical form of the stand-in: as long as the entity's, except for names and late attempts."""
     draw = _Draw(key, kind, canon, str(attempt))
+    more = "".join(str(draw.below(10)) for _ in range(max(0, attempt - 32) // 8))
     if kind == "email":
         local, _, domain = canon.partition("@")
         labels = domain.split(".")
-        return "".join(map(draw.letter, local)) + "@" + ".".join(["".join(map(draw.letter, x)) for x in labels[:-1]] + labels[-1:])
+        return "".join(map(draw.letter, local)) + more + "@" + ".".join(["".join(map(draw.letter, x)) for x in labels[:-1]] + labels[-1:])
     if kind == "ip":
-        return ".".join(str(draw.below(254) + 1) for _ in range(4))
+        return ".".join(str(draw.below(254) + 1) for _ in range(4 + len(more)))
     if kind == "card":
-        body = canon[:1] + "".join(str(draw.below(10)) for _ in canon[2:])
+        body = canon[:1] + "".join(str(draw.below(10)) for _ in canon[2:]) + more
         checks = [body + str(d) for d in range(10)]
         good = next(x for x in checks if luhn(x))
         return good if luhn(canon) else next(x for x in checks[draw.below(10) :] + checks if x != good)
     if kind == "phone":
         keep = len(canon) - 10 if len(canon) > 10 else 0  # the country stays
-        return canon[:keep] + "".join(str(draw.below(10)) for _ in canon[keep:])
+        return canon[:keep] + "".join(str(draw.below(10)) for _ in canon[keep:]) + more
     if kind == "iban":
-        return canon[:2] + "".join(map(draw.letter, canon[2:]))
-    if kind == "name":
+        account = "".join(map(draw.letter, canon[4:])) + more
+        right = iban_check(canon[:4] + account)
+        valid = canon[2:4] == f"{iban_check(canon):02d}"
+        return canon[:2] + (f"{right:02d}" if valid else f"{right % 97 + 1:02d}") + account
+    if kind == "given":
         gender, _, name = canon.partition("|")
-        first, space, last = name.partition(" ")
         known = FEMALE if gender == "f" else MALE if gender == "m" else []
-        new = known[draw.below(len(known))].lower() if known and first in GENDER else "".join(map(draw.letter, first))
-        return f"{gender}|{new}{space}{''.join(map(draw.letter, last))}"
-    return "".join(map(draw.letter, canon))
+        return f"{gender}|{_name(draw, name, attempt, known, ENDINGS[gender])}"
+    if kind == "family":
+        return _name(draw, canon, attempt, [], "")
+    return "".join(map(draw.letter, canon)) + more
 
 
 def rendered(mention: str, kind: str, new: str) -> str:
     """The surrogate in the mention's format."""
     if kind == "ip":
         return new
-    if kind == "name":
-        words = new.partition("|")[2].split(" ")
-        return " ".join(w.upper() if old.isupper() and len(old) > 1 else w[:1].upper() + w[1:] for w, old in zip(words, mention.split(" ")))
+    if kind in ("given", "family"):
+        word = new.rpartition("|")[2]
+        return word.upper() if mention.isupper() and len(mention) > 1 else word[:1].upper() + word[1:]
     if kind == "email":
-        return "".join(n.upper() if old.isupper() else n for n, old in zip(new, mention))
+        return "".join(n.upper() if old.isupper() else n for n, old in zip(new, mention)) + new[len(mention) :]
     chars = iter(new)
-    return "".join(next(chars, ch) if (ch.isalnum() if kind == "iban" else ch.isdigit()) else ch for ch in mention)
+    return "".join(next(chars, ch) if (ch.isalnum() if kind == "iban" else ch.isdigit()) else ch for ch in mention) + "".join(chars)
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -193,18 +236,16 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
         free = drawn.join(taken, ["kind", "new"], "left_anti")
         first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("canon"))
         won = free.withColumn("r", first).where("r = 1").drop("r")
-        settled = cut(won.select("kind", "canon", "new") if settled is None else settled.unionByName(won.select("kind", "canon", "new")), "settled")
-        waiting = cut(everyone.join(settled, ["kind", "canon"], "left_anti"), "waiting")
+        settled = cut(won.select("kind", "canon", "new") if settled is None else settled.unionByName(won.select("kind", "canon", "new")), "settled", replaces=settled)
+        waiting = cut(everyone.join(settled, ["kind", "canon"], "left_anti"), "waiting", replaces=waiting if attempt else None)
+        remove(drawn)
         attempt += 1
         if waiting.isEmpty():
             return settled
-        if attempt == 200:  # a type with fewer forms than entities: what is left becomes a mark of its own
-            mark = F.substring(F.sha2(F.concat_ws("|", F.lit(key.hex()), "kind", "canon"), 256), 1, 24)
-            return settled.unionByName(waiting.select("kind", "canon", F.concat(F.lit("#"), mark).alias("new")))
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_entities, kinds, text) of the documents with an entity; text holds the surrogates."""
+    """(id_col, n_entities, kinds, text) of the documents with an entity; text holds the surrogates, n_entities counts mentions."""
     found = cut(mentions(docs, id_col, text_col), "mentions")
     named = found.join(assign(found, key), ["kind", "canon"])
     spans = named.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "stop", "kind", "new")))).alias("spans"))
@@ -219,7 +260,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         for text, parts in zip(texts, spans):
             pieces, at = [], 0
             for e in parts:
-                pieces += [text[at : e["start"]], rendered(text[e["start"] : e["stop"]], e["kind"], e["new"]) if not e["new"].startswith("#") else e["new"]]
+                pieces += [text[at : e["start"]], rendered(text[e["start"] : e["stop"]], e["kind"], e["new"])]
                 at = e["stop"]
             out.append("".join([*pieces, text[at:]]))
         return pd.Series(out, dtype=object)
