@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.bloom import maybe_in
-from heliograph.llm.common import bound_batches
+from heliograph.llm.common import as_rows, bound_batches, quoted
 from heliograph.operators.components import connected_components
 from heliograph.shared import cut
 
@@ -385,8 +385,8 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     stays = rooted.groupBy("root").agg(F.min("first").alias("stays")).select("root", F.col("stays.row").alias("stays"))
     fate = rooted.join(stays, "root").select("node", "stays")
     counted = fps.groupBy("node", "row").agg(F.count(F.lit(1)).alias("n")).join(fate, "node")
-    touched = cut(counted.where("row != stays or n > 1").select(F.col("row").alias("__row"), (F.col("row") == F.col("stays")).alias("__stays")).distinct(), "touched")
-    maybe = maybe_in(touched.select(F.col("__row").alias("h")))
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__maybe", maybe("__key"))
-    met = keyed.where("__maybe").join(touched, F.col("__key") == F.col("__row"), "left").where(F.coalesce("__stays", F.lit(True))).dropDuplicates(["__key"])
-    return keyed.where("not __maybe").select(*docs.columns).unionByName(met.select(*docs.columns))
+    touched = cut(counted.where("row != stays or n > 1").select(F.col("row").alias("touched"), (F.col("row") == F.col("stays")).alias("keep")).distinct(), "touched")
+    maybe = maybe_in(touched.select(F.col("touched").alias("h")))
+    keyed = docs.select(as_rows(docs).alias("doc"), row_key(quoted(id_col), quoted(text_col)).alias("key")).withColumn("maybe", maybe("key"))
+    met = keyed.where("maybe").join(touched, F.col("key") == F.col("touched"), "left").where(F.coalesce("keep", F.lit(True))).dropDuplicates(["key"])
+    return keyed.where("not maybe").select("doc").unionByName(met.select("doc")).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ Only candidates that pass the blocked Bloom filter of the list (see bloom.py) re
 with the list, which removes the false positives. URLs are judged once each.
 
 A null URL and one without "://" have an empty host and path and fit no entry. Rows with null ids,
-repeated rows and further columns are kept as they are.
+repeated rows and further columns are kept as they are; columns named like the added ones get ``page_`` before their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.bloom import maybe_in
+from heliograph.llm.common import quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,7 +40,10 @@ def judge(pages: DataFrame, entries: DataFrame, url_col: str = "url") -> DataFra
     listed = entries.select(F.concat("host", "path").alias("entry"), "verdict", "kind", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n")).distinct()
     shapes = [(r["labels"], r["n"]) for r in listed.select("labels", "n").distinct().collect()]
     maybe = maybe_in(listed.select(F.xxhash64("entry").alias("h")).distinct())
-    parsed = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    added = {"host", "path", "entry", "entry_kind", "entry_verdict"}
+    own = [F.col(quoted(c)).alias(f"page_{c}" if c.lower() in added else c) for c in pages.columns]
+    url = F.col(quoted(url_col))
+    parsed = pages.select(*own, host_of(url).alias("host"), path_of(url).alias("path"))
     labels = F.split("host", r"\.")
     keys = [F.when((F.size(labels) >= n) & (F.length("path") >= k) & (F.col("host") != ""), F.concat(F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n), "."), F.substring("path", 1, k))) for n, k in shapes]
     if not keys:
