@@ -1,6 +1,7 @@
 """SimHash, embeddings, URL filters and the pipeline against brute force."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -8,8 +9,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heliograph.llm import bloom, langid, neardup_vectors, queries, simhash, urlfilter
+from heliograph.llm import bloom, langid, neardup_vectors, queries, secrets, simhash, urlfilter
 from heliograph.operators.components import connected_components
+from tests.llm.brute import contaminated as _brute_contaminated
 
 DATA = "/root/testdata/sf0.001"
 
@@ -134,6 +136,12 @@ def test_deduplicate_finds_copies_at_the_threshold(spark):
     assert len(kept & set(range(60))) == 60 and len(kept & set(range(1000, 1060))) <= 1 and 2001 not in kept and 2000 not in kept
 
 
+def test_deduplicate_leaves_clashing_columns_alone(spark):
+    rows = [(1, "a b c d e f", "mine", 1, "x"), (2, "a b c d e f", "yours", 2, "y"), (3, "g h i j k", "ours", 3, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string, maybe int, `stays.or` string")
+    assert sorted(map(tuple, simhash.deduplicate(frame).collect())) == [rows[0], rows[2]]
+
+
 # --- 4
 
 
@@ -164,6 +172,12 @@ def test_vector_links_against_brute_force(spark, monkeypatch, block):
     assert neardup_vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_link_among_themselves(spark):
+    rows = [(1, [1.0, 2.0]), (2, [5.0, -1.0]), (3, [-3.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.01]), (6, [1.0]), (7, [2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
+
 def test_vector_recall_at_the_threshold():
     random = np.random.default_rng(6)
     x = random.normal(size=(3000, 64))
@@ -205,6 +219,10 @@ def test_urls_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in queries.op10_url_filters(spark, str(tmp_path)).collect())
     assert got == [(i, *_judged(u)) for i, u in enumerate(urls)]
+    own = spark.createDataFrame([(1, "http://a.com/x", "mine", "too")], "page_id long, url string, host string, path string")
+    entry = spark.createDataFrame([("com", "/", "block", "rule")], "host string, path string, verdict string, kind string")
+    row = urlfilter.judge(own, entry).first()
+    assert (row["page_host"], row["page_path"], row["host"], row["path"], row["entry"]) == ("mine", "too", "a.com", "/x", "com/")
     none = spark.createDataFrame([], "page_id long, url string")
     entries = spark.createDataFrame([("com", "/", "block", "rule")], "host string, path string, verdict string, kind string")
     assert urlfilter.judge(none, entries).count() == 0
@@ -214,14 +232,44 @@ def test_urls_against_brute_force(spark, tmp_path):
 # --- pipeline
 
 
-def test_pipeline_against_its_parts(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    named = dict(corpus_pipeline.STAGES)
-    one = named["language_id"](spark, docs, DATA)
-    kept = {r["doc_id"] for r in langid.identify(docs, langid.fit(docs)).where("lang_pred != 'und'").collect()}
-    assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == kept
-    packed = corpus_pipeline.run(spark, DATA).toPandas()
-    assert set(packed["doc_id"]) <= kept and len(set(packed["doc_id"])) > 0.8 * len(kept)
+def _plain_pipeline(spark, rows, items):
+    """(doc_id, piece, start, length, ids_crc32) of what the five stages leave, one document at a time."""
+    from tokenizers import Tokenizer
+
+    labelled = [(t, lang) for _, t, lang in rows if t is not None and lang is not None]
+    langs, sure = langid.predict(langid.train(*map(list, zip(*sorted(labelled)))), [t for _, t, _ in rows])
+    rows = [(i, t) for (i, t, _), lang, s in zip(rows, langs, sure) if lang != "und" and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    first = set(_reach(set(sets), pairs).values())
+    rows = [(i, t) for i, t in rows if i in first]
+    found = _brute_contaminated([t for _, t in rows], items)
+    rows = [r for r, f in zip(rows, found) if not f]
+    spans = {}
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["length"]))
+    tokenizer, out = Tokenizer.from_file(queries.tokenizer_path()), []
+    for i, t in rows:
+        for a, b in sorted(spans.get(i, []), reverse=True):
+            t = t[:a] + secrets.MASK + t[b:]
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        out += [(i, k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    return sorted(out), {i for i, _ in rows}, spans
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 200 and length(text) < 2500").select("doc_id", "text", "lang", "source", "n_chars")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(8).collect()]
+    base = [r["text"] for r in docs.where("length(text) > 600 and doc_id > 20").orderBy("doc_id").limit(6).collect()]
+    key = "dGhpc0lzQVZlcnlTZWNyZXRLZXk4NDcyMzQ"
+    planted = [(9000, base[0]), (9001, base[1] + " and three more words"), (9002, "9 8 7"), (9003, None), (9004, f"{base[2][:90]} own words here {items[0][1]} end"), (9005, f'the house and the garden of the man api_key = "{key}" and that is the end of it all')]
+    every = docs.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in planted], docs.schema))
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want, left, spans = _plain_pipeline(spark, sorted((r["doc_id"], r["text"], r["lang"]) for r in every.collect()), items)
+    assert not left & {9000, 9001, 9002, 9003, 9004} and 9005 in left and 9005 in spans
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert sorted(packed[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
     for _, seq in packed.groupby("sequence_id"):
         seq = seq.sort_values("offset")
         assert seq["offset"].tolist() == [0, *seq["length"].cumsum().tolist()[:-1]] and seq["length"].sum() <= 4096
