@@ -2,68 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def size_parts(df: DataFrame, key: str, order: list[str], size: str, limit: float, overhead: float = 0.0) -> DataFrame:
     """df with the part each row falls into: a part is closed when the next row would pass the limit.
 
-    Where a part begins depends on all that came before in its key, so a key is one ordered fold; keys are spread.
+    Where a part begins depends on all that came before in its key, so a key is one ordered fold. The state is a part
+    number and its size; rows stream through it in sorted batches, and no group is held whole.
     """
+    dealt = df.repartition(key).sortWithinPartitions(key, *order)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        parts, part, used = [], 0, 0.0
-        for value in frame[size]:
-            value = float(value) + overhead
-            if used and used + value > limit:
-                part, used = part + 1, 0.0
-            used += value
-            parts.append(part)
-        return frame.assign(part=parts)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, part, used = object(), 0, 0.0
+        for batch in batches:
+            parts = []
+            for k, value in zip(batch[key].tolist(), batch[size].tolist()):
+                value = float(value) + overhead
+                if k != now:
+                    now, part, used = k, 0, 0.0
+                elif used and used + value > limit:
+                    part, used = part + 1, 0.0
+                used += value
+                parts.append(part)
+            yield batch.assign(part=parts)
 
-    return df.groupBy(key).applyInPandas(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, part long")
+    return dealt.mapInPandas(fold, f"{_schema(df)}, part long")
 
 
 def justified_rows(df: DataFrame, key: str, order: list[str], aspect: str, width: float, height: float, gap: float = 4.0) -> DataFrame:
     """df with the row of each picture and that row's height: a row is filled until it is no higher than wanted.
 
     A picture more is taken back if the row is nearer to the wanted height without it; the last row keeps
-    the wanted height.
+    the wanted height. Pictures stream through in sorted batches; only those of the open row wait for its height.
     """
+    dealt = df.repartition(key).sortWithinPartitions(key, *order)
+    columns = [*df.columns, "row", "row_height"]
+    fit = lambda total, n: (width - gap * (n - 1)) / total
 
-    def lay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        ratios = [float(a) if a and a > 0 else 1.0 for a in frame[aspect]]
-        rows, heights, held, row = [], [], [], 0
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, row, total, held = object(), 0, 0.0, []  # held: the open row's pictures
+        out: list[tuple] = []
 
-        def close(parts: list[float], h: float) -> None:
+        def close(pictures: list[tuple], h: float) -> None:
             nonlocal row
-            rows.extend([row] * len(parts))
-            heights.extend([h] * len(parts))
+            out.extend((*p, row, h) for p in pictures)
             row += 1
 
-        fit = lambda parts: (width - gap * (len(parts) - 1)) / sum(parts)
-        for a in ratios:
-            held.append(a)
-            h = fit(held)
-            if h <= height:
-                if len(held) > 1 and abs(fit(held[:-1]) - height) < abs(h - height):
-                    close(held[:-1], fit(held[:-1]))
-                    held = held[-1:]
-                    if fit(held) <= height:
-                        close(held, fit(held))
-                        held = []
-                else:
-                    close(held, h)
-                    held = []
+        for batch in batches:
+            ratios = [float(a) if a and a > 0 else 1.0 for a in batch[aspect].tolist()]
+            for k, a, picture in zip(batch[key].tolist(), ratios, batch.itertuples(index=False, name=None)):
+                if k != now:
+                    if held:
+                        close(held, min(height, fit(total, len(held))))
+                    now, row, total, held = k, 0, 0.0, []
+                before, n = total, len(held)
+                held, total = [*held, picture], total + a
+                h = fit(total, len(held))
+                if h > height:
+                    continue
+                if n and abs(fit(before, n) - height) < abs(h - height):
+                    close(held[:-1], fit(before, n))
+                    held, total = held[-1:], a
+                    if fit(a, 1) > height:
+                        continue
+                    h = fit(a, 1)
+                close(held, h)
+                held, total = [], 0.0
+            yield pd.DataFrame(out, columns=columns).astype(batch.dtypes.to_dict())
+            out.clear()
         if held:
-            close(held, min(height, fit(held)))
-        return frame.assign(row=rows, row_height=heights)
+            close(held, min(height, fit(total, len(held))))
+            yield pd.DataFrame(out, columns=columns)
 
-    return df.groupBy(key).applyInPandas(lay, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, row long, row_height double")
+    return dealt.mapInPandas(lay, f"{_schema(df)}, row long, row_height double")
 
 
 def write_parts(df: DataFrame, path: str) -> None:

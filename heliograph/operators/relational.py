@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.shared import cut
+
 
 def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """Only the conditions that are given."""
@@ -14,15 +16,61 @@ def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
 
 
 def collapse(df: DataFrame, group: str, ident: str, order: list) -> DataFrame:
-    """One row of each group, the first in order, with the group's size; rows without a group stay, with no size.
+    """One row of each group, the first in order (of ties the smallest id), with the group's size; rows without a group stay, with no size.
 
-    An empty group name is none. The window's key falls back to the id, so rows without a group do not meet.
+    An empty group name is none. Tasks count and pick within themselves first, so a large group is not one task's sort.
     """
     named = F.nullif(F.col(group).cast("string"), F.lit(""))
     key = F.coalesce(F.concat(F.lit("g:"), named), F.concat(F.lit("i:"), F.col(ident).cast("string")))
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("burst_count", F.when(named.isNotNull(), F.count(F.lit(1)).over(w))).withColumn("__rn", F.row_number().over(w.orderBy(*order)))
-    return ranked.where("__rn = 1").drop("__rn")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    first = df.groupBy(key.alias("__key")).agg(F.min_by(row, F.struct(*order, F.col(ident))).alias("row"), F.count(F.lit(1)).alias("n"))
+    return first.select("row.*", F.when(F.col("__key").startswith("g:"), F.col("n")).alias("burst_count"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's place in the whole order: ranges are sorted and counted apart, then shifted."""
+    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranges.withColumn("__rn", within).join(starts, "__part").withColumn(name, F.col("__rn") + F.col("__before")).drop("__part", "__rn", "__before")
+
+
+def stage_progress(rows: DataFrame, pending: dict[str, Column], after: dict[str, list[str]]) -> DataFrame:
+    """(stage, total, pending, done, active, waits) in one pass: a stage waits while one that it comes after has work left."""
+    counts = rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(f"p_{k}") for k, c in pending.items()])
+    busy = lambda k: reduce(lambda a, b: a | b, [F.col(f"p_{x}") > 0 for x in after.get(k, [])], F.lit(False))
+    stages = F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"p_{k}").alias("pending"), busy(k).alias("waits")) for k in pending])
+    each = counts.select("total", F.explode(stages).alias("s")).select("s.stage", "total", "s.pending", "s.waits")
+    return each.select("stage", "total", "pending", F.greatest(F.col("total") - F.col("pending"), F.lit(0)).alias("done"), ((F.col("pending") > 0) & ~F.col("waits")).alias("active"), "waits")
+
+
+def page_with_more(df: DataFrame, at: str, ident: str, limit: int, after: tuple | None = None, most: int = 500) -> DataFrame:
+    """page() with ``has_more``: one row more is asked for, and only tells whether there are more."""
+    limit = max(1, min(limit, most))
+    ahead = page(df, at, ident, limit + 1, after, most + 1)
+    order = Window.orderBy(F.col(at).desc(), F.col(ident))  # over one page
+    marked = ahead.withColumns({"__rn": F.row_number().over(order), "has_more": F.count(F.lit(1)).over(Window.partitionBy()) > limit})
+    return marked.where(F.col("__rn") <= limit).drop("__rn")
+
+
+def library_search(rows: DataFrame, fields: list[str], query: Column, at: str, ident: str, group: str, whole: bool = False, limit: int = 100, most: int = 500) -> DataFrame:
+    """The newest matches of a search over rows(ident, at, group, tag, ...), collapsed, with all their tags.
+
+    rows has one row for each item and tag. ``query`` is a condition on a column ``searched``, the joined fields. By default a
+    row has to match alone, so words of two tags do not match together; ``whole`` joins an item's rows first. Group
+    sizes are counted over all matches, before the limit.
+    """
+    clean = F.concat_ws(" ", *[F.col(c).cast("string") for c in fields])
+    tags = rows.where("tag is not null").groupBy(ident).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    if whole:
+        text = rows.groupBy(ident).agg(F.array_join(F.array_sort(F.collect_set(clean)), " ").alias("searched"))
+    else:
+        text = rows.select(ident, clean.alias("searched"))
+    found = text.where(query).select(ident).distinct()
+    items = rows.select(ident, at, group).distinct().join(found, ident, "left_semi")
+    newest = page(collapse(items, group, ident, [-F.unix_micros(at)]), at, ident, limit, most=most)
+    return newest.join(tags, ident, "left")
 
 
 def page(df: DataFrame, at: str, ident: str, limit: int, after: tuple | None = None, most: int = 500) -> DataFrame:
@@ -67,8 +115,8 @@ def join_either(left: DataFrame, right: DataFrame, left_id: str, columns: list[s
 
 
 def with_default_setting(df: DataFrame, settings: DataFrame, user: str, default: bool) -> DataFrame:
-    """Rows of users that switched a setting(user, value) on, or left a default that is on."""
-    joined = df.join(settings.select(F.col("user").alias(user), F.col("value").alias("__value")), user, "left")
+    """Rows of users that switched a setting(user, value) on, or left a default that is on; of several values the largest counts."""
+    joined = df.join(settings.groupBy(F.col("user").alias(user)).agg(F.max("value").alias("__value")), user, "left")
     return joined.where(F.coalesce(F.col("__value") == "true", F.lit(default))).drop("__value")
 
 

@@ -113,18 +113,40 @@ def cluster_cards(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cluster")).agg(F.countDistinct("l_orderkey").alias("photo_count"), best).where("photo_count >= 2")
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (
+        SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS rn FROM lineitem
+    ), r AS (
+        SELECT l_suppkey, rn, CAST(0 AS BIGINT) AS part, l_quantity AS used FROM o WHERE rn = 1
+        UNION ALL
+        SELECT o.l_suppkey, o.rn, CASE WHEN used > 0 AND used + l_quantity > 500 THEN part + 1 ELSE part END, CASE WHEN used > 0 AND used + l_quantity > 500 THEN l_quantity ELSE used + l_quantity END
+        FROM r JOIN o ON o.l_suppkey = r.l_suppkey AND o.rn = r.rn + 1
+    )
+    SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, part FROM o JOIN r USING (l_suppkey, rn)""")
 def size_packing(spark, sf_dir):
     """Export parts of at most 500 units of each supplier's lines, in order."""
     lines = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return packing.size_parts(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "l_quantity", 500.0)
+    return packing.size_parts(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "l_quantity", 500.0)
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (
+        SELECT p_brand, p_partkey, 0.5 + p_size / CAST(20 AS DOUBLE) AS aspect, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part
+    ), r AS (  -- row: of this picture; open, s, n: the row that is open after it, its aspects and pictures
+        SELECT p_brand, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS row, CAST(0 AS BIGINT) AS open, CAST(0 AS DOUBLE) AS s, 0 AS n FROM o WHERE rn = 1
+        UNION ALL
+        SELECT p_brand, rn, CASE WHEN back THEN open + 1 ELSE open END, CASE WHEN NOT filled THEN open WHEN NOT back THEN open + 1 WHEN 1200 / aspect <= 220 THEN open + 2 ELSE open + 1 END,
+               CASE WHEN NOT filled THEN s + aspect WHEN back AND 1200 / aspect > 220 THEN aspect ELSE 0 END, CASE WHEN NOT filled THEN n + 1 WHEN back AND 1200 / aspect > 220 THEN 1 ELSE 0 END
+        FROM (
+            SELECT *, filled AND n > 0 AND abs((1200 - 4 * (n - 1)) / CASE WHEN s > 0 THEN s ELSE 1 END - 220) < abs((1200 - 4 * n) / (s + aspect) - 220) AS back
+            FROM (SELECT o.p_brand, o.rn, o.aspect, r.open, r.s, r.n, (1200 - 4 * r.n) / (r.s + o.aspect) <= 220 AS filled FROM r JOIN o ON o.p_brand = r.p_brand AND o.rn = r.rn + 1))
+    ), laid AS (SELECT o.*, r.row, max(r.rn) OVER (PARTITION BY o.p_brand) = r.rn AND r.n > 0 AS ends_open FROM o JOIN r ON o.p_brand = r.p_brand AND o.rn = r.rn
+    ), heights AS (SELECT p_brand, row, (1200 - 4 * (count(*) - 1)) / sum(aspect ORDER BY rn) AS h, bool_or(ends_open) AS last FROM laid GROUP BY p_brand, row)
+    SELECT p_brand, p_partkey, aspect, row, round(CASE WHEN last THEN least(220, h) ELSE h END, 6) AS row_height FROM laid JOIN heights USING (p_brand, row)""")
 def justified_rows(spark, sf_dir):
     """Rows of pictures: each brand's parts by size and price."""
     parts = load(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.lit(0.5) + F.col("p_size") / 20).alias("aspect"))
-    return packing.justified_rows(parts, "p_brand", ["p_partkey"], "aspect", 1200.0, 220.0)
+    return packing.justified_rows(parts, "p_brand", ["p_partkey"], "aspect", 1200.0, 220.0).withColumn("row_height", F.round("row_height", 6))
 
 
 @query("""
@@ -136,11 +158,13 @@ def tags_per_item(spark, sf_dir):
 
 
 @query("""
-    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts DESC, event_id) AS ids FROM events GROUP BY 1""")
+    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id) AS place FROM events""")
 def day_groups(spark, sf_dir):
-    """A day's events, newest first."""
-    rows = load(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros("ts")).alias("t"), "event_id"))).alias("r"))
-    return rows.select("day", F.array_join(F.transform("r", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
+    """Every event with its day and its place in it, newest first; ranges of time are sorted apart, so no day is one task."""
+    events = load(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("d"), (-F.unix_micros("ts")).alias("t"))
+    placed = relational.numbered(events.withColumn("before", -F.unix_date("d")), ["before", "t", "event_id"], "n")
+    first = placed.groupBy("d").agg(F.min("n").alias("first"))
+    return placed.join(first, "d").select(F.col("d").cast("string").alias("day"), "event_id", (F.col("n") - F.col("first") + 1).alias("place"))
 
 
 @query("""
@@ -154,6 +178,21 @@ def pipeline_progress(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left").agg(total.alias("total"), pending.alias("pending"), F.greatest(total - pending, F.lit(0)).alias("done"), (pending > 0).alias("active"))
 
 
+@query("""
+    WITH s AS (
+        SELECT 'ai' AS stage, count(*) AS total, count(*) FILTER (quality IS NULL) AS pending FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, 1 AS quality FROM labels) l ON d.doc_id = l.doc_id
+        UNION ALL SELECT 'geo', count(*), count(*) FILTER (v IS NULL) FROM documents d LEFT JOIN (SELECT DISTINCT vec_id AS v FROM embeddings) e ON d.doc_id = v
+        UNION ALL SELECT 'import', count(*), count(*) FILTER (n_chars IS NULL) FROM documents)
+    SELECT stage, total, pending, greatest(total - pending, 0) AS done, pending > 0 AND NOT (stage <> 'import' AND (SELECT pending FROM s WHERE stage = 'import') > 0) AS active,
+           stage <> 'import' AND (SELECT pending FROM s WHERE stage = 'import') > 0 AS waits FROM s""")
+def stage_gates(spark, sf_dir):
+    """Each stage's progress, and whether it waits for one before it that is not through."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    done = lambda t, c, name: load(spark, sf_dir, t).select(F.col(c).alias("doc_id")).distinct().withColumn(name, F.lit(True))
+    rows = docs.join(done("labels", "doc_id", "ai"), "doc_id", "left").join(done("embeddings", "vec_id", "geo"), "doc_id", "left")
+    return relational.stage_progress(rows, {"import": F.col("n_chars").isNull(), "ai": F.col("ai").isNull(), "geo": F.col("geo").isNull()}, {"ai": ["import"], "geo": ["import"]})
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def table_counts(spark, sf_dir):
     return reduce(DataFrame.unionAll, [load(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])

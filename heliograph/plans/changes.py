@@ -83,8 +83,8 @@ def ttl_purge_refcount(spark, sf_dir):
 def retention(spark, sf_dir):
     """Events of the last fourteen days before the newest."""
     events = load(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now")).first()["now"]
-    return events.where(F.col("ts") >= F.lit(now) - F.expr("INTERVAL 14 DAYS")).select("event_id")
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    return events.join(F.broadcast(now), F.col("ts") >= F.col("now") - F.expr("INTERVAL 14 DAYS")).select("event_id")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
@@ -161,3 +161,46 @@ def upsert_latest(spark, sf_dir):
     """Later rows replace earlier ones of their key."""
     orders = load(spark, sf_dir, "orders")
     return relational.first_of(orders, ["o_custkey", "o_orderstatus"], [F.col("o_orderdate").desc(), "o_orderkey"]).select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 0).alias("ok"))
+
+
+@query("""
+    WITH m AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN 1000000 + c_custkey % 7 END AS stored FROM customer)
+    SELECT c_custkey, coalesce((SELECT arg_min(stored, s.c_custkey) FROM m s WHERE s.c_nationkey = m.c_nationkey AND s.stored IS NOT NULL), (SELECT min(s.c_custkey) FROM m s WHERE s.c_nationkey = m.c_nationkey)) AS cluster FROM m""")
+def stored_clusters(spark, sf_dir):
+    """Components (here nations) under the stored cluster of their first member that has one."""
+    stored = F.when(F.col("c_custkey") % 5 == 0, 1_000_000 + F.col("c_custkey") % 7)
+    members = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", stored.alias("stored"))
+    return merge.stored_groups(members, "c_nationkey", "c_custkey", "stored").select("c_custkey", F.col("group").alias("cluster"))
+
+
+@query("""
+    SELECT cluster, CASE WHEN cluster = 'n1' THEN 'Someone' WHEN cluster = 'n1b' THEN NULL ELSE cluster END AS name, count(*) AS members FROM (
+        SELECT CASE WHEN c_nationkey = 1 AND c_acctbal < 0 THEN 'n1b' ELSE 'n' || c_nationkey END AS cluster FROM customer) GROUP BY 1""")
+def split_clusters(spark, sf_dir):
+    """A cluster split in two, and one of them named."""
+    members = load(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("cluster"), "c_acctbal")
+    split = merge.split_group(members, members.where("cluster = 'n1' and c_acctbal < 0"), "c_custkey", "cluster", F.lit("n1b"))
+    sizes = split.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    name = F.when(F.col("cluster") == "n1", "Someone").when(F.col("cluster") != "n1b", F.col("cluster"))
+    return sizes.select("cluster", name.alias("name"), "members")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, substr(sha256(text), 1, 12) AS h, source, n_chars, lang FROM documents), l AS (SELECT * FROM d WHERE doc_id % 2 = 0), s AS (SELECT * FROM d WHERE doc_id % 2 = 1),
+    l1 AS (SELECT h, min(doc_id) AS doc_id FROM l GROUP BY h), s1 AS (SELECT h, min(doc_id) AS sid FROM s GROUP BY h), m1 AS (SELECT doc_id, sid FROM l1 JOIN s1 USING (h)),
+    l2 AS (SELECT source, n_chars, min(doc_id) AS doc_id FROM l WHERE doc_id NOT IN (SELECT doc_id FROM m1) GROUP BY 1, 2), s2 AS (SELECT source, n_chars, min(doc_id) AS sid FROM s WHERE doc_id NOT IN (SELECT sid FROM m1) GROUP BY 1, 2),
+    m AS (SELECT * FROM m1 UNION ALL SELECT doc_id, sid FROM l2 JOIN s2 USING (source, n_chars))
+    SELECT l.doc_id, m.sid AS server_id, coalesce(s.lang, l.lang) AS lang FROM l LEFT JOIN m USING (doc_id) LEFT JOIN s ON s.doc_id = m.sid""")
+def duplicate_merge(spark, sf_dir):
+    """Local rows with the server's language: of the row with the same content, else with the same source and length."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", content_hash("text").alias("h"), "source", "n_chars", "lang")
+    found = merge.match_local(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", [["h"], ["source", "n_chars"]], ["lang"])
+    return found.select("doc_id", "server_id", "lang")
+
+
+@query("""
+    SELECT 'nation' AS name, CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR) AS row FROM nation
+    UNION ALL SELECT 'labels', CAST(to_json({'doc_id': doc_id, 'quality': quality, 'toxic': toxic}) AS VARCHAR) FROM labels""")
+def state_document(spark, sf_dir):
+    """The whole of some tables as lines of one JSON document."""
+    return merge.state_document({t: load(spark, sf_dir, t) for t in ("nation", "labels")})

@@ -144,12 +144,16 @@ def expanded_selection(spark, sf_dir):
     return orders.join(orders.where("o_totalprice > 400000").select("o_custkey"), "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT n_name, lower(replace(n_name, ' ', '-')) AS slug FROM nation WHERE lower(replace(n_name, ' ', '-')) LIKE '%-%' OR starts_with(n_name, 'U') OR length(n_name) BETWEEN 4 AND 6")
+@query("""
+    SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug FROM part
+    WHERE lower(replace(p_name, ' ', '-')) = 'red-widget' OR starts_with(p_name, 'small ') OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-04')""")
 def slug_filter(spark, sf_dir):
+    """Parts by slug, by prefix, or shipped between two days."""
     from heliograph.functions.text import slug
 
-    name = F.col("n_name")
-    return load(spark, sf_dir, "nation").where(slug(name).contains("-") | name.startswith("U") | F.length(name).between(4, 6)).select("n_name", slug(name).alias("slug"))
+    shipped = load(spark, sf_dir, "lineitem").where(F.to_date("l_shipdate").between(F.lit("1998-03-01").cast("date"), F.lit("1998-03-04").cast("date"))).select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("hit", F.lit(True))
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name").join(shipped, "p_partkey", "left")
+    return parts.where((slug("p_name") == "red-widget") | F.col("p_name").startswith("small ") | F.col("hit")).select("p_partkey", slug("p_name").alias("slug"))
 
 
 @query("""

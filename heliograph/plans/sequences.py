@@ -96,6 +96,13 @@ def library_page(spark, sf_dir):
     return relational.page(load(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 5000).select("o_orderkey", stamp("o_orderdate").alias("taken_at"), F.lit(None).cast("long").alias("burst_count"))
 
 
+@query("""
+    SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') > 50 AS has_more FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+def page_has_more(spark, sf_dir):
+    """A page of fifty, and whether there are more (the limit is the feature)."""
+    return relational.page_with_more(load(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "has_more")
+
+
 @query("""
     WITH c AS (SELECT o_orderdate AS d, o_orderkey AS k FROM orders ORDER BY 1 DESC, 2 LIMIT 1 OFFSET 499)
     SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS taken_at FROM orders, c
@@ -123,20 +130,7 @@ def recently_added(spark, sf_dir):
 def conversion_order(spark, sf_dir):
     """A stable order by tier: each tier's rows are counted before they are numbered, so no task numbers them all."""
     parts = load(spark, sf_dir, "part").select("p_partkey", F.coalesce(*[F.when(F.col("p_brand") == f"Brand#{i + 1}", F.lit(i)) for i in range(3)], F.lit(3)).alias("tier"))
-    return numbered(parts, ["tier", "p_partkey"], "place").select("p_partkey", "place")
-
-
-def numbered(df, order: list[str], name: str):
-    """df with each row's place in the whole order: ranges are sorted and counted apart, then shifted."""
-    from pyspark.sql import Window
-
-    from heliograph.shared import cut
-
-    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranges.withColumn("__rn", within).join(starts, "__part").withColumn(name, F.col("__rn") + F.col("__before")).drop("__part", "__rn", "__before")
+    return relational.numbered(parts, ["tier", "p_partkey"], "place").select("p_partkey", "place")
 
 
 @query("""
@@ -153,9 +147,9 @@ def shuffled_order(spark, sf_dir):
 def trailing_activity(spark, sf_dir):
     """Counts by kind: all, the last day and the last week before the newest event."""
     events = load(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now")).first()["now"]
-    recent = lambda d: F.count_if(F.col("ts") > F.lit(now) - F.expr(f"INTERVAL {d} DAYS"))
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), recent(1).alias("last_day"), recent(7).alias("last_week"))
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    recent = lambda d: F.count_if(F.col("ts") > F.col("now") - F.expr(f"INTERVAL {d} DAYS"))
+    return events.join(F.broadcast(now)).groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), recent(1).alias("last_day"), recent(7).alias("last_week"))
 
 
 @query("""
@@ -165,7 +159,14 @@ def sliding_rate(spark, sf_dir):
     return rate.trailing_counts(load(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "user_id", "in_window")
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+    ), r AS (  -- a, b: the last two that passed
+        SELECT event_id, user_id, rn, true AS allowed, t AS a, CAST(NULL AS BIGINT) AS b FROM o WHERE rn = 1
+        UNION ALL
+        SELECT o.event_id, o.user_id, o.rn, b IS NULL OR t - b >= 3600000000, CASE WHEN b IS NULL OR t - b >= 3600000000 THEN t ELSE a END, CASE WHEN b IS NULL OR t - b >= 3600000000 THEN a ELSE b END
+        FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+    SELECT event_id, user_id, allowed FROM r""")
 def rate_limited(spark, sf_dir):
     """Which requests a limit of two an hour lets pass; rejected ones do not count against later ones."""
     return rate.admitted(load(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], "ts", 2, 3600).select("event_id", "user_id", "allowed")
@@ -182,7 +183,14 @@ def failure_streaks(spark, sf_dir):
     return found.select("user_id", "failures", stamp("first_at").alias("first_at"), stamp("last_at").alias("last_at"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+    ), r AS (  -- n: failures in a row; until: the lock's end
+        SELECT CAST(NULL AS BIGINT) AS event_id, user_id, CAST(0 AS BIGINT) AS rn, false AS locked, 0 AS n, CAST(0 AS BIGINT) AS until FROM o WHERE rn = 1
+        UNION ALL
+        SELECT o.event_id, o.user_id, o.rn, t < until, CASE WHEN t < until THEN n WHEN bad AND n < 1 THEN n + 1 ELSE 0 END, CASE WHEN t >= until AND bad AND n >= 1 THEN t + 86400000000 ELSE until END
+        FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+    SELECT event_id, user_id, locked FROM r WHERE rn > 0""")
 def locked_attempts(spark, sf_dir):
     """Attempts that meet a lock: a day after two failures in a row."""
     attempts = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))

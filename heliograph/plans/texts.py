@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import geo, media, text, time, vector
 from heliograph.operators import geocode, packing, relational
 from heliograph.plans.family import family
+from heliograph.sources import files as sources
 from heliograph.sources.tables import load
 
 QUERIES, ORACLES, query = family()
@@ -108,14 +109,59 @@ def geo_nearest_place(spark, sf_dir):
 
 
 @query("""
-    SELECT id, CAST(iou AS DOUBLE) AS iou FROM (VALUES (CAST(1 AS BIGINT), 0.142857), (2, 1.0), (3, 0.0)) t(id, iou)""")
+    WITH b AS (SELECT p_partkey, CAST(p_partkey % 7 AS DOUBLE) AS x, CAST(p_partkey % 5 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS w, CAST(p_size % 9 + 1 AS DOUBLE) AS h FROM part
+    ), o AS (SELECT *, greatest(least(x + w, 13.0) - greatest(x, 3.0), 0) * greatest(least(y + h, 8.0) - greatest(y, 2.0), 0) AS shared FROM b)
+    SELECT p_partkey, round(shared / (w * h + 60 - shared), 6) AS iou FROM o""")
 def bbox_iou(spark, sf_dir):
-    boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0, 1.0, 1.0, 2.0, 2.0), (2, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0), (3, 0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 1.0, 1.0)], "id long, a double, b double, c double, d double, e double, f double, g double, h double")
-    return boxes.select("id", F.round(vector.iou(*"abcdefgh"), 6).alias("iou"))
+    """How much a box of each part overlaps one stated box."""
+    boxes = load(spark, sf_dir, "part").select("p_partkey", *[c.cast("double").alias(k) for k, c in zip("abcd", (F.col("p_partkey") % 7, F.col("p_partkey") % 5, F.col("p_size"), F.col("p_size") % 9 + 1))])
+    boxes = boxes.withColumns({k: F.lit(v) for k, v in zip("efgh", (3.0, 2.0, 10.0, 6.0))})
+    return boxes.select("p_partkey", F.round(vector.iou(*"abcdefgh"), 6).alias("iou"))
 
 
 @query("""
-    SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.1f KB', round(n_chars / CAST(1024 AS DOUBLE), 1)) END AS size FROM documents WHERE n_chars < 1048576""")
+    WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'P_' || (doc_id // 3) || '-edited.JPG' WHEN doc_id % 7 = 0 THEN 'note_' || doc_id || '.txt' ELSE 'p_' || (doc_id // 2) || '.jpg' END AS name, n_chars AS size FROM documents
+    ), kept AS (SELECT * FROM f WHERE lower(name) LIKE '%.jpg' AND lower(name) NOT IN (SELECT lower(replace(name, '-edited', '')) FROM f WHERE name LIKE '%-edited.JPG'))
+    SELECT doc_id, name, size, CAST((SELECT sum(size) FROM kept) AS BIGINT) AS total_size, row_number() OVER (ORDER BY lower(name), doc_id) AS place FROM kept""")
+def import_listing(spark, sf_dir):
+    """Files to import, without originals whose edited twin is there, by name, with the size of all."""
+    n = F.col("doc_id")
+    name = F.when(n % 3 == 0, F.concat(F.lit("P_"), F.floor(n / 3).cast("string"), F.lit("-edited.JPG"))).when(n % 7 == 0, F.concat(F.lit("note_"), n.cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("p_"), F.floor(n / 2).cast("string"), F.lit(".jpg")))
+    files = load(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.col("n_chars").alias("size"))
+    return sources.import_listing(files, "doc_id")
+
+
+@query("""
+    WITH j AS (
+        SELECT o_orderkey, o_orderdate, o_custkey, lower(concat_ws(' ', l_returnflag || l_linestatus, o_orderpriority, o_orderstatus, lower(dayname(o_orderdate)), lower(monthname(o_orderdate)))) AS searched FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+    ), hit AS (SELECT DISTINCT o_orderkey, o_orderdate, o_custkey FROM j WHERE contains(searched, 'rf') AND contains(searched, 'urgent') AND contains(searched, 'march')
+    ), g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS burst_count FROM hit
+    ), top AS (SELECT * FROM g WHERE rn = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 100)
+    SELECT o_orderkey, burst_count, (SELECT string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) FROM lineitem WHERE l_orderkey = o_orderkey) AS tags FROM top""")
+def library_search(spark, sf_dir):
+    """The newest hundred matches over joined fields, row by row, collapsed and with their tags (the limit is the feature)."""
+    tags = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linestatus").alias("tag"))
+    rows = load(spark, sf_dir, "orders").join(tags, "o_orderkey", "left").withColumn("words", time.search_words("o_orderdate"))
+    found = relational.library_search(rows, ["tag", "o_orderpriority", "o_orderstatus", "words"], text.matches_all("searched", "rf urgent march"), "o_orderdate", "o_orderkey", "o_custkey")
+    return found.select("o_orderkey", "burst_count", "tags")
+
+
+@query("""
+    WITH j AS (SELECT o_orderkey, o_orderdate, o_custkey, lower(string_agg(l_returnflag || l_linestatus, ' ')) AS searched FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL
+    ), g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS burst_count FROM j WHERE contains(searched, 'rf') AND contains(searched, 'no'))
+    SELECT o_orderkey, burst_count FROM g WHERE rn = 1 ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""")
+def library_search_whole(spark, sf_dir):
+    """As library_search, but the words may stand in different tags of an item (the limit is the feature)."""
+    tags = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linestatus").alias("tag"))
+    rows = load(spark, sf_dir, "orders").join(tags, "o_orderkey", "left")
+    found = relational.library_search(rows, ["tag"], text.matches_all("searched", "rf no"), "o_orderdate", "o_orderkey", "o_custkey", whole=True)
+    return found.select("o_orderkey", "burst_count")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', CAST(n AS BIGINT)) WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1048576, 1))
+                        WHEN n IS NOT NULL THEN printf('%.1f GB', round(n / 1073741824, 1)) END AS size
+    FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n FROM documents)""")
 def size_labels(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.bytes_label("n_chars").alias("size"))
 

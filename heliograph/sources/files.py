@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.functions import media
+from heliograph.functions.text import original_of_edited
+from heliograph.operators.relational import numbered
+from heliograph.shared import cut
 
 #: Fields of a tab-separated gazetteer line, by position.
 GAZETTEER = {"name": 1, "lat": 4, "lon": 5, "feature_code": 7, "country_code": 8, "admin1": 10, "population": 14}
 GAZETTEER_FIELDS = 18
 
 
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of some folders, without dot files."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch["path"]:
+            system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            found = [e for e in system.get_file_info(fs.FileSelector(inner)) if not e.base_name.startswith(".")]
+            root = path.rstrip("/")
+            yield pd.DataFrame({"path": [f"{root}/{e.base_name}" for e in found], "size": [e.size if e.is_file else None for e in found], "modified": [e.mtime_ns / 1e9 if e.mtime_ns else None for e in found], "folder": [not e.is_file for e in found]}).astype({"size": "Int64", "modified": "float64", "path": object})
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, modified) of all files below a folder that tasks can read, whatever their names but for dot files.
+
+    Spark's own readers leave out names that begin with an underscore. Folders are listed in tasks, one job a level.
+    """
+    level, parts = spark.createDataFrame([(folder,)], "path string"), []
+    while True:
+        found = cut(level.mapInPandas(_list_folders, "path string, size long, modified double, folder boolean"), "listing")
+        parts.append(found.where("not folder").select("path", "size", F.col("modified").cast("timestamp").alias("modified")))
+        folders = found.where("folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionAll, parts)
+        level = folders.repartition("path")
+
+
 def scan_media(spark: SparkSession, folder: str, known: DataFrame | None = None, importable: bool = False) -> DataFrame:
     """(path, name, size, modified, mime_type) of the media files below folder, without dot files and known(path)."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    name = F.element_at(F.split("path", "/"), -1)
-    files = found.withColumn("name", name).where(~F.col("name").startswith("."))
+    files = list_files(spark, folder).withColumn("name", F.element_at(F.split("path", "/"), -1))
     fits = media.is_media("name") | media.conversion_target("name").isNotNull() if importable else media.is_media("name")
     files = files.where(fits).select("path", "name", "size", "modified", media.mime_type("name").alias("mime_type"))
     return files.join(known.select("path").distinct(), "path", "left_anti") if known is not None else files
 
 
+def import_listing(files: DataFrame, ident: str) -> DataFrame:
+    """files(ident, name, size) to import, without originals whose edited twin is there, with total_size and place by lower-cased name."""
+    low = F.lower("name")
+    fits = files.where(media.is_media("name") | media.conversion_target("name").isNotNull())
+    kept = fits.withColumn("low", low).join(files.select(F.lower(original_of_edited("name")).alias("low")).where("low is not null").distinct(), "low", "left_anti")
+    total = kept.agg(F.sum("size").alias("total_size"))  # one row
+    return numbered(kept, ["low", ident], "place").drop("low").join(F.broadcast(total))
+
+
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """Places of a tab-separated gazetteer; short lines and lines without coordinates are skipped."""
     parts = F.split("value", "\t")
@@ -40,7 +81,10 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_admin1(spark: SparkSession, path: str) -> DataFrame:
-    """(code, name) of first-order divisions."""
+    """(code, name) of first-order divisions; none if there is no such file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "code string, name string")
     parts = F.split("value", "\t")
     return spark.read.text(path).where(F.size(parts) >= 2).select(parts[0].alias("code"), parts[1].alias("name"))
 
@@ -81,5 +125,5 @@ def pair_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def unpaired_sidecars(sidecars: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sidecars that belong to no file."""
+    """Sidecars that belong to no file, under either name (a sidecar of the short form that did pair is not listed)."""
     return sidecars.select("path").join(pairs.select(F.col("sidecar").alias("path")), "path", "left_anti")

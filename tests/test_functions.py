@@ -145,6 +145,12 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     assert sorted(r["name"] for r in files.scan_media(spark, str(tmp_path)).collect()) == ["a.jpg", "c.MP4"]
     assert sorted(r["name"] for r in files.scan_media(spark, str(tmp_path), importable=True).collect()) == ["a.jpg", "c.MP4", "e.heic"]
+    (tmp_path / "_deep" / "er").mkdir(parents=True)
+    (tmp_path / "_deep" / "er" / "_DSC0001.jpg").write_bytes(b"12345")
+    hidden = files.scan_media(spark, str(tmp_path)).where("name = '_DSC0001.jpg'").first()
+    assert hidden["size"] == 5 and hidden["path"].endswith("_deep/er/_DSC0001.jpg") and hidden["modified"] is not None
+    (tmp_path / "_deep" / "er" / "_DSC0001.jpg").unlink()
+    assert files.read_admin1(spark, str(tmp_path / "absent.tsv")).count() == 0
     known = files.scan_media(spark, str(tmp_path)).where("name = 'a.jpg'")
     assert [r["name"] for r in files.scan_media(spark, str(tmp_path), known).collect()] == ["c.MP4"]
     (tmp_path / "places.tsv").write_text("\n".join(["1\tBerlin\tBerlin\t\t52.5\t13.4\tP\tPPLC\tDE\t\t16\t\t\t\t3426354\t\t\t", "short\tline", "2\tBad\tBad\t\tx\ty\tP\tPPL\tDE\t\t16\t\t\t\t1\t\t\t"]))
