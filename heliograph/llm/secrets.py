@@ -55,9 +55,6 @@ DICTIONARY = ["access", "admin", "archive", "backup", "build", "cache", "change"
 SECRET_WORDS = r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|private|auth|bearer|credential|pwd)[^\n]{0,12}$"
 OTHER_WORDS = r"(?i)(sha\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|version|build|order|invoice|card|phone|serial|isbn|\bid|image|see|file|path|from|ref)\W{0,6}$"
 
-#: The characters that are told apart.
-PRINTED = [chr(c) for c in range(33, 127)]
-
 FEATURES = ["length", "transitions", "digits", "uppers", "marks", "distinct", "dictionary", "hex", "numeric", "path", "secret_word", "other_word", "assigned", "quoted"]
 
 
@@ -76,6 +73,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return flat.select("id", "text_hash", "ordinal", (ends - F.length("cand")).cast("long").alias("start"), "cand", "before", "after")
 
 
+def distinct_characters(text: Column) -> Column:
+    """How many different characters a text of any length has, looked at in runs of 4096."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 4096).cast("int")), lambda i: F.array_distinct(F.split(F.substr(text, i * 4096 + 1, F.lit(4096)), "")))
+    return F.size(F.array_remove(F.array_distinct(F.flatten(runs)), ""))
+
+
 def features(found: DataFrame) -> DataFrame:
     """found(cand, before, after, ...) with the FEATURES as doubles."""
     cand, before, after = F.col("cand"), F.col("before"), F.col("after")
@@ -90,7 +93,7 @@ def features(found: DataFrame) -> DataFrame:
         "digits": without(r"[0-9]") / n,
         "uppers": without(r"[A-Z]") / n,
         "marks": without(r"[^A-Za-z0-9]") / n,
-        "distinct": reduce(Column.__add__, [cand.contains(ch).cast("int") for ch in PRINTED]) / F.least(n, F.lit(40.0)),
+        "distinct": distinct_characters(cand) / F.least(n, F.lit(40.0)),
         "dictionary": (n - F.length(F.regexp_replace(F.lower(cand), "|".join(DICTIONARY), ""))) / n,
         "hex": flag(cand.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "numeric": flag(cand.rlike(r"^[0-9.\-]+$")),
