@@ -30,7 +30,7 @@ from heliograph.llm.common import bound_batches, quoted
 SAMPLE_PER_LANG = 1200
 SAMPLE_ROWS = 6000
 LANGUAGES = 256
-SAMPLE_CHARS = 32_768
+SAMPLE_CHARS = 8_192
 #: Landmarks a language, and the lengths (characters) a landmark may have.
 LANDMARKS_PER_LANG = 48
 LANDMARK_CHARS = (150, 4000)
