@@ -111,3 +111,22 @@ def xmp_subtype(xmp) -> Column:
         .when(xmp_attribute(x, "GCamera:BurstID").isNotNull(), "burst")
         .when(x.contains("HDRGainMap") | x.contains("hdrgm:Version"), "hdr")
     )
+
+
+def motion_offset(xmp) -> Column:
+    """How many bytes from the end a picture's film begins: the older attributes, else length and padding of the container's film."""
+    x = _col(xmp)
+    film = F.regexp_extract(x, r"<[^<>]*video/mp4[^<>]*>", 0)
+    number = lambda part, name: xmp_attribute(part, name).try_cast("long")
+    item = number(film, "Item:Length") + F.coalesce(number(film, "Item:Padding"), F.lit(0))
+    return F.coalesce(number(x, "MicroVideoOffset"), number(x, "MotionVideoOffset"), item)
+
+
+#: Fixed value: what stands before the film in files of one maker, whose documents name no offset.
+FILM_MARKER = "MotionPhoto_Data"
+
+
+def marked_offset(data) -> Column:
+    """How many bytes follow the last FILM_MARKER of binary data; null without one, or if nothing follows."""
+    text = F.decode(_col(data), "ISO-8859-1")
+    return F.when(F.contains(text, F.lit(FILM_MARKER)), F.nullif(F.length(F.substring_index(text, FILM_MARKER, -1)), F.lit(0))).cast("long")

@@ -42,3 +42,25 @@ def range_label(a, b) -> Column:
 def search_words(ts) -> Column:
     """Weekday and month names for text search."""
     return F.lower(F.concat_ws(" ", F.date_format(_col(ts), "EEEE"), F.date_format(_col(ts), "MMMM")))
+
+
+def ago_label(ts, now) -> Column:
+    """just now, or minutes, hours or days ago, rounded down."""
+    minutes = F.floor((F.unix_millis(_col(now)) - F.unix_millis(_col(ts))) / 60000)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "m")).when(minutes < 1440, said(F.floor(minutes / 60), "h")).otherwise(said(F.floor(minutes / 1440), "d"))
+
+
+def uptime_label(seconds) -> Column:
+    """Days, hours and minutes where there are any, and seconds: 2d 5h 12m 3s."""
+    n = _col(seconds).cast("long")
+    part = lambda value, unit: F.when(value > 0, F.concat(value.cast("string"), F.lit(unit)))
+    return F.concat_ws(" ", part(F.floor(n / 86400), "d"), part(F.floor(n % 86400 / 3600), "h"), part(F.floor(n % 3600 / 60), "m"), F.concat((n % 60).cast("string"), F.lit("s")))
+
+
+def eta_label(seconds) -> Column:
+    """HH:MM:SS of seconds rounded up, at least zero; hours may have more than two digits."""
+    n = F.greatest(F.ceil(_col(seconds)), F.lit(0))
+    hours = F.floor(n / 3600).cast("string")
+    two = lambda value: F.lpad(value.cast("string"), 2, "0")
+    return F.concat_ws(":", F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours), two(F.floor(n % 3600 / 60)), two(n % 60))

@@ -43,3 +43,23 @@ def softmax(a) -> Column:
     top = F.array_max(_col(a))
     e = F.transform(_col(a), lambda x: F.exp(x - top))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def decode_floats(data) -> Column:
+    """Little-endian 32-bit floats of binary data as an array; bytes after the last whole float are left out."""
+    b = _col(data)
+
+    def number(at: Column) -> Column:
+        h = F.hex(F.substr(b, at * 4 + 1, F.lit(4)))
+        bits = F.conv(F.concat(*[F.substr(h, F.lit(i), F.lit(2)) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+        power, rest = F.shiftright(bits, 23).bitwiseAND(255), bits.bitwiseAND((1 << 23) - 1)
+        size = (
+            F.when((power == 255) & (rest == 0), F.lit(float("inf")))
+            .when(power == 255, F.lit(float("nan")))
+            .when(power == 0, rest * F.lit(2.0**-149))
+            .otherwise((1 + rest / F.lit(float(1 << 23))) * F.pow(F.lit(2.0), power - 127))
+        )
+        return F.when(F.shiftright(bits, 31) == 1, -size).otherwise(size).cast("float")
+
+    n = F.floor(F.octet_length(b) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).when(n == 0, F.array().cast("array<float>"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.functions.vector import cosine
 from heliograph.operators.components import connected_components
 
 #: Vectors in a block; two blocks meet in one task, as a matrix product.
@@ -55,6 +56,16 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return parts.join(length, group).select(group, "position", F.when(F.col("length") > 0, F.col("m") / F.col("length")).otherwise(F.col("m")).alias("value"))
 
 
+def assign(df: DataFrame, middles: DataFrame, group: str, vector: str, threshold: float) -> DataFrame:
+    """df with assigned: whether a row's vector has a cosine of threshold or more to its group's centroid.
+
+    ``middles`` is a result of centroids; rows without a centroid are not assigned.
+    """
+    whole = middles.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"]).alias("__middle"))
+    close = F.coalesce(cosine(vector, "__middle") >= threshold, F.lit(False))
+    return df.join(whole, group, "left").withColumn("assigned", close).drop("__middle")
+
+
 def suppress(boxes: DataFrame, image: str, limit: float = 0.4) -> DataFrame:
     """boxes(image, id, x, y, w, h, score) without those that overlap a better one of their image by more than limit.
 

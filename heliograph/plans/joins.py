@@ -165,3 +165,11 @@ def metadata_cascade(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     return relational.match_cascade(pages, pages.where("page_id % 3 = 0"), "page_id", [(F.col("url"), F.col("url")), (host, host)], "page_id").select("page_id", "match")
+
+
+@query("""
+    SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING list_contains(list(event_type), 'error')""")
+def users_with_kind(spark, sf_dir):
+    """Users whose set of event kinds holds one, by a look into the array."""
+    kinds = load(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
+    return kinds.where(F.array_contains("kinds", "error")).select("user_id", F.size("kinds").cast("long").alias("kinds"))

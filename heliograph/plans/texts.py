@@ -56,14 +56,30 @@ def edited_variant_dedup(spark, sf_dir):
 @query("""
     SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS at FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")
 def timestamp_normalize(spark, sf_dir):
-    """Six spellings of the same moments, read back as one."""
+    """Nine spellings of the same moments, read back as one."""
     ts = F.date_trunc("second", "ts")
-    spell = F.pmod("event_id", F.lit(6))
-    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss 'UTC'"]
-    written = F.coalesce(*[F.when(spell == i, F.date_format(ts, f)) for i, f in enumerate(forms)], F.unix_timestamp(ts).cast("string"))
+    spell = F.pmod("event_id", F.lit(9))
+    forms = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss 'UTC'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"]
+    written = F.coalesce(*[F.when(spell == i, F.date_format(ts, f)) for i, f in enumerate(forms)], F.when(spell == 7, F.unix_millis(ts)).otherwise(F.unix_timestamp(ts)).cast("string"))
     return load(spark, sf_dir, "events").select("event_id", time.normalise_timestamp(written).alias("at"))
 
 
+@query("""
+    WITH t AS (SELECT event_id, floor(date_diff('millisecond', ts, max(ts) OVER ()) / 60000.0) AS m, CAST(floor(abs(value) * 1000) AS BIGINT) AS s, abs(value) AS v FROM events)
+    SELECT event_id,
+           CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS BIGINT) || 'm ago' WHEN m < 1440 THEN CAST(floor(m / 60) AS BIGINT) || 'h ago' ELSE CAST(floor(m / 1440) AS BIGINT) || 'd ago' END AS ago,
+           CASE WHEN s IS NULL THEN NULL ELSE concat_ws(' ', CASE WHEN s >= 86400 THEN (s // 86400) || 'd' END, CASE WHEN s % 86400 >= 3600 THEN (s % 86400 // 3600) || 'h' END,
+                     CASE WHEN s % 3600 >= 60 THEN (s % 3600 // 60) || 'm' END, (s % 60) || 's') END AS uptime,
+           lpad(CAST(CAST(ceil(v) AS BIGINT) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(ceil(v) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(ceil(v) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS eta
+    FROM t""")
+def time_labels(spark, sf_dir):
+    """How long ago each event was, and its value as an uptime and as a time that is left."""
+    events = load(spark, sf_dir, "events").select("event_id", "ts", F.abs("value").alias("v"))
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    seconds = F.floor(F.col("v") * 1000).cast("long")
+    return events.join(now).select("event_id", time.ago_label("ts", "now").alias("ago"), F.when(seconds.isNotNull(), time.uptime_label(seconds)).alias("uptime"), time.eta_label("v").alias("eta"))
+
+
 @query("""
     SELECT o_orderkey, lower(dayname(o_orderdate)) || ' ' || lower(monthname(o_orderdate)) AS words, CAST(dayofweek(o_orderdate) AS INT) AS weekday FROM orders""")
 def search_dates(spark, sf_dir):

@@ -59,9 +59,31 @@ def top_classes(spark, sf_dir):
     SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings""")
 def similarity_to_centroid(spark, sf_dir):
     """The similarity of every vector to one stated vector."""
-    vectors = load(spark, sf_dir, "embeddings")
-    one = [float(x) for x in vectors.where("vec_id = 0").first()["embedding"]]
-    return vectors.select("vec_id", F.round(vector.cosine("embedding", F.array(*map(F.lit, one))), 6).alias("similarity"))
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    one = vectors.where("vec_id = 0").agg(F.min_by("embedding", "vec_id").alias("one"))  # one row
+    return vectors.join(one).select("vec_id", F.round(vector.cosine("embedding", "one"), 6).alias("similarity"))
+
+
+@query(f"""
+    WITH p AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS position FROM embeddings
+    ), m AS (SELECT label, position, avg(CAST(x AS DOUBLE)) AS m FROM p GROUP BY ALL
+    ), c AS (SELECT label, list(m ORDER BY position) AS centroid FROM m GROUP BY label)
+    SELECT vec_id, e.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) >= {FACE} AS assigned FROM embeddings e JOIN c ON e.label = c.label""")
+def centroid_assignment(spark, sf_dir):
+    """Whether each vector is as close to the centroid of its label as one person's faces are."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return clustering.assign(vectors, clustering.centroids(vectors, "label", "embedding"), "label", "embedding", FACE).select("vec_id", "label", "assigned")
+
+
+@query("""
+    SELECT o_orderkey, (CASE WHEN b >> 31 = 1 THEN -1 ELSE 1 END) * pow(2, ((b >> 23) & 255) - 127) * (1 + (b & 8388607) / 8388608.0) AS value
+    FROM (SELECT o_orderkey, ((o_orderkey * 40503) & 2281701375) | 939524096 AS b FROM orders)""")
+def decoded_floats(spark, sf_dir):
+    """Floats read from their four bytes, whose bits are made from the key."""
+    bits = (F.col("o_orderkey") * 40503).bitwiseAND(0x87FFFFFF).bitwiseOR(0x38000000)
+    h = F.lpad(F.hex(bits), 8, "0")
+    data = F.unhex(F.concat(*[F.substr(h, F.lit(i), F.lit(2)) for i in (7, 5, 3, 1)]))
+    return load(spark, sf_dir, "orders").select("o_orderkey", vector.decode_floats(data)[0].cast("double").alias("value"))
 
 
 BOXES = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.8), (1, 3, 20.0, 20.0, 5.0, 5.0, 0.7), (1, 4, 2.0, 2.0, 10.0, 10.0, 0.6), (2, 5, 0.0, 0.0, 4.0, 4.0, 0.5)]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,45 @@ def test_checksum_of_many_edges(spark):
     edges = spark.range(n).select(F.col("id").alias("u"), (F.col("id") * 3 + 1).alias("v"))
     mark = checksum(edges)
     assert mark["n"] == n and mark != checksum(edges.where("u != 7"))
+
+
+def test_motion_offsets(spark):
+    assert _one(spark, media.motion_offset(F.lit('<x GCamera:MicroVideoOffset="12" MotionVideoOffset="13">'))) == 12
+    assert _one(spark, media.motion_offset(F.lit("<x GCamera:MotionVideoOffset='13'>"))) == 13
+    container = '<i Item:Mime="image/jpeg" Item:Length="0" Item:Padding="9"/><i Item:Mime="video/mp4" Item:Length="500" {}/>'
+    assert _one(spark, media.motion_offset(F.lit(container.format('Item:Padding="8"')))) == 508
+    assert _one(spark, media.motion_offset(F.lit(container.format("")))) == 500
+    assert _one(spark, media.motion_offset(F.lit("<x/>"))) is None
+    assert _one(spark, media.marked_offset(F.lit(b"\xff\xd8MotionPhoto_Data..MotionPhoto_Data\x00\xfffilm"))) == 6
+    assert _one(spark, media.marked_offset(F.lit(b"\xff\xd8MotionPhoto_Data"))) is None
+    assert _one(spark, media.marked_offset(F.lit(b"\xff\xd8"))) is None
+
+
+def test_decoded_floats(spark):
+    values = np.array([0.0, -1.5, 3.14159, 1e-42, -3.4e38, np.inf, -np.inf, 2.0**-126, 7e-45], "<f4")
+    assert _one(spark, vector.decode_floats(F.lit(values.tobytes() + b"ab"))) == values.tolist()
+    assert np.isnan(_one(spark, vector.decode_floats(F.lit(np.array([np.nan], "<f4").tobytes())))[0])
+    assert _one(spark, vector.decode_floats(F.lit(b"abc"))) == []
+    assert _one(spark, vector.decode_floats(F.lit(None).cast("binary"))) is None
+
+
+@pytest.mark.parametrize("seconds,label", [(0, "0s"), (59, "59s"), (60, "1m 0s"), (86400, "1d 0s"), (191523, "2d 5h 12m 3s")])
+def test_uptime_label(spark, seconds, label):
+    assert _one(spark, time.uptime_label(F.lit(seconds))) == label
+
+
+@pytest.mark.parametrize("seconds,label", [(-3.0, "00:00:00"), (89.2, "00:01:30"), (3599.5, "01:00:00"), (360000.0, "100:00:00")])
+def test_eta_label(spark, seconds, label):
+    assert _one(spark, time.eta_label(F.lit(seconds))) == label
+
+
+@pytest.mark.parametrize("seconds,label", [(-5, "just now"), (59, "just now"), (60, "1m ago"), (3600, "1h ago"), (86399, "23h ago"), (86400, "1d ago")])
+def test_ago_label(spark, seconds, label):
+    now = dt.datetime(2024, 3, 1, 12, 0, 0)
+    assert _one(spark, time.ago_label(F.lit(now - dt.timedelta(seconds=seconds)), F.lit(now))) == label
+
+
+def test_assignment(spark):
+    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.2]), (3, "a", [-1.0, 0.1]), (4, None, [1.0, 0.0])], "id long, label string, v array<double>")
+    got = clustering.assign(rows, clustering.centroids(rows, "label", "v"), "label", "v", 0.42)
+    assert {r["id"]: r["assigned"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False}
