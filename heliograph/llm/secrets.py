@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from heliograph.llm.common import as_rows, quoted
+from heliograph.shared import cut
 
 THRESHOLD = 0.5
 FINDINGS = 2000
@@ -155,7 +156,8 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, text_hash, ordinal, start, length, secret, score) of the candidates that the forest keeps."""
-    model = model or train(labelled_findings(docs.sparkSession))
+    # Read from one file, the features are planned once, not in every branch of the union.
+    model = model or train(cut(labelled_findings(docs.sparkSession).coalesce(1), "findings"))
     found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs, id_col, text_col)))
     scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     kept = scored.where(F.col("score") >= threshold)
