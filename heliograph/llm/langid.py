@@ -132,8 +132,8 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel | None:
     presence = np.zeros((len(columns), len(marks)), np.float32)
     for j, grams in enumerate(marks):
         presence[np.searchsorted(columns, grams), j] = 1 / np.sqrt(len(grams))
-    sizes = np.array([np.sqrt(len(g)) for g in marks])
-    k_mm = (presence.T.astype(np.float64) * sizes[:, None]) @ presence.astype(np.float64) / sizes[:, None]
+    wide = presence.astype(np.float64)
+    k_mm = wide.T @ wide
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -173,8 +173,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     hashed = rows.withColumns({"h": F.xxhash64("i", "t"), "k": F.xxhash64("t")})
     run = F.substr("t", F.pmod("k", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
     sample = hashed.where(F.pmod("h", F.lit(1 << 20)) < share).select("h", "i", "k", "l", run.alias("t")).dropDuplicates(["h", "i", "k", "l"])
-    drawn = sample.orderBy("h", "i", "l").limit(2 * SAMPLE_ROWS).toPandas()
-    return train(drawn["t"].tolist(), drawn["l"].tolist())
+    drawn = sample.orderBy("h", "i", "l").limit(2 * SAMPLE_ROWS).select("t", "l").toArrow()
+    return train(drawn["t"].to_pylist(), drawn["l"].to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
