@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontaminate, langid, neardup_vectors, packing, pii, quality, secrets, simhash, substring_dedup, urlfilter
+from heliograph.llm import bytebpe, decontaminate, langid, neardup_vectors, packing, pii, quality, secrets, simhash, substring_dedup, urlfilter
 from heliograph.llm.common import crc_mod, table
 
 
@@ -89,6 +89,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("entry_verdict", F.lit("allow")).alias("verdict"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bytebpe.shared_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return both.select(F.col("id").alias("doc_id"), n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -100,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
