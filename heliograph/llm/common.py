@@ -22,9 +22,9 @@ def as_rows(df: DataFrame):
     return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep what one Python worker holds at once small, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep what one Python worker holds at once small, whatever the texts' lengths; narrow rows may be more."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 

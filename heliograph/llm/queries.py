@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import bytebpe, decontaminate, langid, neardup_vectors, packing, pii, quality, secrets, simhash, substring_dedup, urlfilter
+from heliograph.llm import bytebpe, collocations, decontaminate, langid, neardup_vectors, packing, pii, quality, secrets, simhash, substring_dedup, urlfilter, whitening
 from heliograph.llm.common import crc_mod, table
 
 
@@ -98,6 +98,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("id").alias("doc_id"), n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vector and component."""
+    grid = whitening.on_grid(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(grid)
+    return whitening.components(grid, model).withColumnRenamed("id", "vec_id").withColumn("identity_error", F.lit(model.identity_error))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -110,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
@@ -135,4 +148,33 @@ ORACLES: dict[str, str] = {
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
         FROM judged
     """,
+    "op13_phrase_collocations": r"""
+        WITH lowered AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), pieces AS (
+            SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS words
+            FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM lowered)
+        ), grams AS (
+            SELECT lang, words[i : i + k - 1] AS phrase, k
+            FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k))
+        ), f AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL
+        ), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+        ), candidates AS (SELECT lang, phrase, k, f AS a FROM f WHERE k >= 2 AND f >= 100
+        ), inside AS (
+            SELECT lang, phrase[i : i + m - 1] AS phrase, max(a) AS longer
+            FROM (SELECT lang, phrase, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))
+            GROUP BY ALL
+        ), kept AS (
+            SELECT c.* FROM candidates c LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+            JOIN f l ON l.lang = c.lang AND l.phrase = c.phrase[1 : cut] JOIN f r ON r.lang = c.lang AND r.phrase = c.phrase[cut + 1 :] JOIN totals t ON t.lang = c.lang
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), ranked AS (
+            SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM lowest
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM ranked QUALIFY rank <= 2000
+    """,
 }
