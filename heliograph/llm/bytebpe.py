@@ -18,6 +18,7 @@ no rows. Columns of other names are left out, so none can clash.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -37,8 +38,9 @@ BUCKET_KEYS = 4
 TRIES = 256
 #: Characters that the pattern looks at in one go.
 SEGMENT = 1 << 20
-#: Bytes of remembered pre-tokens and their ids in a worker.
-REMEMBERED_BYTES = 24 << 20
+#: Bytes of remembered pre-tokens and their ids in a worker, for each of two generations, and what an entry takes besides.
+REMEMBERED_BYTES = 32 << 20
+OVERHEAD = 150
 
 
 class PerfectHash:
@@ -161,7 +163,7 @@ def read_vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts in one worker."""
+    """Encodes texts in one worker. Remembered words have two generations: those asked for again outlive the older one."""
 
     def __init__(self, vocabulary: Vocabulary):
         import regex
@@ -169,19 +171,21 @@ class Encoder:
         self.vocabulary = vocabulary
         self.find = regex.compile(vocabulary.pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.known))
-        keys = [w.encode("utf-8", "replace") for w in new]
         if self.held > REMEMBERED_BYTES:
-            self.known, self.held = {}, 0
-            new = list(words)
-            keys = [w.encode("utf-8", "replace") for w in new]
-        for word, key, whole in zip(new, keys, self.vocabulary.whole(keys)):
-            ids = np.array(self.vocabulary.join(key) if whole < 0 else [whole], "<u4").tobytes()
-            self.known[word] = ids
-            self.held += len(key) + len(ids) + 100
+            self.older, self.known, self.held = self.known, {}, 0
+        new = words.difference(self.known)
+        again = [w for w in new if w in self.older]
+        new = list(new.difference(again))
+        keys = [w.encode("utf-8", "replace") for w in new]
+        join = self.vocabulary.join
+        made = [array("I", (whole,) if whole >= 0 else join(key)).tobytes() for key, whole in zip(keys, self.vocabulary.whole(keys))]
+        self.known.update(zip(new, made))
+        self.known.update((w, self.older[w]) for w in again)
+        self.held += sum(map(len, keys)) + sum(map(len, made)) + OVERHEAD * (len(new) + len(again))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -223,6 +227,21 @@ def encode(docs: DataFrame, vocabulary: Broadcast, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "id long, ids binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode and decode in one pass of one worker: (id, ids, decoded)."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary.value
+        worker = Encoder(words)
+        for batch in batches:
+            ids = [worker.encode(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(words.decode, ids), pa.binary())], names=["id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, ids binary, decoded binary")
+
+
 def decode(encoded: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """encoded(id, ids) with the bytes that the ids stand for; ids that are no token's fail, null ids are null."""
     bound_batches(encoded.sparkSession)

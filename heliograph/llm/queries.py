@@ -93,7 +93,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bytebpe.shared_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    both = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    both = bytebpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return both.select(F.col("id").alias("doc_id"), n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
