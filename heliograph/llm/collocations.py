@@ -5,10 +5,11 @@
    never more frequent than its words, pieces break at all others.
 2. A chunk gets the ids of its own words by a join (no dictionary is broadcast, as it grows with the corpus). Every
    place where two frequent words follow each other gives one key: the ids of up to five words, as many bytes each as
-   the largest id takes, big-endian, zeros behind the piece's end. Keys are radix-sorted in the chunk, equal ones
-   counted, and written.
-3. Spark range-partitions and sorts the keys. As prefixes of a key sort beside it, one pass over the runs counts all
-   phrases of two to five words. A run may go on in the next range, so the first and last of each range are added up.
+   the largest id takes, big-endian, zeros behind the piece's end. Keys are radix-sorted in the chunk and equal ones
+   counted, so a frequent key leaves a chunk once.
+3. A sample of keys bounds ranges of some MB. A chunk sends each range its keys as one row, laid out byte by byte, which
+   compresses well. The task of a range radix-sorts them; as prefixes of a key sort beside it, one pass over the runs
+   counts all phrases of two to five words. A run may go on in the next range, so the first and last are added up.
 4. Cuts, scores and the test for longer phrases are equi joins on slices of the keys; scores are decimals of 38 digits.
 
 Null text is empty; null lang is ``und``. A text of any length is cut between words, never inside pieces; a single chunk
@@ -31,13 +32,17 @@ from heliograph.operators.relational import numbered
 from heliograph.shared import cut, remove
 
 LONGEST = 5
-#: Bytes of text in a chunk, and in what is split at once.
+#: Bytes of text in a chunk, in all chunks that a task fills, and in what is split at once.
 CHUNK = 4 << 20
+HELD = 16 << 20
 SEGMENT = 1 << 20
 #: Hash buckets that a language's candidates are ranked in before the best of all.
 RANK_BUCKETS = 256
-#: Rows of keys in one batch.
-KEY_ROWS = 1 << 16
+#: Bytes of keys in a range, and how many ranges there are at most (their bounds are broadcast, 40 bytes each at most).
+RANGE_BYTES = 4 << 20
+MOST_RANGES = 1 << 20
+#: Chunks that the bounds come from, about, and keys of each.
+SAMPLED_CHUNKS, SAMPLED_KEYS = 64, 4096
 
 #: Ends of pieces become a byte that no UTF-8 text has, tabs become spaces, letters small.
 _BREAK = b"\xff"
@@ -83,19 +88,20 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
         part, made = TaskContext.get().partitionId(), 0
         held: dict[str, Chunk] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            for lang, chunk in held.items():
-                yield pa.RecordBatch.from_pylist([chunk.row(f"{part}-{made}", lang)], schema=_ARROW)
+            for lang in langs:
+                yield pa.RecordBatch.from_pylist([held.pop(lang).row(f"{part}-{made}", lang)], schema=_ARROW)
                 made += 1
-            held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.setdefault(lang, Chunk()).add(text.as_py())
-                if sum(c.size for c in held.values()) >= CHUNK:
-                    yield from flush()
-        yield from flush()
+                if held[lang].size >= CHUNK:
+                    yield from flush([lang])
+                elif sum(c.size for c in held.values()) >= HELD:
+                    yield from flush(list(held))
+        yield from flush(list(held))
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, CHUNK_SCHEMA)
@@ -116,12 +122,6 @@ def packed(places: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(places.astype(">u8").view(np.uint8).reshape(*places.shape, 8)[:, :, 8 - width :]).reshape(len(places), -1)
 
 
-def binary(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes as an Arrow column."""
-    count, size = rows.shape
-    return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(np.arange(count + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 def chunk_keys(ids: np.ndarray, width: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys at all places of ids (0 breaks), in order, with their counts."""
     padded = np.concatenate([ids, np.zeros(longest, np.uint64)])
@@ -133,44 +133,17 @@ def chunk_keys(ids: np.ndarray, width: int, longest: int = LONGEST) -> tuple[np.
     return packed(places[first], width), np.diff(np.concatenate([first, [len(places)]]))
 
 
-class Runs:
-    """Adds up sorted keys by their prefixes of two words and more."""
-
-    def __init__(self, width: int, least: int, longest: int = LONGEST):
-        self.width, self.least, self.longest = width, least, longest
-        self.open: dict[int, tuple[bytes, int]] = {}
-        self.started: set[int] = set()
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[bytes, int]]:
-        """Phrases that ended, if they are frequent or the first of the range."""
-        w = self.width
-        words = keys.reshape(len(keys), self.longest, w)
-        apart = (words[1:] != words[:-1]).any(2)
-        some = (words != 0).any(2)
-        for n in range(2, self.longest + 1):
-            starts = np.concatenate([[0], np.flatnonzero(apart[:, :n].any(1)) + 1])
-            sums = np.add.reduceat(counts, starts)
-            prefix = keys[:, : n * w]
-            if n in self.open and self.open[n][0] == prefix[0].tobytes():
-                sums[0] += self.open[n][1]
-            elif n in self.open:
-                yield from self.close(n)
-            ended = np.flatnonzero(some[starts[:-1], n - 1] & ((sums[:-1] >= self.least) | (np.arange(len(starts) - 1) == (0 if n not in self.started else -1))))
-            for i in ended.tolist():
-                yield prefix[starts[i]].tobytes(), int(sums[i])
-            if len(starts) > 1:
-                self.started.add(n)
-            self.open[n] = (prefix[starts[-1]].tobytes(), int(sums[-1]))
-
-    def close(self, n: int, last: bool = False) -> Iterator[tuple[bytes, int]]:
-        key, count = self.open.pop(n)
-        if key[-self.width :].strip(b"\0") and (last or count >= self.least or n not in self.started):
-            yield key, count
-        self.started.add(n)
-
-    def finish(self) -> Iterator[tuple[bytes, int]]:
-        for n in list(self.open):
-            yield from self.close(n, last=True)
+def run_lengths(keys: np.ndarray, counts: np.ndarray, width: int, least: int, longest: int = LONGEST) -> Iterator[tuple[bytes, int]]:
+    """(phrase, count) of the runs of equal prefixes of two words and more of sorted keys: frequent ones, and the first and last, which may go on elsewhere."""
+    words = keys.reshape(len(keys), longest, width)
+    apart = (words[1:] != words[:-1]).any(2)
+    some = (words != 0).any(2)
+    for n in range(2, longest + 1):
+        starts = np.concatenate([[0], np.flatnonzero(apart[:, :n].any(1)) + 1])
+        sums = np.add.reduceat(counts, starts)
+        ends = np.isin(np.arange(len(starts)), [0, len(starts) - 1])
+        for i in np.flatnonzero(some[starts, n - 1] & ((sums >= least) | ends)).tolist():
+            yield keys[starts[i], : n * width].tobytes(), int(sums[i])
 
 
 def dictionary(chunked: DataFrame, least: int) -> DataFrame:
@@ -180,45 +153,85 @@ def dictionary(chunked: DataFrame, least: int) -> DataFrame:
     return cut(numbered(totals.where(F.col("f") >= least), ["lang", "word"], "id").select("lang", "word", "f", F.col("id").cast("long").alias("id")), "dictionary")
 
 
-def keys_of(chunked: DataFrame, words: DataFrame, width: int) -> DataFrame:
-    """(key, count) of every chunk."""
+def chunk_ids(codes: bytes, size: int, pos: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """The ids of a chunk's places; 0 where a piece ends or a word is infrequent."""
+    lookup = np.zeros(size + 1, np.uint64)
+    lookup[pos + 1] = ident
+    return lookup[np.frombuffer(codes, np.int32)]
+
+
+def with_ids(chunked: DataFrame, words: DataFrame) -> DataFrame:
+    """(codes, size, pos, id): each chunk with the ids of its frequent words by their position."""
     own = chunked.select("chunk", "lang", F.posexplode("words").alias("pos", "word"))
     ids = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("m"))
-    known = chunked.select("chunk", "codes", F.size("words").alias("size")).join(ids, "chunk").select("codes", "size", F.col("m.pos").alias("pos"), F.col("m.id").alias("id"))
+    return chunked.select("chunk", "codes", F.size("words").alias("size")).join(ids, "chunk").select("codes", "size", F.col("m.pos").alias("pos"), F.col("m.id").alias("id"))
+
+
+def per_chunk(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct keys of each chunk, with their counts."""
+    for batch in batches:
+        for codes, size, pos, ident in zip(*batch.columns):
+            yield chunk_keys(chunk_ids(codes.as_py(), size.as_py(), pos.values.to_numpy(), ident.values.to_numpy()), width)
+
+
+def range_bounds(chunked: DataFrame, words: DataFrame, width: int) -> np.ndarray:
+    """The least keys of all ranges but the first, from the keys of some chunks."""
+    whole = chunked.agg(F.sum(F.octet_length("codes")).alias("bytes"), F.count(F.lit(1)).alias("chunks")).first()
+    ranges = min(MOST_RANGES, (whole["bytes"] or 0) // 4 * LONGEST * width // RANGE_BYTES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, size, pos, ident in zip(*batch.columns):
-                lookup = np.zeros(size.as_py() + 1, np.uint64)
-                lookup[pos.values.to_numpy() + 1] = ident.values.to_numpy()
-                keys, counts = chunk_keys(lookup[np.frombuffer(codes.as_py(), np.int32)], width)
-                for at in range(0, len(keys), KEY_ROWS):
-                    yield pa.RecordBatch.from_arrays([binary(keys[at : at + KEY_ROWS]), pa.array(counts[at : at + KEY_ROWS], pa.int64())], names=["key", "count"])
+        for keys, _ in per_chunk(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys[:: len(keys) // SAMPLED_KEYS + 1]], pa.binary())], names=["key"])
+
+    some = chunked.where(F.pmod(F.xxhash64("chunk"), F.lit(max(1, whole["chunks"] // SAMPLED_CHUNKS))) == 0)
+    found = with_ids(some, words).mapInArrow(run, "key binary").limit(4 * SAMPLED_CHUNKS * SAMPLED_KEYS).collect() if ranges > 1 else []
+    sample = np.sort(np.array([bytes(r["key"]) for r in found], f"S{LONGEST * width}"))
+    return np.unique(sample[np.arange(1, ranges) * len(sample) // ranges]) if len(sample) else sample
+
 
-    return known.mapInArrow(run, "key binary, count long")
+def keys_of(chunked: DataFrame, words: DataFrame, width: int, bounds: np.ndarray) -> DataFrame:
+    """(range, n, keys, counts): a row for each chunk and range, the keys and counts as planes of bytes."""
+    shared = chunked.sparkSession.sparkContext.broadcast(bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in per_chunk(batches, width):
+            ends = np.concatenate([[0], np.searchsorted(keys.view(f"S{keys.shape[1]}").ravel(), shared.value), [len(keys)]])
+            some = np.flatnonzero(np.diff(ends))
+            parts = [slice(ends[r], ends[r + 1]) for r in some]
+            data = [keys[p].T.tobytes() for p in parts]
+            sizes = [counts[p].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(ends[some + 1] - ends[some]), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], names=["range", "n", "keys", "counts"])
+
+    return with_ids(chunked, words).mapInArrow(run, "range int, n long, keys binary, counts binary")
 
 
 def counted(keys: DataFrame, width: int, least: int) -> DataFrame:
-    """(key, f) of all phrases of two words or more that occur ``least`` times: range-partitioned, sorted, run-length counted."""
-    bound_batches(keys.sparkSession, KEY_ROWS)
+    """(key, f) of all phrases of two words or more that occur ``least`` times: each range sorted and run-length counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(width, least)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
 
-        def out(found: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
+            data, counts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            places = np.zeros((len(data), LONGEST, 8), np.uint8)
+            places[:, :, 8 - width :] = data.reshape(len(data), LONGEST, width)
+            order = radix_sorted(places.view(">u8")[:, :, 0].astype(np.uint64), width)
+            found = list(run_lengths(data[order], counts[order], width, least))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int64())], names=["key", "f"])
 
         for batch in batches:
-            if batch.num_rows:
-                column = batch.column(0)
-                offset = column.offset * LONGEST * width
-                data = np.frombuffer(column.buffers()[2], np.uint8)[offset : offset + batch.num_rows * LONGEST * width]
-                yield out(list(runs.add(data.reshape(batch.num_rows, -1), batch.column(1).to_numpy())))
-        yield out(list(runs.finish()))
+            for part, n, data, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and held:
+                    yield out()
+                now = part
+                held.append((np.frombuffer(data, np.uint8).reshape(-1, n).T, np.frombuffer(counts, np.uint8).reshape(8, n).T.copy().view("<u8")[:, 0].astype(np.int64)))
+        if held:
+            yield out()
 
-    sorted_keys = keys.repartitionByRange("key").sortWithinPartitions("key")
-    runs = sorted_keys.mapInArrow(run, "key binary, f long")
-    return runs.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = keys.repartition("range").sortWithinPartitions("range").mapInArrow(run, "key binary, f long")
+    return found.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def slice_words(key: Column, first: Column | int, count: Column | int, width: int) -> Column:
@@ -227,6 +240,12 @@ def slice_words(key: Column, first: Column | int, count: Column | int, width: in
     return F.substr(key, number(first) * width + 1, number(count) * width)
 
 
+def score_of(a: Column, n: Column, left: Column, right: Column) -> Column:
+    """floor(1000 a n / (l r)) of whole decimals of 19 digits, exact while a n has no more than 34."""
+    product = (a * n).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")
+    return F.call_function("div", product.cast("decimal(38,0)"), (left * right).cast("decimal(38,0)"))
+
+
 def best_of(rows: DataFrame, group: str, order: list[Column], spread: Column, most: int) -> DataFrame:
     """The first rows of each group with their rank: first in hash buckets, then of what these leave."""
     some = Window.partitionBy(group, "__bucket").orderBy(*order)
@@ -245,10 +264,9 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, cover: int = 100,
     words = dictionary(chunked, least)
     top = words.agg(F.max("id")).first()[0] or 0
     width = max(1, (int(top).bit_length() + 7) // 8)
-    keys = cut(keys_of(chunked, words, width), "phrase-keys")
     totals = cut(chunked.select("lang", F.explode("counts").alias("c")).groupBy("lang").agg(F.sum("c").alias("n")), "lang-words")
+    phrases = cut(counted(keys_of(chunked, words, width, range_bounds(chunked, words, width)), width, least), "phrases")
     remove(chunked)
-    phrases = cut(counted(keys, width, least), "phrases", replaces=keys)
 
     size = F.floor(F.octet_length("key") / width).cast("int")
     one = F.substr(F.unhex(F.lpad(F.hex("id"), 16, "0")), F.lit(9 - width), F.lit(width))
@@ -264,8 +282,7 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, cover: int = 100,
     cuts = cuts.join(parts.select(F.col("part").alias("left"), F.col("pf").alias("l")), "left").join(parts.select(F.col("part").alias("right"), F.col("pf").alias("r")), "right")
     heads = words.select(one.alias("head"), "lang")
     placed = cuts.withColumn("head", slice_words(F.col("key"), 0, 1, width)).join(heads, "head").join(totals, "lang")
-    product = (exact("f") * exact("n")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")
-    scored = placed.withColumn("score", F.call_function("div", product.cast("decimal(38,0)"), (exact("l") * exact("r")).cast("decimal(38,0)")))
+    scored = placed.withColumn("score", score_of(*map(exact, ("f", "n", "l", "r"))))
     least_cut = scored.groupBy("key", "lang", "f", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
 
     spelled = kept.select("key", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at")).withColumn("head", slice_words(F.col("key"), F.col("at"), 1, width))
