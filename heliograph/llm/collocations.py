@@ -20,6 +20,7 @@ the result is empty. Only the columns ``lang`` and ``text`` are read, so no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,18 @@ from heliograph.shared import cut, remove
 LONGEST = 5
 #: Bytes of text in a chunk, in all chunks that a task fills, and in what is split at once.
 CHUNK = 4 << 20
-HELD = 16 << 20
+HELD = 12 << 20
 SEGMENT = 1 << 20
 #: Hash buckets that a language's candidates are ranked in before the best of all.
 RANK_BUCKETS = 256
 #: Bytes of keys in a range, and how many ranges there are at most (their bounds are broadcast, 40 bytes each at most).
 RANGE_BYTES = 4 << 20
 MOST_RANGES = 1 << 20
+#: Rows of a chunk's words in one batch.
+WORD_ROWS = 1 << 14
+#: Ranges that a chunk sends at once, and chunks or their ranges that a task is sent at once.
+BATCH_RANGES = 32
+CHUNK_ROWS = 8
 #: Chunks that the bounds come from, about, and keys of each.
 SAMPLED_CHUNKS, SAMPLED_KEYS = 64, 4096
 
@@ -71,18 +77,22 @@ class Chunk:
         self.codes.append(np.zeros(1, np.int32))
         self.size += len(data)
 
-    def row(self, name: str, lang: str) -> dict:
+    def rows(self, name: str, lang: str) -> Iterator[pa.RecordBatch]:
+        """The chunk's words with their places in it (from 1) and counts, then its codes."""
         codes = np.concatenate(self.codes)
-        counts = np.bincount(codes, minlength=len(self.index))[1:]
-        return {"chunk": name, "lang": lang, "words": [w.decode() for w in list(self.index)[1:]], "counts": counts.tolist(), "codes": codes.tobytes()}
+        words, counts = list(self.index)[1:], np.bincount(codes, minlength=len(self.index))[1:]
+        for at in range(0, len(words), WORD_ROWS):
+            some = words[at : at + WORD_ROWS]
+            yield self._batch(name, lang, len(some), [pa.array(np.arange(at + 1, at + 1 + len(some), dtype=np.int32)), pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[at : at + WORD_ROWS]), pa.nulls(len(some), pa.binary())])
+        yield self._batch(name, lang, 1, [pa.array([len(words)], pa.int32()), pa.nulls(1, pa.string()), pa.array([len(codes)], pa.int64()), pa.array([codes.tobytes()], pa.binary())])
 
-
-CHUNK_SCHEMA = "chunk string, lang string, words array<string>, counts array<long>, codes binary"
-_ARROW = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+    @staticmethod
+    def _batch(name: str, lang: str, rows: int, columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(name, rows), pa.repeat(lang, rows), *columns], names=["chunk", "lang", "pos", "word", "count", "codes"])
 
 
 def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The texts as chunks: (chunk, lang, words, counts, codes)."""
+    """The texts as chunks: (chunk, lang, pos, word, count, codes), a row for each word of a chunk and one for its codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -91,7 +101,7 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
         def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal made
             for lang in langs:
-                yield pa.RecordBatch.from_pylist([held.pop(lang).row(f"{part}-{made}", lang)], schema=_ARROW)
+                yield from held.pop(lang).rows(f"{part}-{made}", lang)
                 made += 1
 
         for batch in batches:
@@ -104,7 +114,7 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
         yield from flush(list(held))
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, CHUNK_SCHEMA)
+    return rows.mapInArrow(run, "chunk string, lang string, pos int, word string, count long, codes binary")
 
 
 def radix_sorted(places: np.ndarray, width: int) -> np.ndarray:
@@ -148,23 +158,23 @@ def run_lengths(keys: np.ndarray, counts: np.ndarray, width: int, least: int, lo
 
 def dictionary(chunked: DataFrame, least: int) -> DataFrame:
     """(lang, word, f, id) of the words that are frequent in their language; ids are dense, from 1."""
-    each = chunked.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    totals = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
+    totals = chunked.where("word is not null").groupBy("lang", "word").agg(F.sum("count").alias("f"))
     return cut(numbered(totals.where(F.col("f") >= least), ["lang", "word"], "id").select("lang", "word", "f", F.col("id").cast("long").alias("id")), "dictionary")
 
 
 def chunk_ids(codes: bytes, size: int, pos: np.ndarray, ident: np.ndarray) -> np.ndarray:
     """The ids of a chunk's places; 0 where a piece ends or a word is infrequent."""
     lookup = np.zeros(size + 1, np.uint64)
-    lookup[pos + 1] = ident
+    lookup[pos] = ident
     return lookup[np.frombuffer(codes, np.int32)]
 
 
 def with_ids(chunked: DataFrame, words: DataFrame) -> DataFrame:
     """(codes, size, pos, id): each chunk with the ids of its frequent words by their position."""
-    own = chunked.select("chunk", "lang", F.posexplode("words").alias("pos", "word"))
+    own = chunked.where("word is not null").select("chunk", "lang", "pos", "word")
     ids = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("m"))
-    return chunked.select("chunk", "codes", F.size("words").alias("size")).join(ids, "chunk").select("codes", "size", F.col("m.pos").alias("pos"), F.col("m.id").alias("id"))
+    whole = chunked.where("codes is not null").select("chunk", "codes", F.col("pos").alias("size"))
+    return whole.join(ids, "chunk").select("codes", "size", F.col("m.pos").alias("pos"), F.col("m.id").alias("id"))
 
 
 def per_chunk(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,8 +186,8 @@ def per_chunk(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
 
 def range_bounds(chunked: DataFrame, words: DataFrame, width: int) -> np.ndarray:
     """The least keys of all ranges but the first, from the keys of some chunks."""
-    whole = chunked.agg(F.sum(F.octet_length("codes")).alias("bytes"), F.count(F.lit(1)).alias("chunks")).first()
-    ranges = min(MOST_RANGES, (whole["bytes"] or 0) // 4 * LONGEST * width // RANGE_BYTES + 1)
+    whole = chunked.where("word is null").agg(F.sum("count").alias("places"), F.count(F.lit(1)).alias("chunks")).first()
+    ranges = min(MOST_RANGES, (whole["places"] or 0) * LONGEST * width // RANGE_BYTES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _ in per_chunk(batches, width):
@@ -196,11 +206,11 @@ def keys_of(chunked: DataFrame, words: DataFrame, width: int, bounds: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in per_chunk(batches, width):
             ends = np.concatenate([[0], np.searchsorted(keys.view(f"S{keys.shape[1]}").ravel(), shared.value), [len(keys)]])
-            some = np.flatnonzero(np.diff(ends))
-            parts = [slice(ends[r], ends[r + 1]) for r in some]
-            data = [keys[p].T.tobytes() for p in parts]
-            sizes = [counts[p].astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(ends[some + 1] - ends[some]), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], names=["range", "n", "keys", "counts"])
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            size = int(counts.max(initial=1)).bit_length() // 8 + 1
+            rows = ((r, int(ends[r + 1] - ends[r]), keys[ends[r] : ends[r + 1]].T.tobytes(), counts[ends[r] : ends[r + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()) for r in some)
+            while batch := list(islice(rows, BATCH_RANGES)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "n", "keys", "counts"])
 
     return with_ids(chunked, words).mapInArrow(run, "range int, n long, keys binary, counts binary")
 
@@ -226,7 +236,9 @@ def counted(keys: DataFrame, width: int, least: int) -> DataFrame:
                 if part != now and held:
                     yield out()
                 now = part
-                held.append((np.frombuffer(data, np.uint8).reshape(-1, n).T, np.frombuffer(counts, np.uint8).reshape(8, n).T.copy().view("<u8")[:, 0].astype(np.int64)))
+                planes = np.zeros((n, 8), np.uint8)
+                planes[:, : len(counts) // n] = np.frombuffer(counts, np.uint8).reshape(-1, n).T
+                held.append((np.frombuffer(data, np.uint8).reshape(-1, n).T, planes.view("<i8")[:, 0]))
         if held:
             yield out()
 
@@ -262,9 +274,10 @@ def mine(docs: DataFrame, least: int = 100, most: int = 2000, cover: int = 100,
     bound_batches(docs.sparkSession)
     chunked = cut(chunks(docs, lang_col, text_col), "chunks")
     words = dictionary(chunked, least)
+    bound_batches(docs.sparkSession, CHUNK_ROWS)
     top = words.agg(F.max("id")).first()[0] or 0
     width = max(1, (int(top).bit_length() + 7) // 8)
-    totals = cut(chunked.select("lang", F.explode("counts").alias("c")).groupBy("lang").agg(F.sum("c").alias("n")), "lang-words")
+    totals = cut(chunked.where("word is not null").groupBy("lang").agg(F.sum("count").alias("n")), "lang-words")
     phrases = cut(counted(keys_of(chunked, words, width, range_bounds(chunked, words, width)), width, least), "phrases")
     remove(chunked)
 
