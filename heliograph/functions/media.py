@@ -58,11 +58,19 @@ def aspect_subtype(width, height, subtype=None) -> Column:
     return F.coalesce(_col(subtype), shape) if subtype is not None else shape
 
 
+#: How much of a file is searched for its XMP document.
+XMP_BYTES = 128 << 10
+
+
+def xmp_text(data) -> Column:
+    """The beginning of binary data as text; bytes that are no UTF-8 are replaced."""
+    return F.make_valid_utf8(F.substring(_col(data), 1, XMP_BYTES).cast("string"))
+
+
 def xmp_attribute(xmp, name: str) -> Column:
-    """An attribute's value in either quote style, or null."""
-    found = F.regexp_extract(_col(xmp), rf"""{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-    other = F.regexp_extract(_col(xmp), rf"""{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
-    return F.nullif(F.concat(found, other), F.lit(""))
+    """The trimmed value of the first attribute whose name ends so, in double quotes, else in single ones; null if empty."""
+    value = lambda quote: F.nullif(F.trim(F.regexp_extract(_col(xmp), f"{name}={quote}([^{quote}]*){quote}", 1)), F.lit(""))
+    return F.coalesce(value('"'), value("'"))
 
 
 def byte_range(spec, size) -> Column:
@@ -87,9 +95,9 @@ def edit_flags(json) -> Column:
 
 
 def camera(make, model) -> Column:
-    """Make and model; a make that the model begins with is not repeated."""
+    """Make and model; a make that the model begins with, letter by letter, is not repeated."""
     a, b = F.nullif(F.trim(_col(make)), F.lit("")), F.nullif(F.trim(_col(model)), F.lit(""))
-    return F.when(b.isNull(), a).when(a.isNull() | F.startswith(F.lower(b), F.lower(a)), b).otherwise(F.concat_ws(" ", a, b))
+    return F.when(b.isNull(), a).when(a.isNull() | F.startswith(b, a), b).otherwise(F.concat_ws(" ", a, b))
 
 
 def upright(width, height, orientation) -> Column:
@@ -100,15 +108,18 @@ def upright(width, height, orientation) -> Column:
 
 
 def xmp_subtype(xmp) -> Column:
-    """motion before equirectangular and panorama, before burst, before hdr; null if the document names none."""
+    """motion before equirectangular and panorama, before burst, before hdr; null if the document names none.
+
+    A motion flag counts unless it is 0 or false; a projection only if it is one of the three known.
+    """
     x = _col(xmp)
-    motion = xmp_attribute(x, "GCamera:MotionPhoto").isin("1", "true") | xmp_attribute(x, "GCamera:MicroVideo").isin("1", "true")
-    projection = xmp_attribute(x, "GPano:ProjectionType")
+    motion = ~F.lower(F.coalesce(xmp_attribute(x, "MicroVideo"), xmp_attribute(x, "MotionPhoto"))).isin("0", "false")
+    projection = F.lower(xmp_attribute(x, "ProjectionType"))
     return (
         F.when(motion, "motion")
         .when(projection == "equirectangular", "equirectangular")
-        .when(projection.isNotNull(), "panorama")
-        .when(xmp_attribute(x, "GCamera:BurstID").isNotNull(), "burst")
+        .when(projection.isin("cylindrical", "fisheye"), "panorama")
+        .when(xmp_attribute(x, "BurstID").isNotNull(), "burst")
         .when(x.contains("HDRGainMap") | x.contains("hdrgm:Version"), "hdr")
     )
 
@@ -116,17 +127,20 @@ def xmp_subtype(xmp) -> Column:
 def motion_offset(xmp) -> Column:
     """How many bytes from the end a picture's film begins: the older attributes, else length and padding of the container's film."""
     x = _col(xmp)
-    film = F.regexp_extract(x, r"<[^<>]*video/mp4[^<>]*>", 0)
-    number = lambda part, name: xmp_attribute(part, name).try_cast("long")
-    item = number(film, "Item:Length") + F.coalesce(number(film, "Item:Padding"), F.lit(0))
+    film = lambda quote: F.nullif(F.regexp_extract(x, f"(?:<|^)[^<]*Item:Mime={quote}video/mp4{quote}[^>]*", 0), F.lit(""))
+    number = lambda part, name: F.when(xmp_attribute(part, name).try_cast("long") >= 0, xmp_attribute(part, name).try_cast("long"))
+    element = F.coalesce(film('"'), film("'"))
+    item = number(element, "Item:Length") + F.coalesce(number(element, "Item:Padding"), F.lit(0))
     return F.coalesce(number(x, "MicroVideoOffset"), number(x, "MotionVideoOffset"), item)
 
 
 #: Fixed value: what stands before the film in files of one maker, whose documents name no offset.
 FILM_MARKER = "MotionPhoto_Data"
+#: The marker is looked for in so many bytes at the end.
+FILM_BYTES = 16 << 20
 
 
 def marked_offset(data) -> Column:
-    """How many bytes follow the last FILM_MARKER of binary data; null without one, or if nothing follows."""
-    text = F.decode(_col(data), "ISO-8859-1")
+    """How many bytes follow the last FILM_MARKER at the end of binary data; null without one, or if nothing follows."""
+    text = F.decode(F.right(_col(data), F.lit(FILM_BYTES)), "ISO-8859-1")
     return F.when(F.contains(text, F.lit(FILM_MARKER)), F.nullif(F.length(F.substring_index(text, FILM_MARKER, -1)), F.lit(0))).cast("long")

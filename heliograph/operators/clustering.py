@@ -2,53 +2,76 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.vector import cosine
+from heliograph.operators import similarity
 from heliograph.operators.components import connected_components
+from heliograph.shared import cut
 
-#: Vectors in a block; two blocks meet in one task, as a matrix product.
-BLOCK = 1024
 
+def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float, within: str | None = None, block: int = similarity.BLOCK) -> DataFrame:
+    """(a, b, similarity) with a < b and a cosine of at least threshold, exact, among vectors of one length and group."""
+    return similarity.pairs(similarity.directed(df, ident, vector, within), threshold, block)
 
-def similar_pairs(df: DataFrame, ident: str, vector: str, threshold: float, within: str | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b and a cosine of at least threshold, exact, among vectors of one length and group.
 
-    Every pair of a group has to be looked at; they meet as blocks: a row goes to as many block pairs as
-    its group has blocks, and only pairs above the threshold leave a task.
+def _first_copies(rows: DataFrame) -> DataFrame:
+    """(g, v, first): the smallest id of each group's equal vectors; copies need not be compared."""
+    return rows.groupBy("g", "v").agg(F.min("id").alias("first"))
+
+
+def clusters(df: DataFrame, ident: str, vector: str, threshold: float, within: str | None = None, block: int = similarity.BLOCK) -> DataFrame:
+    """(id, cluster) for every row with a vector: single linkage at the threshold; a cluster is named by its smallest id.
+
+    Equal vectors are one, and blocks give the forests that span their links. Vectors without a direction are alone.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.concat_ws("|", *[F.col(c).cast("string") for c in ([within] if within else [])], F.size(vector).cast("string")).alias("g"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocks = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select("g", "lo", "hi", "own", "id", "v")
-
-    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, lo, hi = key
-        x = np.stack(frame["v"].to_numpy())
-        size = np.sqrt((x * x).sum(1))
-        some = size >= 1e-6
-        x, ids, own = x[some] / size[some, None], frame["id"].to_numpy()[some], frame["own"].to_numpy()[some]
-        left, right = (np.arange(len(x)), np.arange(len(x))) if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
-        s = x[left] @ x[right].T
-        i, j = np.nonzero(s >= threshold)
-        a, b = ids[left[i]], ids[right[j]]
-        keep = a < b if lo == hi else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[i, j][keep]})
-
-    return blocks.groupBy("g", "lo", "hi").applyInPandas(meet, "a long, b long, similarity double")
-
-
-def clusters(df: DataFrame, ident: str, vector: str, threshold: float, within: str | None = None) -> DataFrame:
-    """(id, cluster) for every row with a vector: single linkage at the threshold; a cluster is named by its smallest id."""
-    pairs = similar_pairs(df, ident, vector, threshold, within)
-    roots = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rows = cut(similarity.directed(df, ident, vector, within), "directed")
+    first = cut(_first_copies(rows), "copies")
+    links = similarity.forest(first.select(F.col("first").alias("id"), "v", "g"), threshold, block).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    copies = rows.join(first, ["g", "v"]).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    roots = connected_components(links.unionByName(copies))
     every = df.where(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"))
     return every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
+def constrained_clusters(df: DataFrame, ident: str, vector: str, threshold: float, pins: DataFrame, within: str | None = None, block: int = similarity.BLOCK) -> DataFrame:
+    """(id, cluster, pin): single linkage that keeps what was decided by hand, for every id with a vector or a pin.
+
+    pins(id, pin) names the group that an id was put into (of several the smallest counts). Ids of one group stay together, ids of
+    different groups apart, however similar; all others follow the links, the most similar first (of equals the
+    first pair of ids), unless a link would join two groups. So what a pass gives can be the next pass's pins and comes out again.
+
+    That is the heaviest spanning forest with a root for each group. It grows in rounds: each part without a pin takes
+    its best link to another part, which halves their number.
+    """
+    rows = cut(similarity.directed(df, ident, vector, within), "directed")
+    first = cut(_first_copies(rows), "copies")
+    links = similarity.forest(first.select(F.col("first").alias("id"), "v", "g"), threshold, block)
+    copies = rows.join(first, ["g", "v"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    edges = cut(links.unionByName(copies).where("a != b"), "links")
+    held = pins.where("id is not null and pin is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min("pin").alias("pin"))
+    together = held.groupBy("pin").agg(F.min("id").alias("part"))
+    every = df.where(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id")).union(held.select("id")).distinct()
+    parts = cut(every.join(held.join(together, "pin"), "id", "left").select("id", F.coalesce("part", "id").alias("part"), "pin"), "parts")
+    while True:
+        end = lambda e: parts.select(F.col("id").alias(e), F.col("part").alias(f"p{e}"), F.col("pin").alias(f"pin{e}"))  # noqa: E731, B023
+        apart = edges.join(end("a"), "a").join(end("b"), "b").where("pa != pb and (pina is null or pinb is null)")
+        edges_left = cut(apart, "links", replaces=edges)
+        if edges_left.isEmpty():
+            break
+        order = similarity.heavier(F.col("similarity"), F.col("a"), F.col("b"))
+        sides = [edges_left.where(f"pin{x} is null").select(F.col(f"p{x}").alias("u"), F.col(f"p{y}").alias("v"), order.alias("order")) for x, y in ("ab", "ba")]
+        taken = sides[0].unionAll(sides[1]).groupBy("u").agg(F.max_by("v", "order").alias("v"))
+        roots = cut(connected_components(taken), "roots")
+        named = parts.join(roots.withColumnRenamed("id", "part"), "part", "left").select("id", F.coalesce("root", "part").alias("part"), "pin")
+        known = named.where("pin is not null").groupBy("part").agg(F.min("pin").alias("its"))
+        parts = cut(named.join(known, "part", "left").select("id", "part", F.coalesce("pin", "its").alias("pin")), "parts", replaces=parts)
+        edges = edges_left.select("a", "b", "similarity")
+    name = parts.groupBy("part").agg(F.min("id").alias("cluster"))
+    return parts.join(name, "part").select("id", "cluster", "pin")
+
+
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, position, value): the mean of each group's vectors, scaled to unit length."""
     parts = df.select(group, F.posexplode(vector).alias("position", "x")).groupBy(group, "position").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -64,27 +87,3 @@ def assign(df: DataFrame, middles: DataFrame, group: str, vector: str, threshold
     whole = middles.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"]).alias("__middle"))
     close = F.coalesce(cosine(vector, "__middle") >= threshold, F.lit(False))
     return df.join(whole, group, "left").withColumn("assigned", close).drop("__middle")
-
-
-def suppress(boxes: DataFrame, image: str, limit: float = 0.4) -> DataFrame:
-    """boxes(image, id, x, y, w, h, score) without those that overlap a better one of their image by more than limit.
-
-    Keeping a box depends on which better ones were kept, so an image's boxes are one ordered task's work.
-    """
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "id"], ascending=[False, True])
-        x, y, w, h = (frame[c].to_numpy(float) for c in "xywh")
-        kept: list[int] = []
-        for i in range(len(frame)):
-            k = np.array(kept, int)
-            ow = np.clip(np.minimum(x[i] + w[i], x[k] + w[k]) - np.maximum(x[i], x[k]), 0, None)
-            oh = np.clip(np.minimum(y[i] + h[i], y[k] + h[k]) - np.maximum(y[i], y[k]), 0, None)
-            union = w[i] * h[i] + w[k] * h[k] - ow * oh
-            if not (ow * oh > limit * union).any():
-                kept.append(i)
-        return frame.iloc[kept]
-
-    return boxes.groupBy(image).applyInPandas(best, boxes.schema)
-
-

@@ -1,89 +1,82 @@
-"""Sequential packing: parts of an export, rows of a gallery."""
+"""Sequential packing: parts of an export and the names in them, rows of a gallery."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.operators.folds import Stepwise, ordered_fold
+
+
+class _Parts(Stepwise):
+    """The part of each file: one is closed when the next file would pass the limit."""
+
+    def __init__(self, limit: float, overhead: float):
+        self.limit, self.overhead, self.part, self.used = limit, overhead, 0, 0.0
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    def step(self, size: float) -> tuple:
+        if self.used and self.used + size + self.overhead > self.limit:
+            self.part, self.used = self.part + 1, 0.0
+        self.used += size + self.overhead
+        return (self.part,)
+
+
+def _size(column: str) -> Column:
+    """A missing size, or none that is a number, counts as nothing."""
+    size = F.col(column).cast("double")
+    return F.when(~F.isnan(size), size).otherwise(0.0)
 
 
 def size_parts(df: DataFrame, key: str, order: list[str], size: str, limit: float, overhead: float = 0.0) -> DataFrame:
     """df with the part each row falls into: a part is closed when the next row would pass the limit.
 
-    Where a part begins depends on all that came before in its key, so a key is one ordered fold. The state is a part
-    number and its size; rows stream through it in sorted batches, and no group is held whole.
+    Where a part begins depends on all that came before in its key. The state is a part number and its size. A null key is a
+    key; a row without a size takes only the overhead.
     """
-    dealt = df.repartition(key).sortWithinPartitions(key, *order)
+    return ordered_fold(df, [key], order, [F.coalesce(_size(size), F.lit(0.0))], lambda: _Parts(limit, overhead), "part long")
+
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, part, used = object(), 0, 0.0
-        for batch in batches:
-            parts = []
-            for k, value in zip(batch[key].tolist(), batch[size].tolist()):
-                value = float(value) + overhead
-                if k != now:
-                    now, part, used = k, 0, 0.0
-                elif used and used + value > limit:
-                    part, used = part + 1, 0.0
-                used += value
-                parts.append(part)
-            yield batch.assign(part=parts)
+class _Rows:
+    """Rows of a gallery: filled until no higher than wanted; a picture more is taken back if that comes nearer."""
 
-    return dealt.mapInPandas(fold, f"{_schema(df)}, part long")
+    def __init__(self, width: float, height: float, gap: float):
+        self.width, self.height, self.gap = width, height, gap
+        self.number, self.ratios = 0, []
+
+    def _fit(self, ratios: list[float]) -> float:
+        return (self.width - self.gap * (len(ratios) - 1)) / sum(ratios)
+
+    def _close(self, count: int, height: float) -> list[tuple]:
+        out = [(self.number, height)] * count
+        self.number += 1
+        self.ratios = self.ratios[count:]
+        return out
+
+    def row(self, ratio: float) -> list[tuple]:
+        self.ratios.append(ratio)
+        height, out = self._fit(self.ratios), []
+        if height > self.height:
+            return out
+        before = self.ratios[:-1]
+        if before and abs(self._fit(before) - self.height) < abs(height - self.height):
+            out = self._close(len(before), self._fit(before))
+            height = self._fit(self.ratios)
+            if height > self.height:
+                return out
+        return out + self._close(len(self.ratios), height)
+
+    def end(self) -> list[tuple]:
+        return self._close(len(self.ratios), min(self.height, self._fit(self.ratios))) if self.ratios else []
 
 
 def justified_rows(df: DataFrame, key: str, order: list[str], aspect: str, width: float, height: float, gap: float = 4.0) -> DataFrame:
     """df with the row of each picture and that row's height: a row is filled until it is no higher than wanted.
 
     A picture more is taken back if the row is nearer to the wanted height without it; the last row keeps
-    the wanted height. Pictures stream through in sorted batches; only those of the open row wait for its height.
+    the wanted height. Only the open row's pictures wait for its height. A null key is a key; a picture without an aspect is square.
     """
-    dealt = df.repartition(key).sortWithinPartitions(key, *order)
-    columns = [*df.columns, "row", "row_height"]
-    fit = lambda total, n: (width - gap * (n - 1)) / total
-
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, row, total, held = object(), 0, 0.0, []  # held: the open row's pictures
-        out: list[tuple] = []
-
-        def close(pictures: list[tuple], h: float) -> None:
-            nonlocal row
-            out.extend((*p, row, h) for p in pictures)
-            row += 1
-
-        for batch in batches:
-            ratios = [float(a) if a and a > 0 else 1.0 for a in batch[aspect].tolist()]
-            for k, a, picture in zip(batch[key].tolist(), ratios, batch.itertuples(index=False, name=None)):
-                if k != now:
-                    if held:
-                        close(held, min(height, fit(total, len(held))))
-                    now, row, total, held = k, 0, 0.0, []
-                before, n = total, len(held)
-                held, total = [*held, picture], total + a
-                h = fit(total, len(held))
-                if h > height:
-                    continue
-                if n and abs(fit(before, n) - height) < abs(h - height):
-                    close(held[:-1], fit(before, n))
-                    held, total = held[-1:], a
-                    if fit(a, 1) > height:
-                        continue
-                    h = fit(a, 1)
-                close(held, h)
-                held, total = [], 0.0
-            yield pd.DataFrame(out, columns=columns).astype(batch.dtypes.to_dict())
-            out.clear()
-        if held:
-            close(held, min(height, fit(total, len(held))))
-            yield pd.DataFrame(out, columns=columns)
-
-    return dealt.mapInPandas(lay, f"{_schema(df)}, row long, row_height double")
+    ratio = F.col(aspect).cast("double")
+    return ordered_fold(df, [key], order, [F.when((ratio > 0) & (ratio < float("inf")), ratio).otherwise(1.0)], lambda: _Rows(width, height, gap), "row long, row_height double")
 
 
 def write_parts(df: DataFrame, path: str) -> None:
@@ -91,10 +84,59 @@ def write_parts(df: DataFrame, path: str) -> None:
     df.write.partitionBy(df.columns[0], "part").mode("overwrite").parquet(path)
 
 
+def numbered_name(name: str, taken: dict[str, int]) -> str:
+    """The name, or from its second use on with _(n) before its extension; taken counts names, and gets the new one.
+
+    A number whose name is taken already, by a file that is called so, is passed over.
+    """
+    taken[name] = taken.get(name, 0) + 1
+    if taken[name] == 1:
+        return name
+    stem, dot, tail = name.rpartition(".")
+    while (made := f"{stem}_({taken[name]}).{tail}" if dot else f"{name}_({taken[name]})") in taken:
+        taken[name] += 1
+    taken[made] = 1
+    return made
+
+
+class _Names(Stepwise):
+    def __init__(self) -> None:
+        self.taken: dict[str, int] = {}
+
+    def step(self, name: str | None) -> tuple:
+        return (None if name is None else numbered_name(name, self.taken),)
+
+
 def named_once(df: DataFrame, keys: list[str], name: str, order: list[str]) -> DataFrame:
-    """df with ``entry``: the name, with _(n) before its extension from the second row of that name on."""
-    from pyspark.sql import Window
+    """df with ``entry``: the name, with _(2), _(3) and so on before its extension from its second use in the keys on.
+
+    No entry occurs twice in its keys. What is taken depends on the rows before, so the keys (the parts of archives) should be of
+    bounded size: their names are the state. A null name has no entry.
+    """
+    return ordered_fold(df, keys, order, [F.col(name).cast("string")], _Names, "entry string")
+
 
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order)) - 1
-    stem, tail = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("__n", n).withColumn("entry", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_("), F.col("__n").cast("string"), F.lit(")"), tail))).drop("__n")
+class _Entries(Stepwise):
+    """Parts and the names in them, in one pass: names start anew in each part, and the overhead is only asked for."""
+
+    def __init__(self, limit: float, overhead: float):
+        self.limit, self.overhead = limit, overhead
+        self.part, self.used, self.names = 0, None, _Names()
+
+    def step(self, first: float, size: float, name: str | None) -> tuple:
+        if self.used is None:
+            self.used = first
+        if self.used > 0 and self.used + size + self.overhead > self.limit:
+            self.part, self.used, self.names = self.part + 1, 0.0, _Names()
+        self.used += size
+        return (self.part, *self.names.step(name))
+
+
+def archive_entries(df: DataFrame, key: str, order: list[str], size: str, name: str, limit: float, overhead: float = 100.0, first: str | None = None) -> DataFrame:
+    """df with the part and the entry of each file: parts by size and names that are free within the part, as one fold.
+
+    An archive counts the sizes of its files; whether one more fits is asked with ``overhead`` bytes more. ``first`` is a
+    column with the size of what stands first in the first part.
+    """
+    before = F.coalesce(_size(first), F.lit(0.0)) if first else F.lit(0.0)
+    return ordered_fold(df, [key], order, [before, F.coalesce(_size(size), F.lit(0.0)), F.col(name).cast("string")], lambda: _Entries(limit, overhead), "part long, entry string")

@@ -36,6 +36,32 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranges.withColumn("__rn", within).join(starts, "__part").withColumn(name, F.col("__rn") + F.col("__before")).drop("__part", "__rn", "__before")
 
 
+def day_groups(df: DataFrame, at: str, ident: str, zone: str = "UTC") -> DataFrame:
+    """df with ``day``, the date on a zone's clocks, and ``place`` in it, newest first (of one time by id).
+
+    Ranges of time are sorted apart, so no day is one task.
+    """
+    local = F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(at, F.current_timezone()), zone))
+    rows = df.withColumns({"day": local, "__newest": -F.unix_micros(at)}).withColumn("__late", -F.unix_date("day"))
+    placed = numbered(rows, ["__late", "__newest", ident], "__n")
+    first = placed.groupBy("day").agg(F.min("__n").alias("__first"))
+    return placed.join(first, "day").withColumn("place", F.col("__n") - F.col("__first") + 1).drop("__newest", "__late", "__n", "__first")
+
+
+#: Smart albums by the kinds they hold (none: all), and those whose bursts count once, on the web and on phones.
+ALBUMS = {"all": [], "photos": ["photo", "gif"], "gifs": ["gif"], "videos": ["video"], "audio": ["audio"]}
+COLLAPSED = {"web": list(ALBUMS), "phone": ["all", "photos"]}
+
+
+def smart_albums(items: DataFrame, ident: str, kind: str, group: str) -> DataFrame:
+    """(client, album, items) of the albums by kind: a burst counts once where the client collapses it; '' is no burst."""
+    burst = F.coalesce(F.concat(F.lit("g:"), F.nullif(F.col(group).cast("string"), F.lit(""))), F.concat(F.lit("i:"), F.col(ident).cast("string")))
+    inside = [F.struct(F.lit(c).alias("client"), F.lit(a).alias("album"), F.lit(a in COLLAPSED[c]).alias("once"), (F.col(kind).isin(kinds) if kinds else F.lit(True)).alias("has")) for c in COLLAPSED for a, kinds in ALBUMS.items()]
+    each = items.select(F.col(ident).alias("__id"), burst.alias("__burst"), F.explode(F.array(*inside)).alias("a")).select("__id", "__burst", "a.*")
+    counted = F.when(F.col("has"), F.when(F.col("once"), F.col("__burst")).otherwise(F.col("__id").cast("string")))
+    return each.groupBy("client", "album").agg(F.countDistinct(counted).alias("items"))
+
+
 def stage_progress(rows: DataFrame, pending: dict[str, Column], after: dict[str, list[str]]) -> DataFrame:
     """(stage, total, pending, done, active, waits) in one pass: a stage waits while one that it comes after has work left."""
     counts = rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(f"p_{k}") for k, c in pending.items()])

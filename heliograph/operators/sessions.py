@@ -26,6 +26,15 @@ def seconds_since(before, column: str) -> Column:
     return F.col(column).cast("double") - before(column).cast("double")
 
 
+def burst_candidates(photos: DataFrame, hidden: DataFrame, ident: str = "id") -> DataFrame:
+    """photos(ident, media_type, camera, taken_at, burst_id, subtype) that may be frames of a burst: stills of a known camera and
+    time that have no burst and no subtype yet, and are not hidden (the first column of hidden; its nulls hide nothing)."""
+    from heliograph.operators.relational import without
+
+    some = (F.col("media_type") == "photo") & F.col("taken_at").isNotNull() & F.col("camera").isNotNull() & (F.col("camera") != "")
+    return without(photos.where(some & F.col("burst_id").isNull() & F.col("subtype").isNull()), ident, hidden)
+
+
 def bursts(frames: DataFrame, camera: str, taken: str, ident: str, lat: str, lon: str, seconds: float = 2.0, km: float = 1.0) -> DataFrame:
     """Frames of one camera, each within ``seconds`` of the one before and, where both have coordinates, within ``km``."""
     from heliograph.functions.geo import haversine_km

@@ -115,23 +115,25 @@ def cluster_cards(spark, sf_dir):
 
 @query("""
     WITH RECURSIVE o AS (
-        SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS rn FROM lineitem
+        SELECT *, coalesce(owner, -1) AS k, coalesce(size, 0) AS n, row_number() OVER (PARTITION BY owner ORDER BY l_orderkey, l_linenumber, l_partkey, size NULLS FIRST) AS rn
+        FROM (SELECT nullif(l_suppkey, 3) AS owner, l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber < 6 THEN l_quantity END AS size FROM lineitem)
     ), r AS (
-        SELECT l_suppkey, rn, CAST(0 AS BIGINT) AS part, l_quantity AS used FROM o WHERE rn = 1
+        SELECT k, rn, CAST(0 AS BIGINT) AS part, n AS used FROM o WHERE rn = 1
         UNION ALL
-        SELECT o.l_suppkey, o.rn, CASE WHEN used > 0 AND used + l_quantity > 500 THEN part + 1 ELSE part END, CASE WHEN used > 0 AND used + l_quantity > 500 THEN l_quantity ELSE used + l_quantity END
-        FROM r JOIN o ON o.l_suppkey = r.l_suppkey AND o.rn = r.rn + 1
+        SELECT o.k, o.rn, CASE WHEN used > 0 AND used + n > 500 THEN part + 1 ELSE part END, CASE WHEN used > 0 AND used + n > 500 THEN n ELSE used + n END
+        FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1
     )
-    SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, part FROM o JOIN r USING (l_suppkey, rn)""")
+    SELECT owner, l_orderkey, l_linenumber, l_partkey, size, part FROM o JOIN r USING (k, rn)""")
 def size_packing(spark, sf_dir):
-    """Export parts of at most 500 units of each supplier's lines, in order."""
-    lines = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return packing.size_parts(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "l_quantity", 500.0)
+    """Export parts of at most 500 units of each supplier's lines, in order; one supplier and some sizes are unknown."""
+    owner, size = F.nullif(F.col("l_suppkey"), F.lit(3)).alias("owner"), F.when(F.col("l_linenumber") < 6, F.col("l_quantity")).alias("size")
+    lines = load(spark, sf_dir, "lineitem").select(owner, "l_orderkey", "l_linenumber", "l_partkey", size)
+    return packing.size_parts(lines, "owner", ["l_orderkey", "l_linenumber", "l_partkey", "size"], "size", 500.0)
 
 
 @query("""
     WITH RECURSIVE o AS (
-        SELECT p_brand, p_partkey, 0.5 + p_size / CAST(20 AS DOUBLE) AS aspect, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part
+        SELECT CASE WHEN p_brand = 'Brand#1' THEN '' ELSE p_brand END AS p_brand, p_partkey, CASE WHEN p_size = 7 THEN 1 ELSE 0.5 + p_size / CAST(20 AS DOUBLE) END AS aspect, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part
     ), r AS (  -- row: of this picture; open, s, n: the row that is open after it, its aspects and pictures
         SELECT p_brand, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS row, CAST(0 AS BIGINT) AS open, CAST(0 AS DOUBLE) AS s, 0 AS n FROM o WHERE rn = 1
         UNION ALL
@@ -142,11 +144,12 @@ def size_packing(spark, sf_dir):
             FROM (SELECT o.p_brand, o.rn, o.aspect, r.open, r.s, r.n, (1200 - 4 * r.n) / (r.s + o.aspect) <= 220 AS filled FROM r JOIN o ON o.p_brand = r.p_brand AND o.rn = r.rn + 1))
     ), laid AS (SELECT o.*, r.row, max(r.rn) OVER (PARTITION BY o.p_brand) = r.rn AND r.n > 0 AS ends_open FROM o JOIN r ON o.p_brand = r.p_brand AND o.rn = r.rn
     ), heights AS (SELECT p_brand, row, (1200 - 4 * (count(*) - 1)) / sum(aspect ORDER BY rn) AS h, bool_or(ends_open) AS last FROM laid GROUP BY p_brand, row)
-    SELECT p_brand, p_partkey, aspect, row, round(CASE WHEN last THEN least(220, h) ELSE h END, 6) AS row_height FROM laid JOIN heights USING (p_brand, row)""")
+    SELECT nullif(p_brand, '') AS p_brand, p_partkey, row, round(CASE WHEN last THEN least(220, h) ELSE h END, 6) AS row_height FROM laid JOIN heights USING (p_brand, row)""")
 def justified_rows(spark, sf_dir):
-    """Rows of pictures: each brand's parts by size and price."""
-    parts = load(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.lit(0.5) + F.col("p_size") / 20).alias("aspect"))
-    return packing.justified_rows(parts, "p_brand", ["p_partkey"], "aspect", 1200.0, 220.0).withColumn("row_height", F.round("row_height", 6))
+    """Rows of pictures, each brand's parts; one brand and some proportions are unknown."""
+    brand, aspect = F.nullif(F.col("p_brand"), F.lit("Brand#1")).alias("p_brand"), F.when(F.col("p_size") != 7, F.lit(0.5) + F.col("p_size") / 20).alias("aspect")
+    rows = packing.justified_rows(load(spark, sf_dir, "part").select(brand, "p_partkey", aspect), "p_brand", ["p_partkey"], "aspect", 1200.0, 220.0)
+    return rows.select("p_brand", "p_partkey", "row", F.round("row_height", 6).alias("row_height"))
 
 
 @query("""
@@ -160,11 +163,29 @@ def tags_per_item(spark, sf_dir):
 @query("""
     SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id) AS place FROM events""")
 def day_groups(spark, sf_dir):
-    """Every event with its day and its place in it, newest first; ranges of time are sorted apart, so no day is one task."""
-    events = load(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("d"), (-F.unix_micros("ts")).alias("t"))
-    placed = relational.numbered(events.withColumn("before", -F.unix_date("d")), ["before", "t", "event_id"], "n")
-    first = placed.groupBy("d").agg(F.min("n").alias("first"))
-    return placed.join(first, "d").select(F.col("d").cast("string").alias("day"), "event_id", (F.col("n") - F.col("first") + 1).alias("place"))
+    """Every event with its day and its place in it, newest first."""
+    return relational.day_groups(load(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id").select(F.col("day").cast("string").alias("day"), "event_id", "place")
+
+
+@query("""
+    SELECT CAST(CAST(ts + INTERVAL 345 MINUTE AS DATE) AS VARCHAR) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts + INTERVAL 345 MINUTE AS DATE) ORDER BY ts DESC, event_id) AS place FROM events""")
+def local_day_groups(spark, sf_dir):
+    """The same by the clocks of a place, which are 5:45 ahead."""
+    return relational.day_groups(load(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id", "Asia/Kathmandu").select(F.col("day").cast("string").alias("day"), "event_id", "place")
+
+
+@query("""
+    WITH e AS (
+        SELECT event_id, CASE event_type WHEN 'view' THEN 'photo' WHEN 'click' THEN 'gif' WHEN 'purchase' THEN 'video' ELSE 'audio' END AS kind, CASE WHEN event_id % 3 = 0 THEN user_id WHEN event_id % 3 = 1 THEN NULL END AS burst, event_id % 3 = 2 AS none FROM events
+    ), b AS (SELECT *, CASE WHEN burst IS NULL THEN 'i' || event_id ELSE 'g' || burst END AS g FROM e
+    ), a AS (SELECT * FROM (VALUES ('all', ['photo', 'gif', 'video', 'audio'], true), ('photos', ['photo', 'gif'], true), ('gifs', ['gif'], false), ('videos', ['video'], false), ('audio', ['audio'], false)) t(album, kinds, phone))
+    SELECT client, album, CASE WHEN client = 'web' OR phone THEN (SELECT count(DISTINCT g) FROM b WHERE list_contains(kinds, kind)) ELSE (SELECT count(*) FROM b WHERE list_contains(kinds, kind)) END AS items
+    FROM a, (SELECT unnest(['web', 'phone']) AS client)""")
+def smart_albums(spark, sf_dir):
+    """Sizes of the smart albums as each client shows them: phones collapse bursts in two of them only."""
+    kind = F.when(F.col("event_type") == "view", "photo").when(F.col("event_type") == "click", "gif").when(F.col("event_type") == "purchase", "video").otherwise("audio")
+    burst = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("event_id") % 3 == 2, "")
+    return relational.smart_albums(load(spark, sf_dir, "events").select("event_id", kind.alias("kind"), burst.alias("burst")), "event_id", "kind", "burst")
 
 
 @query("""

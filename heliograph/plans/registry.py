@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from heliograph.plans import aggregates, changes, joins, sequences, texts, vectors
+from heliograph.plans import aggregates, changes, joins, library, media, sequences, texts, vectors
 
-FAMILIES = [sequences, aggregates, joins, changes, texts, vectors]
+FAMILIES = [sequences, aggregates, joins, changes, texts, vectors, media, library]
 QUERIES = {name: f for m in FAMILIES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in FAMILIES for name, sql in m.ORACLES.items()}

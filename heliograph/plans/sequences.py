@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliograph.operators import relational, sessions
 from heliograph.plans.family import family
 from heliograph.sources.tables import load
-from heliograph.streaming import rate
+from heliograph.streaming import rate, tail
 
 QUERIES, ORACLES, query = family()
 
@@ -134,10 +135,50 @@ def conversion_order(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, md5('7-' || event_id) AS shuffle_key FROM events""")
+    SELECT event_id, row_number() OVER (ORDER BY md5('7-' || event_id), event_id) AS place FROM events""")
 def shuffled_order(spark, sf_dir):
-    """A slideshow order that is the same for a seed: rows sort by this key."""
-    return load(spark, sf_dir, "events").select("event_id", F.md5(F.concat(F.lit("7-"), F.col("event_id").cast("string"))).alias("shuffle_key"))
+    """Each row's place in a slideshow whose order is the same for a seed."""
+    keyed = load(spark, sf_dir, "events").select("event_id", F.md5(F.concat(F.lit("7-"), F.col("event_id").cast("string"))).alias("key"))
+    return relational.numbered(keyed, ["key", "event_id"], "place").select("event_id", "place")
+
+
+_FRAMES_SQL = """SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'video' ELSE 'photo' END AS media_type, CASE user_id % 9 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'camera ' || user_id % 9 END AS camera, ts AS taken_at,
+        CASE WHEN event_id % 11 = 0 THEN 'b' END AS burst_id, CASE WHEN event_id % 13 = 0 THEN 'hdr' END AS subtype, CASE WHEN event_id % 3 > 0 THEN 10 + (event_id % 2)::DOUBLE / 50 END AS lat, CASE WHEN event_id % 3 > 0 THEN 20::DOUBLE END AS lon FROM events"""
+
+
+@query(f"""
+    WITH f AS ({_FRAMES_SQL}
+    ), c AS (
+        SELECT * FROM f WHERE media_type = 'photo' AND camera <> '' AND burst_id IS NULL AND subtype IS NULL AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    ), l AS (
+        SELECT *, epoch_us(taken_at) - lag(epoch_us(taken_at)) OVER w AS since, lag(lat) OVER w AS blat, lag(lon) OVER w AS blon FROM c WINDOW w AS (PARTITION BY camera ORDER BY taken_at, id)
+    ), o AS (SELECT *, CASE WHEN since IS NULL OR since > 600000000 OR coalesce(abs(lat - blat) > 0.009, false) THEN 1 ELSE 0 END AS opens FROM l
+    ), s AS (SELECT *, sum(opens) OVER (PARTITION BY camera ORDER BY taken_at, id ROWS UNBOUNDED PRECEDING) AS burst FROM o
+    ), g AS (SELECT camera, min(id) OVER (PARTITION BY camera, burst) AS first, count(*) OVER (PARTITION BY camera, burst) AS frames, id FROM s)
+    SELECT id, camera, first, frames FROM g WHERE frames >= 2""")
+def detected_bursts(spark, sf_dir):
+    """Frames of bursts among the candidates: one camera, ten minutes and one kilometre from the frame before."""
+    k, user = F.col("event_id"), F.col("user_id") % 9
+    photos = load(spark, sf_dir, "events").select(
+        k.alias("id"), F.when(F.col("event_type") == "purchase", "video").otherwise("photo").alias("media_type"),
+        F.when(user == 0, "").when(user != 1, F.concat(F.lit("camera "), user.cast("string"))).alias("camera"), F.col("ts").alias("taken_at"),
+        F.when(k % 11 == 0, "b").alias("burst_id"), F.when(k % 13 == 0, "hdr").alias("subtype"), F.when(k % 3 > 0, 10 + (k % 2) / 50).alias("lat"), F.when(k % 3 > 0, 20.0).alias("lon"),
+    )
+    hidden = load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    found = sessions.bursts(sessions.burst_candidates(photos, hidden), "camera", "taken_at", "id", "lat", "lon", seconds=600)
+    whole = Window.partitionBy("camera", "burst")
+    return found.select("id", "camera", F.min("id").over(whole).alias("first"), F.count(F.lit(1)).over(whole).alias("frames"))
+
+
+@query("""
+    WITH q AS (
+        SELECT o_orderkey AS id, o_orderkey % 4 AS priority, CASE WHEN (o_custkey % 7) >= 5 AND o_orderstatus <> 'F' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'uploading' END AS status FROM orders)
+    SELECT id, status, CASE WHEN status = 'queued' THEN row_number() OVER (PARTITION BY status ORDER BY priority, id) END AS place FROM q""")
+def upload_queue(spark, sf_dir):
+    """The upload queue: by priority, without what has failed too often."""
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("uploading")
+    entries = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 4).alias("priority"), (F.col("o_custkey") % 7).alias("attempts"))
+    return tail.upload_queue(entries).select("id", "status", "place")
 
 
 @query("""
@@ -160,16 +201,18 @@ def sliding_rate(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+    WITH RECURSIVE o AS (
+        SELECT event_id, coalesce(nullif(user_id, 5), -1) AS user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
     ), r AS (  -- a, b: the last two that passed
         SELECT event_id, user_id, rn, true AS allowed, t AS a, CAST(NULL AS BIGINT) AS b FROM o WHERE rn = 1
         UNION ALL
         SELECT o.event_id, o.user_id, o.rn, b IS NULL OR t - b >= 3600000000, CASE WHEN b IS NULL OR t - b >= 3600000000 THEN t ELSE a END, CASE WHEN b IS NULL OR t - b >= 3600000000 THEN a ELSE b END
         FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
-    SELECT event_id, user_id, allowed FROM r""")
+    SELECT event_id, nullif(user_id, -1) AS user_id, allowed FROM r""")
 def rate_limited(spark, sf_dir):
-    """Which requests a limit of two an hour lets pass; rejected ones do not count against later ones."""
-    return rate.admitted(load(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], "ts", 2, 3600).select("event_id", "user_id", "allowed")
+    """Which requests a limit of two an hour lets pass; rejected ones do not count against later ones. One user is unknown."""
+    user = F.nullif(F.col("user_id"), F.lit(5)).alias("user_id")
+    return rate.admitted(load(spark, sf_dir, "events").select("event_id", user, "ts"), "user_id", ["ts", "event_id"], "ts", 2, 3600).select("event_id", "user_id", "allowed")
 
 
 @query("""
@@ -184,16 +227,17 @@ def failure_streaks(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+    WITH RECURSIVE o AS (
+        SELECT event_id, coalesce(nullif(user_id, 5), -1) AS user_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
     ), r AS (  -- n: failures in a row; until: the lock's end
         SELECT CAST(NULL AS BIGINT) AS event_id, user_id, CAST(0 AS BIGINT) AS rn, false AS locked, 0 AS n, CAST(0 AS BIGINT) AS until FROM o WHERE rn = 1
         UNION ALL
         SELECT o.event_id, o.user_id, o.rn, t < until, CASE WHEN t < until THEN n WHEN bad AND n < 1 THEN n + 1 ELSE 0 END, CASE WHEN t >= until AND bad AND n >= 1 THEN t + 86400000000 ELSE until END
         FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
-    SELECT event_id, user_id, locked FROM r WHERE rn > 0""")
+    SELECT event_id, nullif(user_id, -1) AS user_id, locked FROM r WHERE rn > 0""")
 def locked_attempts(spark, sf_dir):
-    """Attempts that meet a lock: a day after two failures in a row."""
-    attempts = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    """Attempts that meet a lock: a day after two failures in a row. One user is unknown."""
+    attempts = load(spark, sf_dir, "events").select("event_id", F.nullif(F.col("user_id"), F.lit(5)).alias("user_id"), "ts", (F.col("event_type") == "error").alias("failed"))
     return rate.lockouts(attempts, "user_id", ["ts", "event_id"], "ts", "failed", 2, 86_400).select("event_id", "user_id", "locked")
 
 

@@ -111,17 +111,42 @@ def haversine(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", F.round(geo.haversine_km(lat, lon, F.lit(52.52), F.lit(13.405)), 3).alias("km"))
 
 
-#: A small gazetteer for the query below.
-PLACES = [("Tiergarten", 52.5145, 13.3501, "PPLX", 12000, "DE"), ("Berlin", 52.5244, 13.4105, "PPLC", 3426354, "DE"), ("Village", 10.0, 10.0, "PPL", 800, "XX"), ("Metropolis", 10.4, 10.0, "PPLA", 2000000, "XX"), ("Dateline", -16.8, 179.97, "PPL", 500, "FJ")]
-POINTS = [(1, 52.5146, 13.3502), (2, 10.01, 10.0), (3, -16.8, -179.95), (4, -45.0, -130.0), (5, 10.39, 10.0)]
-
-
-@query("""
-    SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Berlin'), (2, 'Village'), (3, 'Dateline'), (4, NULL), (5, 'Metropolis')) t(id, place)""")
+#: Kinds of place, by turns.
+PLACE_KINDS = ["PPLC", "PPLA", "PPL", "PPLX", "OTHER"]
+
+
+def _located(key: str) -> dict:
+    """Coordinates from a key: a quarter each near the pole, on the date line, in one city, and anywhere."""
+    k = F.col(key)
+    turn = k % 4
+    lat = F.when(turn == 0, 89.9 + (k % 9) / 100).when(turn == 1, (k % 13) / 50 - 16).when(turn == 2, 48.8 + (k % 17) / 250).otherwise((k * 7919 % 1600) / 10 - 80)
+    lon = F.when(turn == 0, (k * 47 % 360) - 180.0).when(turn == 1, F.when(k % 8 == 1, 179.95).otherwise(-179.95)).when(turn == 2, 2.3 + (k % 23) / 250).otherwise((k * 10473 % 3600) / 10 - 180)
+    return {"lat": lat, "lon": lon}
+
+
+_LOCATED_SQL = """CASE k % 4 WHEN 0 THEN 89.9::DOUBLE + (k % 9) / 100::DOUBLE WHEN 1 THEN (k % 13) / 50::DOUBLE - 16 WHEN 2 THEN 48.8::DOUBLE + (k % 17) / 250::DOUBLE ELSE (k * 7919 % 1600) / 10::DOUBLE - 80 END AS lat,
+        CASE k % 4 WHEN 0 THEN (k * 47 % 360)::DOUBLE - 180 WHEN 1 THEN CASE WHEN k % 8 = 1 THEN 179.95::DOUBLE ELSE -179.95::DOUBLE END WHEN 2 THEN 2.3::DOUBLE + (k % 23) / 250::DOUBLE ELSE (k * 10473 % 3600) / 10::DOUBLE - 180 END AS lon"""
+
+
+@query(f"""
+    WITH places AS (
+        SELECT s_name AS name, (k * 31 % 1000) * 1000 + 1 AS people, [10.0, 6.0, 1.0, 0.05, 0.5][k % 5 + 1]::DOUBLE AS kind, {_LOCATED_SQL} FROM (SELECT s_name, s_suppkey AS k FROM supplier)
+    ), points AS (SELECT k AS c_custkey, {_LOCATED_SQL} FROM (SELECT c_custkey AS k FROM customer)
+    ), pairs AS (
+        SELECT c_custkey, name, kind * people AS weight, pow(sin((radians(l.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(l.lat)) * pow(sin((radians(l.lon) - radians(p.lon)) / 2), 2) AS h FROM points p, places l
+    ), far AS (SELECT c_custkey, name, weight, 2 * 6371.0::DOUBLE * asin(sqrt(least(h, 1))) AS km FROM pairs
+    ), near AS (SELECT *, min(km) OVER (PARTITION BY c_custkey) AS d FROM far
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(weight / (1 + km), 6) DESC, round(km, 6), name) AS rank
+        FROM near WHERE d <= 315 AND km <= least(greatest(d * 2.5, d + 5), d + 12)
+    )
+    SELECT p.c_custkey, name AS place, round(km, 3) AS km FROM points p LEFT JOIN ranked r ON p.c_custkey = r.c_custkey AND rank = 1""")
 def geo_nearest_place(spark, sf_dir):
-    """The best place for each of some points."""
-    places = spark.createDataFrame(PLACES, "name string, lat double, lon double, feature_code string, population long, country_code string")
-    return geocode.nearest_place(spark.createDataFrame(POINTS, "id long, lat double, lon double"), places).select("id", "place")
+    """The best of the suppliers' places for each customer's point, poles and date line included."""
+    kind = F.array(*map(F.lit, PLACE_KINDS))[(F.col("s_suppkey") % 5).cast("int")]
+    places = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), kind.alias("feature_code"), (F.col("s_suppkey") * 31 % 1000 * 1000).alias("population"), F.lit("XX").alias("country_code"), *[c.alias(n) for n, c in _located("s_suppkey").items()])
+    points = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *[c.alias(n) for n, c in _located("c_custkey").items()])
+    return geocode.nearest_place(points, places).select(F.col("id").alias("c_custkey"), "place", F.round("km", 3).alias("km"))
 
 
 @query("""
@@ -183,15 +208,57 @@ def size_labels(spark, sf_dir):
 
 
 @query("""
-    WITH r AS (SELECT doc_id, source || '.txt' AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS n, source FROM documents)
-    SELECT doc_id, CASE WHEN n = 0 THEN name ELSE source || '_(' || n || ').txt' END AS entry FROM r""")
+    WITH RECURSIVE o AS (SELECT doc_id, lang, source || '.txt' AS name, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents
+    ), r AS (
+        SELECT lang, rn, CAST(0 AS BIGINT) AS part, n AS used FROM o WHERE rn = 1
+        UNION ALL
+        SELECT o.lang, o.rn, CASE WHEN used > 0 AND used + n + 100 > 50000 THEN part + 1 ELSE part END, CASE WHEN used > 0 AND used + n + 100 > 50000 THEN n ELSE used + n END
+        FROM r JOIN o ON o.lang = r.lang AND o.rn = r.rn + 1
+    ), c AS (SELECT doc_id, lang, part, name, row_number() OVER (PARTITION BY lang, part, name ORDER BY doc_id) AS n FROM o JOIN r USING (lang, rn))
+    SELECT doc_id, lang, part, CASE WHEN n = 1 THEN name ELSE replace(name, '.txt', '_(' || n || ').txt') END AS entry FROM c""")
 def archive_names(spark, sf_dir):
-    """Entry names of an archive, each used once."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("source", F.lit(".txt")).alias("name"))
-    return packing.named_once(docs, ["lang"], "name", ["doc_id"]).select("doc_id", "entry")
+    """The part and the entry name of each document in an export of its language; names are free in their part."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.concat("source", F.lit(".txt")).alias("name"))
+    return packing.archive_entries(docs, "lang", ["doc_id"], "n_chars", "name", 50_000.0).select("doc_id", "lang", "part", "entry")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     """A field of the events' JSON documents."""
     return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+_SIDECARS_SQL = """SELECT CASE doc_id % 4 WHEN 0 THEN 'a/' || doc_id || '.jpg.supplemental-metadata.json' WHEN 1 THEN 'a/' || doc_id || '.json' WHEN 2 THEN 'a/' || doc_id || '.gone.json' ELSE 'b/' || doc_id || '.json' END AS path, doc_id FROM documents"""
+
+
+def _library_files(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id")
+    k, turn = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    path = F.when(turn == 0, F.concat(F.lit("a/"), k, F.lit(".jpg.supplemental-metadata.json"))).when(turn == 1, F.concat(F.lit("a/"), k, F.lit(".json"))).when(turn == 2, F.concat(F.lit("a/"), k, F.lit(".gone.json"))).otherwise(F.concat(F.lit("b/"), k, F.lit(".json")))
+    return docs.select(F.concat(F.lit("a/"), k, F.lit(".jpg")).alias("path")), docs.select(path.alias("path"))
+
+
+@query(f"""
+    WITH s AS ({_SIDECARS_SQL})
+    SELECT 'pair' AS found, 'a/' || doc_id || '.jpg' AS path, CASE WHEN doc_id % 4 < 2 THEN path END AS sidecar FROM s
+    UNION ALL SELECT 'unpaired', path, NULL FROM s WHERE doc_id % 4 >= 2 UNION ALL SELECT 'unpaired by name', path, NULL FROM s WHERE doc_id % 4 >= 1""")
+def sidecar_pairs(spark, sf_dir):
+    """Files with their sidecars, and the sidecars without a file, by either rule."""
+    files, sidecars = _library_files(spark, sf_dir)
+    pairs = sources.pair_sidecars(files, sidecars)
+    alone = lambda rule, by_name: sources.unpaired_sidecars(sidecars, pairs, by_name).select(F.lit(rule).alias("found"), "path", F.lit(None).cast("string").alias("sidecar"))
+    return pairs.select(F.lit("pair").alias("found"), "path", "sidecar").unionAll(alone("unpaired", False)).unionAll(alone("unpaired by name", True))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, doc_id || CASE WHEN doc_id % 6 IN (3, 4) THEN '-edited.jpg' ELSE '.jpg' END AS name FROM documents)
+    SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN NULL ELSE doc_id END AS match FROM f""")
+def matched_metadata(spark, sf_dir):
+    """The sidecar of each file by name, title, stem, the original's name and the original's stem; every sixth has none."""
+    k, turn = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    docs = load(spark, sf_dir, "documents").select("doc_id")
+    files = docs.withColumn("name", F.concat(k, F.when(turn.isin(3, 4), "-edited.jpg").otherwise(".jpg")))
+    key = F.when(turn.isin(0, 3), F.concat(k, F.lit(".jpg"))).when(turn.isin(2, 4), k).otherwise(F.concat(F.lit("other "), k))
+    title = F.when(turn == 1, F.concat(k, F.lit(".jpg")))
+    sidecars = docs.select(key.alias("key"), title.alias("title"), F.col("doc_id").alias("value"))
+    return sources.match_metadata(files, sidecars, "doc_id", "value").select("doc_id", "match")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograph.functions import vector
-from heliograph.operators import clustering
+from heliograph.operators import boxes, clustering
 from heliograph.plans.family import family
+from heliograph.shared import cut
 from heliograph.sources.tables import load
 
 QUERIES, ORACLES, query = family()
@@ -55,6 +56,19 @@ def top_classes(spark, sf_dir):
     return rows.select("vec_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("c.class").alias("class"), F.round(-F.col("c.n"), 6).alias("p"))
 
 
+@query("""
+    WITH p AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS class FROM embeddings
+    ), s AS (SELECT vec_id, class, exp(CAST(x AS DOUBLE)) / sum(exp(CAST(x AS DOUBLE))) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, class) AS rank FROM p)
+    SELECT vec_id, CAST(class % 6 AS INT) AS category, CAST(class AS INT) AS class, round(p, 6) AS p FROM s WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY vec_id, class % 6 ORDER BY rank) = 1""")
+def top_categories(spark, sf_dir):
+    """Of the five likeliest classes of each vector, the first of every category."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    ranked = F.slice(F.array_sort(F.transform(vector.softmax(logits), lambda p, i: F.struct((-p).alias("n"), i.alias("class")))), 1, 5)
+    first = lambda r: F.filter(r, lambda c, i: ~F.exists(F.slice(r, F.lit(1), i), lambda b: b["class"] % 6 == c["class"] % 6))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", ranked.alias("r")).select("vec_id", F.explode(first(F.col("r"))).alias("c"))
+    return rows.select("vec_id", (F.col("c.class") % 6).alias("category"), F.col("c.class").alias("class"), F.round(-F.col("c.n"), 6).alias("p"))
+
+
 @query("""
     SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings""")
 def similarity_to_centroid(spark, sf_dir):
@@ -86,11 +100,62 @@ def decoded_floats(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", vector.decode_floats(data)[0].cast("double").alias("value"))
 
 
-BOXES = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.8), (1, 3, 20.0, 20.0, 5.0, 5.0, 0.7), (1, 4, 2.0, 2.0, 10.0, 10.0, 0.6), (2, 5, 0.0, 0.0, 4.0, 4.0, 0.5)]
+_BOXES_SQL = """SELECT l_suppkey AS image, l_orderkey * 10 + l_linenumber AS id, (l_partkey * 13 % 1009) / 4::DOUBLE AS x, (l_orderkey * 7 % 499) / 4::DOUBLE AS y,
+        l_quantity * 2 AS w, (l_partkey % 41 + 10)::DOUBLE AS h, l_extendedprice % 997 AS score FROM lineitem"""
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (1, 3), (2, 5)) t(image, id)")
+@query(f"""
+    WITH RECURSIVE boxes AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id, x, y, w, h) AS rank FROM ({_BOXES_SQL})
+    ), walk AS (
+        SELECT DISTINCT image, 0::BIGINT AS rank, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS kept FROM boxes
+        UNION ALL
+        SELECT b.image, b.rank, CASE WHEN len(list_filter(kept, lambda k: greatest(least(b.x + b.w, k.x + k.w) - greatest(b.x, k.x), 0) * greatest(least(b.y + b.h, k.y + k.h) - greatest(b.y, k.y), 0)
+            > 0.4 * (b.w * b.h + k.w * k.h - greatest(least(b.x + b.w, k.x + k.w) - greatest(b.x, k.x), 0) * greatest(least(b.y + b.h, k.y + k.h) - greatest(b.y, k.y), 0)))) > 0
+            THEN kept ELSE list_append(kept, {{'id': b.id, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) END
+        FROM walk w JOIN boxes b ON b.image = w.image AND b.rank = w.rank + 1
+    ), ends AS (SELECT image, unnest(kept) AS k FROM walk QUALIFY rank = max(rank) OVER (PARTITION BY image))
+    SELECT image, k.id AS id FROM ends""")
 def box_nms(spark, sf_dir):
-    """Boxes that no better one of their image covers."""
-    boxes = spark.createDataFrame(BOXES, "image long, id long, x double, y double, w double, h double, score double")
-    return clustering.suppress(boxes, "image").select("image", "id")
+    """Of the boxes made from line items, a picture for each supplier, those that no better one covers."""
+    made = {
+        "image": F.col("l_suppkey"), "id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "x": (F.col("l_partkey") * 13 % 1009) / 4, "y": (F.col("l_orderkey") * 7 % 499) / 4,
+        "w": F.col("l_quantity") * 2, "h": (F.col("l_partkey") % 41 + 10).cast("double"), "score": F.col("l_extendedprice") % 997,
+    }
+    return boxes.suppress(load(spark, sf_dir, "lineitem").select(*[c.alias(n) for n, c in made.items()]), "image").select("image", "id")
+
+
+_LINKS_SQL = f"""SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s
+        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {FACE}"""
+
+
+@query(f"""
+    WITH RECURSIVE l AS ({_LINKS_SQL}), e AS (SELECT a AS u, b AS v FROM l WHERE la = lb UNION ALL SELECT b, a FROM l WHERE la = lb
+    ), r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id)
+    SELECT id, min(c) AS cluster FROM r GROUP BY id""")
+def species_clusters(spark, sf_dir):
+    """Single-linkage clusters within each label."""
+    return clustering.clusters(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", FACE, within="label")
+
+
+@query(f"""
+    WITH RECURSIVE l AS ({_LINKS_SQL}
+    ), e AS (SELECT row_number() OVER (ORDER BY s DESC, a, b) AS step, a, b FROM l
+    ), u AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e
+    ), r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT u.v, r.c FROM r JOIN u ON u.u = r.id
+    ), first AS (SELECT id, min(c) AS cluster FROM r GROUP BY id
+    ), pins AS (SELECT id, CASE WHEN id % 4 < 2 THEN cluster * 2 + id % 2 END AS pin FROM first
+    ), rows AS (SELECT id, pin, coalesce(min(id) OVER (PARTITION BY pin), id) AS part FROM pins WHERE pin IS NOT NULL UNION ALL SELECT id, NULL, id FROM pins WHERE pin IS NULL
+    ), walk AS (
+        SELECT 0::BIGINT AS step, list({{'id': id, 'part': part, 'pin': pin}} ORDER BY id) AS now FROM rows
+        UNION ALL
+        SELECT step, CASE WHEN x.part = y.part OR x.pin IS NOT NULL AND y.pin IS NOT NULL THEN now
+            ELSE list_transform(now, lambda n: CASE WHEN n.part = x.part OR n.part = y.part THEN {{'id': n.id, 'part': least(x.part, y.part), 'pin': coalesce(x.pin, y.pin)}} ELSE n END) END AS now
+        FROM (SELECT e.step, now, list_filter(now, lambda n: n.id = e.a)[1] AS x, list_filter(now, lambda n: n.id = e.b)[1] AS y FROM walk JOIN e ON e.step = walk.step + 1)
+    ), ends AS (SELECT unnest(now) AS n FROM (SELECT now FROM walk ORDER BY step DESC LIMIT 1))
+    SELECT n.id AS id, min(n.id) OVER (PARTITION BY n.part) AS cluster, n.pin AS pin FROM ends""")
+def split_kept_clusters(spark, sf_dir):
+    """A second pass over clusters of which some members were split by hand: the split stays, the others follow their links."""
+    vectors = load(spark, sf_dir, "embeddings")
+    first = clustering.clusters(vectors, "vec_id", "embedding", FACE)
+    pins = cut(first.where("id % 4 < 2").select("id", (F.col("cluster") * 2 + F.col("id") % 2).alias("pin")), "pins")
+    return clustering.constrained_clusters(vectors, "vec_id", "embedding", FACE, pins)

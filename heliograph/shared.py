@@ -32,9 +32,26 @@ def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, made if the tasks write files there themselves."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(table: DataFrame) -> None:
     """Remove the files of a table that cut has written."""
-    spark = table.sparkSession
     for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(table.sparkSession, folder)

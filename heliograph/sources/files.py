@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from heliograph.functions import media
 from heliograph.functions.text import original_of_edited
-from heliograph.operators.relational import numbered
+from heliograph.operators.relational import match_cascade, numbered
 from heliograph.shared import cut
 
 #: Fields of a tab-separated gazetteer line, by position.
@@ -124,6 +124,25 @@ def pair_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return files.withColumn("base", base).join(long, "path", "left").join(short, "base", "left").select("path", F.coalesce("long_path", "short_path").alias("sidecar"))
 
 
-def unpaired_sidecars(sidecars: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sidecars that belong to no file, under either name (a sidecar of the short form that did pair is not listed)."""
-    return sidecars.select("path").join(pairs.select(F.col("sidecar").alias("path")), "path", "left_anti")
+def unpaired_sidecars(sidecars: DataFrame, pairs: DataFrame, by_name: bool = False) -> DataFrame:
+    """Sidecars that belong to no file, under either name (a sidecar of the short form that did pair is not listed).
+
+    ``by_name`` asks only whether the name without the sidecar's ending is a file's: a short name has lost the file's
+    extension, so sidecars of the short form are all listed, paired or not.
+    """
+    if not by_name:
+        return sidecars.select("path").join(pairs.select(F.col("sidecar").alias("path")), "path", "left_anti")
+    named = sidecars.select(F.col("path").alias("sidecar"), F.regexp_replace("path", r"(\.supplemental-metadata)?\.json$", "").alias("path"))
+    return named.join(pairs.select("path"), "path", "left_anti").select(F.col("sidecar").alias("path"))
+
+
+def match_metadata(files: DataFrame, sidecars: DataFrame, ident: str, value: str) -> DataFrame:
+    """files(name, ...) with ``match``: the value of the sidecar(key, title, value) that describes each.
+
+    By the first rule that fits: the file's name is the key; it is the title; its name without the extension is the key; it
+    is an edited copy, and the original's name, or that without the extension, is the key. Of several sidecars the smallest value counts.
+    """
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
+    name, original, key = F.col("name"), original_of_edited("name"), F.col("key")
+    rules = [(name, key), (name, F.col("title")), (stem(name), key), (original, key), (stem(original), key)]
+    return match_cascade(files, sidecars, ident, rules, value)

@@ -92,11 +92,10 @@ def test_clusters(spark):
     assert sizes([(0, [1.0, 0.0]), (1, [1.0]), (2, [1.0, 0.1])], 0.5) == [1, 2]
 
 
-def test_blocks_meet_like_one_block(spark, monkeypatch):
+def test_blocks_meet_like_one_block(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     whole = sorted(map(tuple, clustering.similar_pairs(df, "vec_id", "embedding", 0.42).select("a", "b").collect()))
-    monkeypatch.setattr(clustering, "BLOCK", 60)
-    assert sorted(map(tuple, clustering.similar_pairs(df, "vec_id", "embedding", 0.42).select("a", "b").collect())) == whole
+    assert sorted(map(tuple, clustering.similar_pairs(df, "vec_id", "embedding", 0.42, block=60).select("a", "b").collect())) == whole
 
 
 def test_bursts_and_collapse(spark):
@@ -176,27 +175,6 @@ def test_pictures(spark):
     assert [_one(spark, media.xmp_subtype(F.lit(d))) for d in docs] == ["motion", "equirectangular", "burst", "hdr", None]
 
 
-def test_archives(spark):
-    import io
-    import zipfile
-
-    from heliograph.operators import export
-
-    rows = [("u", 1, "a.txt", bytearray(b"x" * 300)), ("u", 2, "a.txt", bytearray(b"y" * 300)), ("u", 3, "b.txt", bytearray(b"z" * 300)), ("v", 1, "c", bytearray(b"")), ("v", 2, "d", None)]
-    got = export.zip_parts(spark.createDataFrame(rows, "owner string, i long, name string, data binary"), "owner", ["i"], 900.0).collect()
-    names = {(r["owner"], r["part"]): zipfile.ZipFile(io.BytesIO(bytes(r["archive"]))).namelist() for r in got}
-    assert names == {("u", 0): ["a.txt", "a_(1).txt"], ("u", 1): ["b.txt"], ("v", 0): ["c"]}
-
-
-def test_phases():
-    from heliograph.operators import export
-
-    ran = []
-    jobs = {n: (lambda n=n: (ran.append(n), (1, 0) if n != "photos" else (1, 2))[1]) for n in ("trash", "photos", "purge")}
-    assert export.synchronise(jobs) == {"purge": "success", "photos": "partial", "trash": "success"} and ran == ["purge", "photos", "trash"]
-    assert list(export.synchronise(jobs, recovery=True)) == ["photos", "trash"]
-
-
 def test_lockouts(spark):
     from heliograph.streaming import rate
 
