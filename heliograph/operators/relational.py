@@ -108,6 +108,13 @@ def page(df: DataFrame, at: str, ident: str, limit: int, after: tuple | None = N
     return df.orderBy(F.col(at).desc(), F.col(ident)).limit(limit)
 
 
+def page_after(df: DataFrame, at: str, ident: str, limit: int, last: DataFrame, most: int = 500) -> DataFrame:
+    """page() after the row that last(at, ident) holds, which is read as the page is; without one there is no page."""
+    end = last.select(F.col(at).alias("__at"), F.col(ident).alias("__id")).limit(1)
+    behind = (F.col(at) < F.col("__at")) | ((F.col(at) == F.col("__at")) & (F.col(ident) > F.col("__id")))
+    return page(df.join(F.broadcast(end), behind).drop("__at", "__id"), at, ident, limit, most=most)
+
+
 def latest_per_group(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     """The first n rows of each key in order; Spark keeps n rows a task before it shuffles."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)

@@ -111,9 +111,9 @@ def page_has_more(spark, sf_dir):
 def keyset_page(spark, sf_dir):
     """The page after the last returned row of library_page, filtered by status."""
     orders = load(spark, sf_dir, "orders")
-    last = relational.page(orders, "o_orderdate", "o_orderkey", 500).select("o_orderdate", "o_orderkey").orderBy("o_orderdate", F.desc("o_orderkey")).first()
+    last = relational.page(orders, "o_orderdate", "o_orderkey", 500).orderBy("o_orderdate", F.desc("o_orderkey")).limit(1)
     some = relational.where_all(orders, F.col("o_orderstatus") == "O", None)
-    return relational.page(some, "o_orderdate", "o_orderkey", 200, (last["o_orderdate"], last["o_orderkey"])).select("o_orderkey", stamp("o_orderdate").alias("taken_at"))
+    return relational.page_after(some, "o_orderdate", "o_orderkey", 200, last).select("o_orderkey", stamp("o_orderdate").alias("taken_at"))
 
 
 @query("""

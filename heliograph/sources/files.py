@@ -14,37 +14,47 @@ from heliograph.functions import media
 from heliograph.functions.text import original_of_edited
 from heliograph.operators.relational import match_cascade, numbered
 from heliograph.shared import cut
+from heliograph.sources.ranges import system_of
 
 #: Fields of a tab-separated gazetteer line, by position.
 GAZETTEER = {"name": 1, "lat": 4, "lon": 5, "feature_code": 7, "country_code": 8, "admin1": 10, "population": 14}
 GAZETTEER_FIELDS = 18
+#: From so many folders of a level on, tasks list all that is below theirs; tasks of a level at most.
+ENOUGH_FOLDERS, MOST_LISTERS = 64, 4096
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The entries of some folders, without dot files."""
+def _list_folders(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
+    """The entries of some folders, without dot files; if deep, of all folders below them too, which are then no entries."""
     from pyarrow import fs
 
     for batch in batches:
-        for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        ahead = list(batch["path"])
+        while ahead:
+            path = ahead.pop()
+            system, inner = system_of(path)
             found = [e for e in system.get_file_info(fs.FileSelector(inner)) if not e.base_name.startswith(".")]
             root = path.rstrip("/")
+            if deep:
+                ahead += [f"{root}/{e.base_name}" for e in found if not e.is_file]
+                found = [e for e in found if e.is_file]
             yield pd.DataFrame({"path": [f"{root}/{e.base_name}" for e in found], "size": [e.size if e.is_file else None for e in found], "modified": [e.mtime_ns / 1e9 if e.mtime_ns else None for e in found], "folder": [not e.is_file for e in found]}).astype({"size": "Int64", "modified": "float64", "path": object})
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size, modified) of all files below a folder that tasks can read, whatever their names but for dot files.
 
-    Spark's own readers leave out names that begin with an underscore. Folders are listed in tasks, one job a level.
+    Spark's own readers leave out names that begin with an underscore. Folders are listed in tasks: level by level until there
+    are ENOUGH_FOLDERS, then each with all that is below it.
     """
-    level, parts = spark.createDataFrame([(folder,)], "path string"), []
-    while True:
-        found = cut(level.mapInPandas(_list_folders, "path string, size long, modified double, folder boolean"), "listing")
+    level, parts, count = spark.createDataFrame([(folder,)], "path string"), [], 1
+    while count:
+        deep = count >= ENOUGH_FOLDERS
+        found = cut(level.mapInPandas(lambda batches, deep=deep: _list_folders(batches, deep), "path string, size long, modified double, folder boolean"), "listing")
         parts.append(found.where("not folder").select("path", "size", F.col("modified").cast("timestamp").alias("modified")))
         folders = found.where("folder").select("path")
-        if folders.isEmpty():
-            return reduce(DataFrame.unionAll, parts)
-        level = folders.repartition("path")
+        count = folders.count()
+        level = folders.repartition(max(1, min(count, MOST_LISTERS)), "path")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def scan_media(spark: SparkSession, folder: str, known: DataFrame | None = None, importable: bool = False) -> DataFrame:
