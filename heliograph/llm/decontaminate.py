@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts are lower-cased and cut into runs of letters and digits. A spaced seed is a fixed mask over SPAN
+Texts are lower-cased and cut into runs of letters and digits; characters of scripts that write no spaces between words
+are tokens of their own. A spaced seed is a fixed mask over SPAN
 tokens that ignores some positions; the hash of the kept positions is the same for two passages that
 differ only where the mask looks away. Every mask at every position of every document meets the
 benchmark's hashes; a hit fixes an alignment of one item with the document, which is then checked token
@@ -9,12 +10,13 @@ SHARE of them equal. The masks together hit every such window of OVERLAP tokens
 substitutions. Items of SPAN to OVERLAP - 1 tokens have masks of their own, over the whole item: it is cut into four
 runs, and any two substitutions leave two runs whole, so a mask for every two runs hits them all.
 
-Items of SHORTEST to SPAN - 1 tokens are looked for whole and unchanged. Items of fewer tokens are ordinary
+Items of SHORTEST to SPAN - 1 tokens are looked for whole and unchanged; characters of scripts without spaces count half here. Items of fewer tokens are ordinary
 phrases; they are looked for, in the same way, only if ``shortest`` says so. Items without an id count as item -1.
 
 Null and empty texts contain nothing. Repeated documents are judged one by one, each with a row of its own; equal
 items are looked for once and each reported. The benchmark is broadcast in blocks of about BLOCK_BYTES, one pass
-over the documents for each.
+over the documents for each. A text of any length is looked at whole. Without documents or without items nothing is found. Columns of
+the documents keep their names and values in clean().
 """
 
 from __future__ import annotations
@@ -39,18 +41,28 @@ OVERLAP = 13
 SHARE = 0.8
 SHORTEST = 5
 BLOCK_BYTES = 16 << 20
-FILTER_BITS = 22
+#: Places of a filter for each of its seeds, about, and how many bits number them at most.
+FILTER_ROOM, FILTER_BITS = 32, 22
 #: Alignments that are looked at together, whatever the number of items that share a passage.
 CHUNK = 1 << 18
 _PLACE = np.random.default_rng(9).integers(0, 1 << 63, OVERLAP, np.uint64) * np.uint64(2) + np.uint64(1)
 _SYMBOLS = re.compile(r"[\W_]+")
+#: Letters of scripts that write no spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Chinese characters).
+_SPACELESS = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def normalised(text) -> bytes:
     if not isinstance(text, str):
         return b""
     low = text.lower()
-    return (low if low.isascii() else _SYMBOLS.sub(" ", low)).encode("utf-8", "surrogatepass")
+    return (low if low.isascii() else _SYMBOLS.sub(" ", _SPACELESS.sub(r" \1 ", low))).encode("utf-8", "surrogatepass")
+
+
+def weight(text) -> float:
+    """How many tokens an item counts as: characters of scripts without spaces count half."""
+    data = normalised(text)
+    words = data.translate(bytes(32 if apart else b for b, apart in enumerate(NOT_ALNUM))).split()
+    return sum(0.5 if w[0] >= 0xE0 and _SPACELESS.match(w.decode("utf-8", "replace")) else 1.0 for w in words)
 
 
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -81,36 +93,39 @@ class SeedIndex:
         same: dict[bytes, int] = {}
         self.ids: list[list[int]] = []  # of each distinct sequence of tokens
         self.items: list[np.ndarray] = []
-        for i, w in zip(ids, every):
+        heavy: list[bool] = []
+        for i, w, text in zip(ids, every, texts):
             k = same.setdefault(w.tobytes(), len(same))
             if k == len(self.items):
                 self.items.append(w)
                 self.ids.append([])
+                heavy.append(len(w) >= OVERLAP or len(w) >= 1 and weight(text) >= shortest)
             self.ids[k].append(-1 if i is None else i)
         self.masks: list[tuple[int, ...]] = []
         self.seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, items, positions
-        lengths = sorted({len(w) for w in self.items if max(1, shortest) <= len(w) < OVERLAP})
+        lengths = sorted({len(w) for w, some in zip(self.items, heavy) if some and len(w) < OVERLAP})
         for mask, whole in [*((m, 0) for m in MASKS), *((m, n) for n in lengths for m in whole_masks(n))]:
-            fits = [(i, seed_hashes(w, mask)) for i, w in enumerate(self.items) if (len(w) == whole if whole else len(w) >= OVERLAP)]
+            fits = [(i, seed_hashes(w, mask)) for i, w in enumerate(self.items) if heavy[i] and (len(w) == whole if whole else len(w) >= OVERLAP)]
             if whole:  # the mask's place in the item is fixed
                 fits = [(i, h[:1]) for i, h in fits]
-            found = [(h, np.full(len(h), i), np.arange(len(h))) for i, h in fits]
+            found = [(h, np.full(len(h), i, np.int32), np.arange(len(h), dtype=np.int32)) for i, h in fits]
             if found:
                 h, item, at = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(h, kind="stable")
                 self.masks.append(mask)
                 self.seeds.append((h[order], item[order], at[order]))
-        self.maybe = []
+        self.maybe: list[tuple[np.uint64, np.ndarray]] = []  # by how much a hash is shifted, and whether there is one
         for h, _, _ in self.seeds:
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[h >> np.uint64(64 - FILTER_BITS)] = True
-            self.maybe.append(bits)
+            size = min(FILTER_BITS, max(10, (FILTER_ROOM * len(h)).bit_length()))
+            bits = np.zeros(1 << size, bool)
+            bits[h >> np.uint64(64 - size)] = True
+            self.maybe.append((np.uint64(64 - size), bits))
 
     def alignments(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[np.ndarray]:
         """Chunks of distinct (text, item, place of the item's first token among words) of all hits; texts begin at firsts."""
-        for mask, (h, item, at), maybe in zip(self.masks, self.seeds, self.maybe):
+        for mask, (h, item, at), (shift, maybe) in zip(self.masks, self.seeds, self.maybe):
             probe = seed_hashes(words, mask)
-            spots = np.flatnonzero(maybe[probe >> np.uint64(64 - FILTER_BITS)])
+            spots = np.flatnonzero(maybe[probe >> shift])
             low, high = np.searchsorted(h, probe[spots]), np.searchsorted(h, probe[spots], side="right")
             spots, low, count = spots[high > low], low[high > low], (high - low)[high > low]
             ends = np.cumsum(count)
