@@ -12,9 +12,11 @@ counts in the first one only, which each task tells from the bucket numbers that
 vectors, so links are summed without listing pairs. Buckets with more than BLOCK rows are cut into
 blocks that meet pairwise.
 
-Only vectors of one length are compared. Null vectors, zero vectors and vectors with null or non-finite
+Vectors of every length link among themselves. Null vectors, zero vectors and vectors with null or non-finite
 components link with nothing. Rows with a null id get no links, a null component and kept = false.
-Repeated rows count as other vectors; different vectors that share an id are one, with the links of all.
+Repeated rows count as other vectors. Different vectors that share an id have links of their own; where it is the
+smallest id that has each of them, they share a component.
+An empty table gives no rows; columns of other names are left out, so none can clash; vectors may be of any length.
 """
 
 from __future__ import annotations
@@ -129,7 +131,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             x = np.stack(frame["v"].to_numpy())
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            t, bucket, lo, hi, part, home, node, count = (frame[c].to_numpy() for c in [*keys[1:], "part", "home", "node", "n"])
+            t, bucket, lo, hi, part, home, node, digest, count = (frame[c].to_numpy() for c in [*keys[1:], "part", "home", "node", "h", "n"])
             own = np.stack(frame["own"].to_numpy())
             more = np.stack(frame["more"].to_numpy()).reshape(len(x), TABLES, PROBES)
             group = np.cumsum(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in (t, bucket, lo, hi)], axis=0)]))
@@ -159,14 +161,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 np.add.at(links, b, count[a])
                 label = spanning(len(x), a, b)
                 some = np.flatnonzero(links)
-                yield pd.DataFrame({"node": node[some], "links": links[some], "root": node[label[some]]})
+                yield pd.DataFrame({"node": node[some], "h": digest[some], "links": links[some], "root": node[label[some]]})
 
-    found = cut(groups.select(*keys, "part", "home", "node", "n", "v", "own", "more").mapInPandas(compare, "node long, links long, root long"), "links")
-    totals = found.groupBy("node").agg(F.sum("links").alias("links"))
+    found = cut(groups.select(*keys, "part", "home", "node", "h", "n", "v", "own", "more").mapInPandas(compare, "node long, h long, links long, root long"), "links")
+    totals = found.groupBy("node", "h").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    info = nodes.groupBy("node").agg(F.max("n").alias("n")).join(totals, "node", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
-    info = info.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    members = valid.join(nodes.select("v", "node"), "v").select("id", "node").join(info, "node").select("id", "n_links", "component_id")
+    info = nodes.select("node", "h", "n").join(totals, ["node", "h"], "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    info = info.select("node", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    members = valid.join(nodes.select("v", "node", "h"), "v").select("id", "node", "h").join(info, ["node", "h"]).select("id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(ok, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = members.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
