@@ -6,7 +6,8 @@ and surname are entities of their own, and once a text has named a person, the s
 that person wherever else they stand in it, with or without a title. An entity's canonical form (lower
 case, digits only, ...) decides its surrogate, so all mentions of it in the corpus change alike whatever
 their punctuation or case: "John Smith", "Mr Smith" and "Smith" keep one surname. Each mention keeps its own format.
-Names without a title or a known given name anywhere in their text are not found.
+Names without a title or a known given name anywhere in their text are not found. Words that open sentences
+are no names after a title ("Dr. The report ..."), and a given name behind an article is no further mention ("the Mark").
 
 Surrogates are drawn from a keyed digest of (type, canonical form, attempt): letters become letters of the
 same script and case, digits become digits, cards keep their Luhn status and IBANs their check digits' validity,
@@ -17,7 +18,8 @@ are distinct; these checks are joins over the table of distinct entities, which
 40th attempt on a surrogate has more letters or digits than its entity, so a type whose forms are all taken still ends.
 
 Null and empty texts have no entity. Documents without an entity are not returned. Repeated rows are
-rewritten once each; null ids are kept.
+rewritten once each; null ids are kept. Texts are searched whole, in batches of bounded size; one longer than that is a batch. An
+empty table gives no rows; columns other than the id and the text are left out, so none can clash.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ from heliograph.shared import cut, remove
 FEMALE = ["Alice", "Amelia", "Anna", "Barbara", "Camille", "Carmen", "Carol", "Charlotte", "Chloe", "Claire", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Greta", "Hannah", "Helen", "Ingrid", "Isabel", "Jane", "Jennifer", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Monica", "Nancy", "Olivia", "Patricia", "Paula", "Rachel", "Sarah", "Sofia", "Sophie", "Susan", "Teresa"]
 MALE = ["Adam", "Alexander", "Andrew", "Anthony", "Antonio", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Eric", "Felix", "Francisco", "George", "Hans", "Henry", "Jack", "James", "Jean", "John", "Jonas", "Joseph", "Juan", "Karl", "Kevin", "Louis", "Luis", "Lukas", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Oliver", "Paul", "Peter", "Pierre", "Richard", "Robert", "Thomas", "William"]
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Dr": "", "Prof": ""}
+#: Words that open sentences and are no names, in the corpus' languages, and articles.
+ORDINARY = set("""the a an this that these those he she it we they you i his her its our their my your in on at for from with but and or if when then there here what who how why not no yes all
+some as by to of is are was were be has have had do does did will would can could may must der die das ein eine einer er sie es wir ich ihr im am und aber wenn nicht auch nach bei mit von zu für
+le les un une des il elle nous vous ils elles et mais si dans ce cette ces son sa ses pour avec par sur el los las una él ella nosotros y pero en es son su sus para con por que como""".split())
+ARTICLES = set("the a an this that der die das den dem ein eine le la les un une el los las una".split())
 GENDER = {**{n.lower(): "f" for n in FEMALE}, **{n.lower(): "m" for n in MALE}}
 
 EMAIL = r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}\b)"
@@ -82,6 +89,13 @@ def persons(text: str) -> list[tuple[int, int, str, str]]:
     found, known = [], {}
     for m in PERSON.finditer(text):
         parts = [p for p in ("first", "last", "given", "family") if m.group(p)]
+        if m.group("title"):
+            if m.group("first").lower() in ORDINARY:
+                continue
+            if len(parts) == 2 and m.group("last").lower() in ORDINARY:
+                parts = ["first"]
+        elif m.group("family").lower() in ORDINARY:
+            continue
         words = [m.group(p) for p in parts]
         title = TITLES.get(m.group("title") or "", "")
         gender = GENDER.get(words[0].lower(), title)
@@ -91,7 +105,12 @@ def persons(text: str) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(part), kind, canon))
             known.setdefault(word.lower(), (kind, canon))
     if known:
-        found += [(*m.span(), *known[m.group().lower()]) for m in _WORD.finditer(text) if m.group()[:1].isupper() and m.group().lower() in known]
+        before = ""
+        for m in _WORD.finditer(text):
+            word = m.group().lower()
+            if word in known and m.group()[:1].isupper() and not (known[word][0] == "given" and before in ARTICLES):
+                found.append((*m.span(), *known[word]))
+            before = word
     return found
 
 
