@@ -8,7 +8,8 @@ blocked cosine product, and the labels of the nearest are averaged, weighted by
 
 Null and empty texts have one term ("empty") and are scored like any other. Without labels the
 score is 0.5. Equal similarities keep the sample's order. Columns other than the id and the text
-are ignored.
+are ignored. Long texts count whole, by hashed terms of a fixed number. Repeated rows are scored one by one; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

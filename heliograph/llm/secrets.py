@@ -14,6 +14,7 @@ is fixed, so training does not grow with the corpus.
 
 Null and empty texts have no candidates. A candidate found twice in a text is two findings. Exactly
 repeated rows give their findings once. Findings of rows with a null id have a null id.
+An empty table has no findings. Columns of the texts that are named like an added one keep their values where rows are redacted.
 """
 
 from __future__ import annotations

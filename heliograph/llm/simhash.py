@@ -15,6 +15,9 @@ its links, not all of them, so that large groups stay linear.
 deduplicate() takes fingerprints of the distinct shingles, and tables keyed by the least hashes of the set (bits of
 64 find too few of the texts that are just similar enough); what meets is compared by fingerprint, then exactly.
 
+Null and empty texts, and those without a word, have fingerprint zero in group() and are one set without shingles in
+deduplicate(). Texts of any length count whole. An empty table gives no rows. Columns keep their values, whatever their names.
+
 Equal fingerprints are one node in group(), equal sets of shingles in deduplicate(). Repeated ids get one row each; rows with a null id take
 part and get their component's smallest id, which is null only if all ids in it are.
 """

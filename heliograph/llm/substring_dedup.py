@@ -16,7 +16,8 @@ non-overlapping blocks of BLOCK words.
 
 The three steps read one shuffle of the texts. Hashes of words and windows have 64 bits and a partition
 number from other bits. Null text has no words. A null id counts as larger than any other; rows that
-share an id do not remove each other's words.
+share an id do not remove each other's words. A text of any length is read whole, in segments between words. An empty
+table gives no rows; other columns are left out, so none can clash.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ longest wins, ``block`` before ``allow`` among equals. The candidates of a URL a
 Only candidates that pass the blocked Bloom filter of the list (see bloom.py) reach the exact hash join
 with the list, which removes the false positives. URLs are judged once each.
 
+URLs of any length are judged whole; an empty table gives no rows, an empty list fits nothing.
 A null URL and one without "://" have an empty host and path and fit no entry. Rows with null ids,
 repeated rows and further columns are kept as they are; columns named like the added ones get ``page_`` before their names.
 """

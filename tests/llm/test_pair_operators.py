@@ -280,3 +280,9 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_vectors_that_share_an_id_have_links_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.999, 0.01]), (2, [0.998, 0.02]), (3, [0.0, 1.0]), (3, [0.998, 0.02])]
+    got = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (3, 3, 1, False)]

@@ -535,3 +535,58 @@ def test_segments_change_nothing(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "SEGMENT", 50)
     monkeypatch.setattr(quality, "SEGMENT", 50)
     assert np.allclose(langid._kernel_rows(texts, model.columns, model.presence, model.classes)[0], whole[0]) and np.allclose(quality.term_counts(texts), whole[1])
+
+
+# --- mended cases
+
+
+def test_titles_do_not_make_names_of_ordinary_words():
+    spans = lambda t: [(t[a:b], k) for a, b, k, _ in pii.entities(t)]
+    assert spans("Dr. The report is late. The cat sat. THE END.") == []
+    assert spans("The Mark was fine, said Mark Twain.") == [("Mark", "given"), ("Twain", "family")]
+    assert spans("Dr Lee In Paris, the Lee file") == [("Lee", "family"), ("Lee", "family")]
+    assert spans("Mr Smith met Prof. Anna Weber.") == [("Smith", "family"), ("Anna", "given"), ("Weber", "family")]
+
+
+def test_scripts_without_spaces_are_decontaminated(spark):
+    item = "东京是日本的首都并且是世界上人口最多的城市之一也是经济中心"
+    other = item.replace("首都", "古城")  # two other characters
+    docs = spark.createDataFrame([(1, f"据报道{item}。完"), (2, f"据报道{other}。完"), (3, "今天天气很好我们去公园散步吧你觉得怎么样呢"), (4, "你好吗朋友今天"), (5, "before " + item[:12])], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "你好吗朋友"), (9, "ทดสอบการค้นหาข้อความภาษาไทย")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.find(docs, bench).collect()) == [1, 2]
+    assert decontaminate.weight("你好吗朋友") == 2.5 and decontaminate.weight("five words are five tokens") == 5 and decontaminate.weight(None) == 0
+
+
+def test_filters_are_as_large_as_their_seeds():
+    index = decontaminate.SeedIndex(list(range(50)), [" ".join(f"w{i}x{j}" for j in range(5 + i % 12)) for i in range(50)])
+    assert sum(bits.size for _, bits in index.maybe) < 1 << 18
+    rnd = np.random.default_rng(3)
+    large = decontaminate.SeedIndex([0], [" ".join(f"t{x}" for x in rnd.integers(0, 1 << 40, 150_000))])
+    assert max(bits.size for _, bits in large.maybe) == 1 << decontaminate.FILTER_BITS
+
+
+def test_remembered_words_have_two_generations(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    few = packing.WordIds(queries.tokenizer_path())
+    rnd = np.random.default_rng(4)
+    for _ in range(20):
+        texts = [" ".join(f"{'Word' if x % 3 else 'word'}{x}{'.' if x % 5 == 0 else ''}" for x in rnd.integers(0, 200, 40)).encode() for _ in range(3)]
+        want = [few.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(i, "<u4").tolist() for i in few.encode(texts)] == want
+        assert len(few.known) < 400 and len(few.older) < 400
+
+
+@pytest.mark.parametrize("count", [30, 200])
+def test_language_models_of_many_languages_are_small(count):
+    rnd = np.random.default_rng(count)
+    texts, langs = [], []
+    for k in range(count):
+        first = 0x4E00 + 100 * k
+        for _ in range(24):
+            texts.append(" ".join("".join(chr(first + c) for c in rnd.integers(0, 60, 5)) for _ in range(40)))
+            langs.append(f"l{k:03}")
+    model = langid.train(texts[::2] + texts[1::4], langs[::2] + langs[1::4])
+    size = sum(a.nbytes for a in (model.classes, model.columns, model.presence, model.dual, model.bias, *([model.rows] if model.rows is not None else [])))
+    assert size < 100 << 20
+    got, _ = langid.predict(model, texts[3::4])
+    assert np.mean([a == b for a, b in zip(got, langs[3::4])]) > 0.95
