@@ -28,6 +28,17 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: What the tasks of one operator keep in a Python worker from task to task.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(owner: str) -> dict:
+    """A dictionary for an operator's tasks in this worker; what another operator has kept before is dropped, as workers outlive stages."""
+    for other in [o for o in _KEPT if o != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n (the folds that the labels are split by)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

@@ -9,7 +9,8 @@ n-grams gives the kernel block, kernel block x dual weights gives one score per
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language that sorts
 first. Without any labelled text every document is ``und``. Columns other than the id and the text
-are ignored and may have any name.
+are ignored and may have any name. Texts are read whole, whatever their length; only a labelled one gives a run of
+characters to the sample. Repeated rows are judged one by one; an empty table gives no rows, and fits no model.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches, quoted
+from heliograph.llm.common import bound_batches, kept_by, quoted
 
 #: The labelled sample: expected rows a language, the most rows of all, the languages that are learnt (the most frequent
 #: ones), and the characters of a text in it: of a longer text the sample has a run of as many, from a place that the
@@ -31,8 +32,11 @@ SAMPLE_PER_LANG = 1200
 SAMPLE_ROWS = 6000
 LANGUAGES = 256
 SAMPLE_CHARS = 8_192
-#: Landmarks a language, and the lengths (characters) a landmark may have.
+#: Landmarks a language and of all, the bytes of their matrix, and the lengths (characters) a landmark may have. Where the
+#: n-grams of the landmarks would need a larger matrix, they are hashed into as many rows as it may have.
 LANDMARKS_PER_LANG = 48
+MOST_LANDMARKS = 512
+MATRIX_BYTES = 64 << 20
 LANDMARK_CHARS = (150, 4000)
 #: Letters of the landmarks that keep a class of their own; all others share one. With up to 62 letters every n-gram
 #: has its own number; with more, the numbers are hashed into as many places.
@@ -52,6 +56,7 @@ class LanguageModel:
     presence: np.ndarray  # n-grams x landmarks, scaled by the landmarks' norms
     dual: np.ndarray  # landmarks x languages
     bias: np.ndarray
+    rows: np.ndarray | None = None  # the matrix row of each n-gram, where they share rows
 
 
 def _letter_classes(texts: list[str]) -> np.ndarray:
@@ -95,16 +100,22 @@ def _gram_flags(text: str, classes: np.ndarray, flags: np.ndarray) -> bool:
     return some
 
 
-def _kernel_rows(texts: list[str | None], model_columns: np.ndarray, presence: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kernel_rows(texts: list[str | None], model_columns: np.ndarray, presence: np.ndarray, classes: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The kernel block of the texts against all landmarks, and which texts have a letter."""
+    if rows is not None and len(texts) > 64:  # wide rows: few texts at once
+        parts = [_kernel_rows(texts[i : i + 64], model_columns, presence, classes, rows) for i in range(0, len(texts), 64)]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts])
     flags = np.zeros(GRAMS, bool)
-    x = np.zeros((len(texts), len(model_columns)), np.float32)
+    x = np.zeros((len(texts), len(presence)), np.float32)
     some = np.zeros(len(texts), bool)
     norms = np.ones(len(texts), np.float32)
     for i, text in enumerate(texts):
         if text and _gram_flags(text, classes, flags):
             some[i] = True
-            x[i] = flags[model_columns]
+            if rows is None:
+                x[i] = flags[model_columns]
+            else:
+                x[i, rows[flags[model_columns]]] = 1
             norms[i] = np.sqrt(np.count_nonzero(flags))
     return (x @ presence) / norms[:, None], some
 
@@ -117,9 +128,10 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel | None:
         return None
     low, high = LANDMARK_CHARS
     landmarks: list[str] = []
+    each = max(1, min(LANDMARKS_PER_LANG, MOST_LANDMARKS // len(names)))
     for name in names:
         own = [t for t, lang in rows if lang == name]
-        landmarks += ([t for t in own if low <= len(t) <= high] or own)[:LANDMARKS_PER_LANG]
+        landmarks += ([t for t in own if low <= len(t) <= high] or own)[:each]
     classes = _letter_classes(landmarks)
     flags = np.zeros(GRAMS, bool)
     marks = []
@@ -129,15 +141,18 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel | None:
     if not marks:
         return None
     columns = np.unique(np.concatenate(marks))
-    presence = np.zeros((len(columns), len(marks)), np.float32)
+    most = max(1, MATRIX_BYTES // (4 * len(marks)))
+    shared = _places(columns) % most if len(columns) > most else None
+    presence = np.zeros((min(len(columns), most), len(marks)), np.float32)
     for j, grams in enumerate(marks):
-        presence[np.searchsorted(columns, grams), j] = 1 / np.sqrt(len(grams))
+        at = np.searchsorted(columns, grams)
+        presence[at if shared is None else shared[at], j] = 1 / np.sqrt(len(grams))
     wide = presence.astype(np.float64)
     k_mm = wide.T @ wide
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    parts = [_kernel_rows([t for t, _ in rows[i : i + 512]], columns, presence, classes)[0] for i in range(0, len(rows), 512)]
+    parts = [_kernel_rows([t for t, _ in rows[i : i + 512]], columns, presence, classes, shared)[0] for i in range(0, len(rows), 512)]
     phi = np.concatenate(parts).astype(np.float64) @ root
     y = np.where(np.array([lang for _, lang in rows])[:, None] == np.array(names)[None, :], 1.0, -1.0)
     weight = 1 / np.maximum((y > 0).sum(0), 1)[y.argmax(1)]  # every language counts alike
@@ -146,13 +161,13 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel | None:
     centred = phi - mean_phi
     gram = centred.T @ (weight * centred) + RIDGE * len(rows) * np.eye(phi.shape[1])
     w = np.linalg.solve(gram, centred.T @ (weight * (y - mean_y)))
-    return LanguageModel(names, classes, columns, presence, (root @ w).astype(np.float32), (mean_y - mean_phi @ w).astype(np.float32))
+    return LanguageModel(names, classes, columns, presence, (root @ w).astype(np.float32), (mean_y - mean_phi @ w).astype(np.float32), shared)
 
 
 def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     if model is None:
         return ["und"] * len(texts), np.zeros(len(texts))
-    kernel, some = _kernel_rows(texts, model.columns, model.presence, model.classes)
+    kernel, some = _kernel_rows(texts, model.columns, model.presence, model.classes, model.rows)
     scores = kernel @ model.dual + model.bias
     best = scores.argmax(1)
     sure = np.clip((scores[np.arange(len(texts)), best].astype(np.float64) + 1) / 2, 0, 1)
@@ -184,6 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by("langid")
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             langs, sure = predict(shared.value, texts)
@@ -201,6 +217,7 @@ def accept(docs: DataFrame, model: LanguageModel | None, least: float, text_col:
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
+        kept_by("langid")
         langs, sure = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
         return pd.Series([lang != "und" and s >= least for lang, s in zip(langs, sure)], dtype=bool)
 
