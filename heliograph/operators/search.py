@@ -7,6 +7,9 @@ postings leave is looked up in the index's copy of the texts, sorted by id, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,12 @@ MOST_GRAMS = 8
 NAMED_IDS = 500
 
 
-def _grams(low: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, gram) of lower-cased texts, each gram once a text."""
+    for batch in batches:
+        for ident, low in zip(batch.column(0), batch.column(1).to_pylist()):
+            grams = list({low[i : i + 3] for i in range(len(low) - 2)})
+            yield pa.RecordBatch.from_arrays([pa.array([ident.as_py()] * len(grams), pa.int64()), pa.array(grams, pa.string())], names=["id", "gram"])
 
 
 def _folder(gram: Column) -> Column:
@@ -34,7 +41,7 @@ def build_index(docs: DataFrame, ident: str, text: Column, folder: str) -> None:
     rows = docs.select(F.col(ident).cast("long").alias("id"), text.alias("text"))
     rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/texts")
     low = rows.where("text is not null").select("id", F.lower("text").alias("low")).where(F.length("low") >= 3)
-    postings = low.select("id", F.explode(_grams(F.col("low"))).alias("gram")).distinct().withColumn("folder", _folder(F.col("gram")))
+    postings = low.mapInArrow(_postings, "id long, gram string").distinct().withColumn("folder", _folder(F.col("gram")))
     # A folder's grams go to several tasks, as a few grams may have most of the postings.
     postings.repartitionByRange("folder", "gram", "id").sortWithinPartitions("folder", "gram", "id").write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/postings")
 
