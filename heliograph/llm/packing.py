@@ -16,12 +16,14 @@ counting within (length, hash bucket) and adding the counts of the earlier bucke
 frequent, meets in one task.
 
 Null text is empty text: one piece holding only the end id. Repeated rows and repeated ids are packed
-once each. Rows with a null id are packed too. An empty table packs into nothing.
+once each. Rows with a null id are packed too. An empty table packs into nothing. A text longer than a
+sequence, however long, is cut into pieces of the capacity and a rest. Other columns are left out, so none can clash.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from array import array
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches
+from heliograph.llm.common import bound_batches, kept_by
 from heliograph.shared import cut
 
 CAPACITY = 4096
@@ -50,23 +52,30 @@ def _byte_letters() -> list[str]:
 
 
 BYTE_LETTERS = _byte_letters()
-#: Words a worker remembers the ids of.
-REMEMBERED = 1_200_000
+#: Words a worker remembers the ids of, in each of two generations (some 200 bytes each); fewer cost time, never results.
+REMEMBERED = 600_000
 #: Buckets that equal lengths are ranked in.
 RANK_BUCKETS = 256
 
 
 class WordIds:
-    """ids of whole texts from a tokenizer that never joins across ASCII white space, remembered word by word."""
+    """ids of whole texts from a tokenizer that never joins across ASCII white space, remembered word by word.
 
-    def __init__(self, path: str):
+    Remembered words have two generations: the younger one is filled, then takes the place of the older one; words that are
+    asked for again move on.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         #: Letters decide whether a special token is one, so words that may hold one are left alone.
-        self.special = {t.content[:1].encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
-
+        special = {t.content[:1].encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        #: Combining marks (lead bytes CC and CD) may join the letter before them.
+        self.odd = re.compile(b"[" + b"".join(map(re.escape, special)) + b"\xcc\xcd]").search
         self.bare = self._is_bare()
 
     def _bare_ids(self, text: str) -> list[int]:
@@ -83,7 +92,11 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         rest = []
+        tokenize = self.tokenizer.model.tokenize
         for w in words:
+            if self.bare and w.isalpha() and w.islower():  # ASCII letters stand for themselves
+                self.known[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+                continue
             text = w.decode("utf-8", "replace")
             if self.bare and text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
                 self.known[w] = array("I", self._bare_ids(text)).tobytes()
@@ -98,46 +111,49 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
         words = set().union(*split)
+        if len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
         new = words.difference(self.known)
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known = {}
-            new = words
+        again = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        new.difference_update(again)
         # The tokenizer lower-cases and cuts between a letter and a full stop or comma, so most new words are
-        # known ones in another dress. Combining marks (lead bytes CC and CD) may join the letter before them.
+        # known ones in another dress.
         bases = {}
+        odd = self.odd
         for w in new:
-            if b"\xcc" not in w and b"\xcd" not in w and not any(x in w for x in self.special):
+            if not (w.isalpha() and w.islower()) and not odd(w):
                 low = w.translate(LOWER)
                 if low[-1:] in STOPS and low[-2:-1].isalpha():
                     bases[w] = (low[:-1], low[-1:])
                 elif low != w:
                     bases[w] = (low, b"")
-        known = self.known
-        self._learn(list({x for pair in bases.values() for x in pair if x}.union(w for w in new if w not in bases).difference(known)))
+        known, older = self.known, self.older
+        parts = {x for pair in bases.values() for x in pair if x}.union(w for w in new if w not in bases).difference(known)
+        known.update((w, older[w]) for w in parts if w in older)
+        self._learn(list(parts.difference(known)))
         for w, (base, stop) in bases.items():
             known[w] = known[base] + known[stop] if stop else known[base]
-        find = known.__getitem__
+        find = {w: known[w] for w in words}.__getitem__  # a small table is looked up faster
         return [b"".join(map(find, ws)) for ws in split]
 
 
-#: One for each tokenizer file in a worker process, kept from task to task.
-_ENCODERS: dict[str, WordIds] = {}
-
-
-def encoder(path: str) -> WordIds:
+def encoder(path: str, remembered: int = REMEMBERED) -> WordIds:
+    """One for each tokenizer file, kept in the worker from task to task until another operator runs there."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    kept = kept_by("packing")
+    if (path, remembered) not in kept:
+        kept[path, remembered] = WordIds(path, remembered)
+    return kept[path, remembered]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document with its end id, cut into pieces."""
     bound_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = encoder(tokenizer_path)
+        ids = encoder(tokenizer_path, remembered)
         for batch in batches:
             texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in batch["text"]]
             out = []
@@ -285,10 +301,10 @@ def plan(counts: np.ndarray) -> Plan:
     return made
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece with its sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Every piece with its sequence_id and offset; ``remembered`` bounds what the encoders keep."""
     spark = docs.sparkSession
-    cutup = cut(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
+    cutup = cut(pieces(docs, tokenizer_path, capacity, id_col, text_col, remembered), "pieces")
     histogram = np.zeros(capacity + 1, np.int64)
     for row in cutup.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
         histogram[row["length"]] = row["n"]

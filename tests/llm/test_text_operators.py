@@ -565,9 +565,8 @@ def test_filters_are_as_large_as_their_seeds():
     assert max(bits.size for _, bits in large.maybe) == 1 << decontaminate.FILTER_BITS
 
 
-def test_remembered_words_have_two_generations(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
-    few = packing.WordIds(queries.tokenizer_path())
+def test_remembered_words_have_two_generations():
+    few = packing.WordIds(queries.tokenizer_path(), remembered=50)
     rnd = np.random.default_rng(4)
     for _ in range(20):
         texts = [" ".join(f"{'Word' if x % 3 else 'word'}{x}{'.' if x % 5 == 0 else ''}" for x in rnd.integers(0, 200, 40)).encode() for _ in range(3)]
