@@ -159,6 +159,28 @@ def test_suppression_against_greedy(spark, limit):
     assert sorted(((r["image"], r["id"]) for r in got.collect()), key=str) == _greedy(rows, limit)
 
 
+def test_suppression_of_small_pictures_takes_one_round(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(boxes, "cut", lambda df, name, inner=boxes.cut: (names.append(name), inner(df, name))[1])
+    rows = [(p, i, 3.0 * i, 0.0, 10.0, 10.0, float(-i)) for p in ("a", "b", None) for i in range(700)]  # a chain over several tiles
+    df = spark.createDataFrame(rows, BOX)
+    assert sorted(((r["image"], r["id"]) for r in boxes.suppress(df, "image").collect()), key=str) == _greedy(rows, 0.4)
+    assert names.count("decided") == 1
+
+
+@pytest.mark.parametrize("chunk", [3, 128])
+def test_suppression_of_pictures_cut_into_tiles(spark, monkeypatch, chunk):
+    monkeypatch.setattr(boxes, "WHOLE", 100)
+    monkeypatch.setattr(boxes, "PIECE", 50)
+    monkeypatch.setattr(boxes, "CHUNK", chunk)
+    rnd = np.random.default_rng(chunk)
+    rows = [(["a", "b", None][i % 3], i, *(float(c) for c in rnd.uniform(-300, 300, 2)), *(float(c) for c in np.exp(rnd.uniform(2, 6, 2))), float(rnd.integers(0, 50))) for i in range(900)]
+    rows += [("small", 2000 + i, 3.0 * i, 0.0, 10.0, 10.0, float(-i)) for i in range(90)]
+    rows += [("chain", 1000 + i, 3.0 * i, 0.0, 10.0, 10.0, float(-i)) for i in range(300)]
+    got = boxes.suppress(spark.createDataFrame(rows, BOX).repartition(4), "image", 0.3)
+    assert sorted(((r["image"], r["id"]) for r in got.collect()), key=str) == _greedy(rows, 0.3)
+
+
 def test_suppression_of_nothing(spark):
     assert boxes.suppress(spark.createDataFrame([], BOX), "image").count() == 0
     with pytest.raises(ValueError):
