@@ -12,8 +12,9 @@ that share a key are laid out as vertical bit planes; carry-save adders count th
 more than BLOCK fingerprints are cut into blocks that meet pairwise. A block returns a spanning set of
 its links, not all of them, so that large groups stay linear.
 
-deduplicate() takes fingerprints of the distinct shingles, and tables keyed by the least hashes of the set (bits of
-64 find too few of the texts that are just similar enough); what meets is compared by fingerprint, then exactly.
+deduplicate() takes fingerprints of the distinct shingles in WORDS words, as 64 bits find too few of the texts that are just
+similar enough. Each table is keyed by some of these bits, more of them the more texts there are; what shares a key is compared
+by the same bit planes over the first word, what is close there by the whole fingerprint, and what is close then exactly.
 
 Null and empty texts, and those without a word, have fingerprint zero in group() and are one set without shingles in
 deduplicate(). Texts of any length count whole. An empty table gives no rows. Columns keep their values, whatever their names.
@@ -24,6 +25,7 @@ part and get their component's smallest id, which is null only if all ids in it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,14 +44,16 @@ SEED = 42
 #: Fingerprints of one key that are compared at once; more are cut into blocks of about this many.
 BLOCK = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: For deduplicate(): tables, smallest hashes that make a table's key, and the radius within which texts are compared.
-#: A pair of similarity J shares a key with probability 1 - (1 - J^5)^20: 0.9996 at 0.8. At 0.8 fingerprints of sets
-#: differ in 9.7 bits, with a deviation of 2.9.
-TABLES, LEAST_HASHES, WIDE_RADIUS = 20, 5, 26
-#: Shingles that are multiplied at once.
-CHUNK = 4096
+#: For deduplicate(): 64-bit words of a fingerprint, and the radius within which texts are compared. At a similarity of 0.8
+#: fingerprints of sets differ in about 39 bits of 256 with a deviation of 6, random ones in 128 with a deviation of 8.
+#: Bit planes compare the first word, in which 4 sets of 5 shingles differ in 12 bits with a deviation of 3 (they need the most).
+WORDS, WIDE_RADIUS, FIRST_RADIUS = 4, 80, 26
+#: Part of the bits in which sets of similarity 0.8 agree, and tables in units of what one agreement needs: with k bits a
+#: key a pair meets in TABLES of them on average.
+AGREE, TABLES = 0.8485, 14
+MOST_KEY_BITS = 20
 #: The set bits of each byte value.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -75,20 +79,57 @@ def majority(h: np.ndarray) -> int:
     """The bits that are 1 in over half of the hashes."""
     if not len(h):
         return 0
-    columns = h.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, j], minlength=256) @ BITS for j in range(8)])
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return int(_majorities(h[:, None])[0])
 
 
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * LEAST_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+def _majorities(h: np.ndarray) -> np.ndarray:
+    """Of each column of hashes, the bits that are 1 in over half of them."""
+    columns = np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1)
+    places = np.arange(columns.shape[1]) * 256
+    ones = np.zeros(len(places) * 256, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.bincount((columns[at : at + (1 << 16)] + places).ravel(), minlength=len(ones))
+    return np.packbits(2 * (ones.reshape(-1, 256) @ BITS) > len(h), bitorder="little").view(np.uint64)
 
 
-def table_keys(h: np.ndarray) -> np.ndarray:
-    """TABLES keys of 32 bits for a set of hashes, each of the set's least hashes in LEAST_HASHES orders; none for an empty set."""
+#: The node of the set without shingles.
+EMPTY = int(np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64)[0])
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS - 1, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WORDS words: the majority of the hashes, and of what mixing makes of them."""
     if not len(h):
-        return np.zeros(0, np.int32)
-    least = np.min([(FACTORS[:, None] * h[None, at : at + CHUNK]).min(axis=1) for at in range(0, len(h), CHUNK)], axis=0)
-    return np.array([xxhash.xxh32_intdigest(x.tobytes(), SEED) for x in least.reshape(TABLES, LEAST_HASHES)], np.uint32).view(np.int32)
+        return np.zeros(WORDS, np.uint64)
+    more = h[:, None] * FACTORS
+    more = (more ^ (more >> np.uint64(32))) * FACTORS
+    return _majorities(np.hstack([h[:, None], more ^ (more >> np.uint64(29))]))
+
+
+def key_bits(count: int) -> int:
+    """The bits of a key for so many texts: half of what would number them, so a key holds about as many texts as there are keys."""
+    return min(MOST_KEY_BITS, max(1, round(math.log2(max(count, 2)) / 2)))
+
+
+def tables_of_bits(k: int) -> np.ndarray:
+    """The places of the k bits of each table."""
+    random = np.random.default_rng([SEED, k])
+    return np.array([random.permutation(64 * WORDS)[:k] for _ in range(math.ceil(TABLES / AGREE**k))])
+
+
+def keys_of(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each fingerprint (a row of WORDS words) its bucket in each table; tables share no buckets."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    k = places.shape[1]
+    keys = np.zeros((len(words), len(places)), np.int32)
+    for i in range(k):
+        keys |= bits[:, places[:, i]].astype(np.int32) << i
+    return keys + (np.arange(len(places), dtype=np.int32) << k)
+
+
+def table_keys(h: np.ndarray, k: int = 9) -> np.ndarray:
+    """The buckets of a set of hashes with k bits a key; none for an empty set."""
+    return keys_of(wide_fingerprint(h)[None, :], tables_of_bits(k))[0] if len(h) else np.zeros(0, np.int32)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -110,21 +151,20 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, fp, node, bands) for every row, all of the set of shingles: fingerprint, hash and table keys. Only equal sets share a node."""
+    """(id, row, fp, more, node) for every row, all of the set of shingles: first and further words of the fingerprint, and hash. Only equal sets share a node."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps, nodes, bands = [], [], []
+            words, nodes = [], []
             for text in batch["text"]:
                 h = np.unique(shingle_hashes(text if isinstance(text, str) else None, width))
-                fps.append(majority(h))
+                words.append(wide_fingerprint(h).view(np.int64))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                bands.append(table_keys(h))
-            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": np.array(fps, np.uint64).view(np.int64), "node": np.array(nodes, np.uint64).view(np.int64), "bands": bands})
+            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": [int(w[0]) for w in words], "more": [w[1:] for w in words], "node": np.array(nodes, np.uint64).view(np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, row long, fp long, node long, bands array<int>")
+    return rows.mapInPandas(run, "id long, row long, fp long, more array<long>, node long")
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------
@@ -149,14 +189,15 @@ def _beyond(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nda
 
 
 def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j with fps[i] and fps[j] at most radius bits apart (radius under 16)."""
+    """All i < j with fps[i] and fps[j] at most radius bits apart; a fingerprint is a number or a row of numbers of 64 bits."""
     n = len(fps)
     words = (n + 63) // 64
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, words * 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    size = bits.shape[1]
+    padded = np.zeros((size, words * 64), np.uint8)
     padded[:, :n] = bits.T
-    planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)  # 64 x words
-    masks = (np.uint64(0) - bits.astype(np.uint64)).T  # 64 x n: all ones where the bit is set
+    planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)  # size x words
+    masks = np.ascontiguousarray((np.uint64(0) - bits.astype(np.uint64)).T)  # size x n: all ones where the bit is set
     width = max(2, radius.bit_length())
     left, right = [], []
     index = np.arange(words * 64)
@@ -165,22 +206,25 @@ def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         first = at // 64
         none = (index[None, first * 64 :] <= q[:, None]) | (index[None, first * 64 :] >= n)
         over = np.packbits(none, axis=1, bitorder="little").view(np.uint64)
-        rows, cols = np.nonzero(over != np.uint64(0xFFFFFFFFFFFFFFFF))
-        over, cols = over[rows, cols], cols + first
-        rows = q[rows]
+        shape = over.shape
+        over, grid = over.ravel(), True
+        rows, cols = np.repeat(q, shape[1]), np.tile(np.arange(first, words), shape[0])
         counters = [np.zeros(len(rows), np.uint64) for _ in range(width)]
-        for k in range(0, 64, 4):
-            d = [planes[k + i][cols] ^ masks[k + i][rows] for i in range(4)]
+        for k in range(0, size, 4):
+            if grid:  # every word of every row
+                d = [(planes[k + i][None, first:] ^ masks[k + i][at : at + 256, None]).ravel() for i in range(4)]
+            else:
+                d = [planes[k + i][cols] ^ masks[k + i][rows] for i in range(4)]
             counters[0], two = _add(counters[0], d[0], d[1])
             counters[0], two_more = _add(counters[0], d[2], d[3])
             counters[1], carry = _add(counters[1], two, two_more)
             for i in range(2, width):
                 counters[i], carry = counters[i] ^ carry, counters[i] & carry
             over |= carry
-            if k >= 8:
+            if k >= 8 and k >= radius and (radius < 16 or k % 32 == 0):
                 alive = _beyond(counters, over, radius) != np.uint64(0xFFFFFFFFFFFFFFFF)
-                if not alive.all():
-                    rows, cols, over, counters = rows[alive], cols[alive], over[alive], [c[alive] for c in counters]
+                if 2 * np.count_nonzero(alive) < len(alive):
+                    rows, cols, over, counters, grid = rows[alive], cols[alive], over[alive], [c[alive] for c in counters], False
             if not len(rows):
                 break
         if len(rows):
@@ -324,27 +368,41 @@ def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): nodes of classes(node, fp, bands, row) whose texts' shingle sets have a Jaccard similarity of at least similarity.
+    """(u, v): nodes of classes(node, fp, more, row) whose texts' shingle sets have a Jaccard similarity of at least similarity.
 
-    Candidates share the key of one of TABLES tables and their fingerprints differ in at most WIDE_RADIUS bits; the texts of those, and only those, are read again and compared exactly.
+    Candidates share the bits of one table and their fingerprints differ in at most FIRST_RADIUS bits of the first word and WIDE_RADIUS in all; the texts of those, and only those, are read again and compared exactly.
     """
-    keys = ["t", "key", "lo", "hi"]
+    k = key_bits(classes.count())
+    places = tables_of_bits(k)
+    keys, words = ["bucket", "lo", "hi"], [f"w{i}" for i in range(WORDS)]
+
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(buckets=list(keys_of(batch[words].to_numpy(np.int64), places)))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (f.reset_index(drop=True) for f in whole_groups(batches, keys)):
-            fps, table = frame["fp"].to_numpy().view(np.uint64), frame["t"].to_numpy()
-            bands, group_of = np.stack(frame["bands"].to_numpy()), _group_numbers(frame, keys)
-            some = np.zeros(len(frame), bool)
-            for apart in range(1, len(frame)):  # rows so far apart in one group; groups are runs of rows
-                left = np.flatnonzero(group_of[apart:] == group_of[:-apart])
+        for frame in whole_groups(batches, keys):
+            group_of, fps = _group_numbers(frame, keys), frame[words].to_numpy(np.int64).view(np.uint64)
+            bucket, part = frame["bucket"].to_numpy(), np.full(len(frame), -1, np.int32)
+            for at in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(group_of)) + 1):
+                if len(at) < 2:
+                    continue
+                left, right = close_pairs(fps[at, 0], FIRST_RADIUS)
+                near = np.bitwise_count(fps[at[left], 1:] ^ fps[at[right], 1:]).sum(1) + np.bitwise_count(fps[at[left], 0] ^ fps[at[right], 0]) <= WIDE_RADIUS
+                left, right = left[near], right[near]
                 if not len(left):
-                    break
-                left = left[np.bitwise_count(fps[left] ^ fps[left + apart]) <= WIDE_RADIUS]
+                    continue
                 # A pair counts in the first table in which it meets.
-                left = left[(bands[left] == bands[left + apart]).argmax(axis=1) == table[left]]
-                some[left] = some[left + apart] = True
-            if some.any():
-                yield frame.loc[some, [*keys, "node"]]
+                some, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
+                own, ends = keys_of(fps[at[some]], places), ends.reshape(2, -1)
+                fresh = np.arange(len(left))
+                for t in range(bucket[at[0]] >> k):
+                    fresh = fresh[own[ends[0, fresh], t] != own[ends[1, fresh], t]]
+                label = spanning(len(at), left[fresh], right[fresh])
+                met = np.union1d(left[fresh], right[fresh])
+                part[at[met]] = label[met]
+            if (part >= 0).any():
+                yield frame.loc[part >= 0, [*keys, "node"]].assign(part=part[part >= 0])
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -362,14 +420,19 @@ def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: f
                 if len(moved):
                     yield pd.DataFrame({"u": nodes[at[moved]], "v": nodes[at[label[moved]]]})
 
-    groups = dealt(classes.select(F.posexplode("bands").alias("t", "key"), "node"), "node")
-    # Only nodes that share a key carry their table keys.
-    met = arranged(groups.join(classes.select("node", "fp", "bands"), "node").select(*keys, "node", "fp", "bands"))
-    found = cut(met.mapInPandas(near, "t int, key int, lo int, hi int, node long"), "candidates")
+    bound_batches(docs.sparkSession, 4096)
+    rows = classes.select("node", *[(F.col("fp") if i == 0 else F.col("more")[i - 1]).alias(w) for i, w in enumerate(words)])
+    # The empty set is like no other.
+    keyed = rows.where(f"node != {EMPTY}").mapInPandas(buckets, f"node long, {', '.join(f'{w} long' for w in words)}, buckets array<int>").select(F.explode("buckets").alias("bucket"), "node", *words)
+    large = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large")
+    every = keyed.join(large, "bucket", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    met = every.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *words).repartition(*keys).sortWithinPartitions(*keys)
+    found = cut(met.mapInPandas(near, "bucket int, lo int, hi int, node long, part int"), "candidates")
     wanted = found.select("node").distinct().join(classes, "node").select("node", "row")
     maybe = maybe_in(wanted.select(F.col("row").alias("h")))
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).where(maybe("row"))
     sets = texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "text").mapInPandas(shingles, "node long, shingles binary")
+    keys = [*keys, "part"]
     return found.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "shingles").mapInPandas(verify, "u long, v long")
 
 
@@ -381,7 +444,7 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     those that meet them in a Bloom filter, are shuffled; the rest stay where they are.
     """
     fps = cut(signatures(docs, width, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("node", "fp", "bands", "first", F.col("first.row").alias("row"))
+    classes = fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("node", "fp", "more", "first", F.col("first.row").alias("row"))
     classes = cut(classes, "classes")
     found = connected_components(similar_links(docs, classes, width, similarity, id_col, text_col))
     rooted = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

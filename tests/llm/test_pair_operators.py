@@ -126,6 +126,42 @@ def test_candidates_at_the_threshold():
     assert found >= 0.998 * n
 
 
+@pytest.mark.parametrize("radius", [20, 80])
+def test_bit_slices_of_long_fingerprints(radius):
+    random = np.random.default_rng(radius)
+    fps = random.integers(0, 1 << 63, (300, simhash.WORDS), np.uint64)
+    for i in range(0, 300, 2):
+        flipped = np.zeros(64 * simhash.WORDS, np.uint8)
+        flipped[random.choice(len(flipped), int(random.integers(0, 100)), replace=False)] = 1
+        fps[i + 1] = fps[i] ^ np.packbits(flipped).view(np.uint64)
+    left, right = simhash.close_pairs(fps, radius)
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(-1) <= radius, 1))
+    assert len(a) and sorted(zip(left.tolist(), right.tolist())) == sorted(zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("k", [7, 9, 12])
+def test_fingerprint_tables_find_what_is_similar(k):
+    random, found, n, places = np.random.default_rng(k), 0, 1000, simhash.tables_of_bits(k)
+    for _ in range(n):
+        size = int(random.integers(10, 400))
+        own = round(size * (1 - 0.8) / (1 + 0.8) - 0.5)
+        h = random.integers(0, 1 << 63, size + own, np.uint64)
+        a, b = simhash.wide_fingerprint(h[:size]), simhash.wide_fingerprint(h[own:])
+        keys = simhash.keys_of(np.stack([a, b]), places)
+        found += np.bitwise_count(a ^ b).sum() <= simhash.WIDE_RADIUS and bool((keys[0] == keys[1]).any())
+    assert found >= 0.998 * n
+
+
+def test_deduplicate_in_blocks_by_tables_of_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, f"{t} more") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = simhash.signatures(docs, 5, "doc_id", "text").select("node", "fp", "more", "row")
+    assert simhash.similar_links(docs, classes, 5, 0.8, "doc_id", "text").count() >= 40
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == list(range(40))
+
+
 def test_deduplicate_finds_copies_at_the_threshold(spark):
     random = np.random.default_rng(9)
     words = [[f"w{k}x{i}" for i in random.permutation(9000)[:200]] for k in range(60)]
