@@ -282,6 +282,21 @@ def test_index_reads_a_part(spark, tmp_path):
     assert asked * 3 < search.bytes_of(spark.read.parquet(f"{folder}/postings")) and whole > 0
 
 
+def test_postings_share_rows(spark, tmp_path):
+    rows = [(i if i % 7 else None, "the same words " + "東京xé𝄞"[: i % 7]) for i in range(300)] + [(1, "ab"), (2, "the end")]
+    folder = f"file://{tmp_path}/index"
+    search.build_index(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", F.col("text"), folder)
+    found = spark.read.parquet(f"{folder}/postings").collect()
+    assert len(found) == len({r["gram"] for r in found})  # one row a gram and batch
+    want = {}
+    for i, t in rows:
+        for k in range(len(t) - 2):
+            want.setdefault(t[k : k + 3], set()).add((i, t))
+    assert {r["gram"]: set(r["ids"]) for r in found} == {g: {i for i, _ in s} for g, s in want.items()}
+    grams, counts, places = search._grams(["abcab", "", "ab", "cabx"])
+    assert sorted(zip(grams, counts.tolist())) == [("abc", 1), ("abx", 1), ("bca", 1), ("cab", 2)] and len(places) == 5
+
+
 def test_index_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/index"
     search.build_index(spark.createDataFrame([], "id long, text string"), "id", F.col("text"), folder)
