@@ -10,6 +10,9 @@ from heliograph.sources.tables import load
 
 QUERIES, ORACLES, query = family()
 
+#: Lines that one task joins, about.
+LINES = 400_000
+
 
 @query("SELECT event_id, event_type, c_name AS user_name FROM events LEFT JOIN customer ON user_id = c_custkey")
 def audit_names(spark, sf_dir):
@@ -34,8 +37,11 @@ def gallery_items(spark, sf_dir):
 def album_members(spark, sf_dir):
     """Orders with the suppliers of their lines and those suppliers' nations, once each."""
     supplier = load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "n_name")
-    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").distinct()
-    return load(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey").join(supplier, "l_suppkey").select("o_orderkey", "n_name", "s_name").distinct()
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    parts = lines.count() // LINES + 1
+    orders = load(spark, sf_dir, "orders").select("o_orderkey").repartition(parts, "o_orderkey")
+    # Dealt once, by order: the join and the last step find their rows in place.
+    return lines.join(supplier, "l_suppkey").select("o_orderkey", "n_name", "s_name").repartition(parts, "o_orderkey").join(orders, "o_orderkey", "left_semi").distinct()
 
 
 @query("""

@@ -252,3 +252,12 @@ def test_assignment(spark):
     rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.2]), (3, "a", [-1.0, 0.1]), (4, None, [1.0, 0.0])], "id long, label string, v array<double>")
     got = clustering.assign(rows, clustering.centroids(rows, "label", "v"), "label", "v", 0.42)
     assert {r["id"]: r["assigned"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_album_members_takes_more_tasks_for_more_lines(spark, monkeypatch):
+    from heliograph.plans import joins
+
+    monkeypatch.setattr(joins, "LINES", 500)
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert joins.album_members(spark, folder).rdd.getNumPartitions() == lines // 500 + 1
