@@ -114,13 +114,13 @@ class _LockProcessor(StatefulProcessor):
         self.lock = handle.getValueState("lock", "count int, until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times: set[int] = set()
+        first: int | None = None
         for frame in rows:
             new = [(int(t), str(i), bool(f)) for t, i, f in zip(frame["micros"], frame["ident"], frame["failed"])]
             self.waiting.appendList(new)
-            times.update(t for t, _, _ in new)
-        for t in {-(-t // 1000) for t in times}:
-            self.handle.registerTimer(t)
+            first = min([t for t, _, _ in new] + ([] if first is None else [first]), default=None)
+        if first is not None:  # one timer a batch: when it fires, the next attempt that waits gets one
+            self.handle.registerTimer(-(-first // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -134,6 +134,7 @@ class _LockProcessor(StatefulProcessor):
             rest = rows[len(due) :]
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(-(-rest[0][0] // 1000))
             else:
                 self.waiting.clear()
         if lock.count or lock.until > passed:

@@ -43,6 +43,61 @@ def test_rate_limit_stream(spark, tmp_path):
     assert {r["id"]: r["allowed"] for r in found} == _plain(rows, 2, 60)
 
 
+def test_locks_set_few_timers():
+    class Handle:
+        def __init__(self):
+            self.timers = []
+            self.registerTimer = self.timers.append
+
+        def getListState(self, *a):
+            return State([])
+
+        def getValueState(self, *a):
+            return State(None)
+
+    class State:
+        def __init__(self, v):
+            self.v = v
+
+        def exists(self):
+            return bool(self.v)
+
+        def get(self):
+            return self.v
+
+        def put(self, v):
+            self.v = v
+
+        update = put
+
+        def clear(self):
+            self.v = None
+
+        def appendList(self, v):
+            self.v = [*(self.v or []), *v]
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    import pandas as pd
+
+    handle, judged = Handle(), []
+    made = rate._LockProcessor(2, 1)
+    made.init(handle)
+    times = [5_000_000 + 100_500 * i for i in range(50)]
+    for some in (times[25:], times[:25]):
+        list(made.handleInputRows(("k",), iter([pd.DataFrame({"micros": some, "ident": [str(t) for t in some], "failed": [t % 3 > 0 for t in some]})]), None))
+    assert len(handle.timers) == 2
+    for now in range(0, 12_000, 700):
+        due = [t for t in handle.timers if t <= now]
+        for t in due:
+            handle.timers.remove(t)
+            judged += [r for frame in made.handleExpiredTimer(("k",), Clock(now), None) for r in zip(frame["ident"], frame["locked"])]
+    lock = rate.Lock(2, 1_000_000)
+    assert judged == [(str(t), lock.step(t, t % 3 > 0)[0]) for t in times]
+
+
 def test_forwarding_is_incremental_and_drops_repeats(spark, tmp_path):
     rows = _rows()
     _write(spark, f"{tmp_path}/log", rows[:20] + rows[:5])
