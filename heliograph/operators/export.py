@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from heliograph.operators.packing import archive_entries
+from heliograph.shared import cut
 from heliograph.sources.ranges import system_of
 
 MANIFEST = "manifest.json"
@@ -57,9 +58,11 @@ def plan_export(files: DataFrame, key: str, order: list[str], limit: float, over
     rest = [c for c in order if c != key]
     kept = files.where(F.col("data").isNotNull() & ~F.coalesce(F.col("kind").isin(LEFT_OUT), F.lit(False)))
     sized = kept.select(key, *rest, entry_name("kind", "name", "ident").alias("path"), F.octet_length("data").alias("size"), "data")
+    # A key's files are one task's fold, so their data stay out of it.
+    held = cut(sized.withColumn("__row", F.monotonically_increasing_id()), "files")
     lengths = sizes.select(F.col(key).alias("__key"), F.col("bytes").alias("__first"))
-    whole = sized.join(lengths, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    placed = archive_entries(whole, key, order, "size", "path", limit, overhead, "__first")
+    whole = held.drop("data").join(lengths, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    placed = archive_entries(whole, key, order, "size", "path", limit, overhead, "__first").join(held.select("__row", "data"), "__row")
     rows = placed.select(key, "part", F.struct(F.lit(3).alias("turn"), *rest).alias("at"), "entry", "data")
     first = pieces.select(key, F.lit(0).cast("long").alias("part"), F.struct("turn", *rest).alias("at"), F.lit(MANIFEST).alias("entry"), F.encode("piece", "UTF-8").alias("data"))
     return rows.unionAll(first)

@@ -257,6 +257,16 @@ def test_wakes_during_a_run_make_one_more():
     assert timed.runs == 1
 
 
+def test_fold_of_an_export_has_no_data(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(export, "archive_entries", lambda df, *a, inner=export.archive_entries: (seen.append(df.columns), inner(df, *a))[1])
+    files = spark.createDataFrame([(k, i, "photo", f"n{i % 3}.jpg", bytes([i]) * (i + 1)) for k in ("a", None) for i in range(40)] * 2, "lang string, ident long, kind string, name string, data binary")
+    planned = export.plan_export(files, "lang", ["ident"], 200.0, fields=["ident"]).where(F.col("entry") != export.MANIFEST)
+    got = planned.select("lang", "at.ident", F.base64("data")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, files.select("lang", "ident", F.base64("data")).collect()), key=str)
+    assert len(seen) == 1 and "data" not in seen[0]
+
+
 # --- search
 
 
