@@ -24,11 +24,11 @@ def _first_copies(rows: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, ident: str, vector: str, threshold: float, within: str | None = None, block: int = similarity.BLOCK) -> DataFrame:
     """(id, cluster) for every row with a vector: single linkage at the threshold; a cluster is named by its smallest id.
 
-    Equal vectors are one, and blocks give the forests that span their links. Vectors without a direction are alone.
+    Equal vectors are one, and squares of blocks give what joins their vectors, not their links. Vectors without a direction are alone.
     """
     rows = cut(similarity.directed(df, ident, vector, within), "directed")
     first = cut(_first_copies(rows), "copies")
-    links = similarity.forest(first.select(F.col("first").alias("id"), "v", "g"), threshold, block).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = similarity.linked(first.select(F.col("first").alias("id"), "v", "g"), threshold, block)
     copies = rows.join(first, ["g", "v"]).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     roots = connected_components(links.unionByName(copies))
     every = df.where(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"))

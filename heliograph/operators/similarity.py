@@ -3,7 +3,8 @@
 Angles between vectors obey the triangle inequality. Every vector belongs to the cell of its nearest pivot; a cell is
 described by the least and largest angle of its members to every pivot. Two vectors can only be within an angle of each
 other if their angles to each pivot differ by no more, so a vector meets a cell only if it lies within the angle
-of the cell's interval at every pivot. Cells that meet do so in blocks, one matrix product a task.
+of the cell's interval at every pivot. Cells that meet do so in blocks, one matrix product each; a task has the blocks of two
+squares, of which there are a fixed number, so each vector is sent to a fixed number of tasks.
 
 The pivots come from a bounded sample; they decide how much is compared, never what is found. The driver holds the pivots
 (at most ``MOST_PIVOTS``) and the intervals (their square) for each length of vectors.
@@ -16,13 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.shared import cut
 
-#: Vectors in a block; two blocks meet in one task.
+#: Vectors in a block; two blocks meet in one matrix product.
 BLOCK = 1024
+#: Squares that a group's blocks lie in; two squares meet in one task, which holds one of them. Blocks of a square at most.
+GRID = 24
+MOST_BLOCKS = 256
+#: Edges that a task gathers before it keeps their heaviest forest.
+MOST_EDGES = 500_000
 MOST_PIVOTS = 256
 #: Vectors that the pivots are chosen from.
 SAMPLE = 4096
@@ -130,37 +136,79 @@ def celled(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     return rows.mapInArrow(part, "id long, v array<double>, g string, cell int, targets array<int>")
 
 
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row of a block's rows: vectors as single numbers where these hold them."""
+    frame = frame.sort_values("id", kind="stable")
+    x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+    short = x.astype(np.float32)
+    packed = {c: [frame[c].iloc[0]] for c in ("g", "own", "cell", "part")}
+    targets = [np.unique(np.concatenate(frame["targets"].to_numpy()))]
+    return pd.DataFrame(packed | {"targets": targets, "ids": [frame["id"].to_numpy(np.int64).tobytes()], "single": [bool((short == x).all())], "vs": [(short if (short == x).all() else x).tobytes()]})
+
+
 def meetings(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(g, lo, hi, first, alone, id, v): rows dealt to the pairs of blocks (cell, part) to compare.
+    """(g, lo, hi, first, cell, part, targets, ids, single, vs): blocks dealt to the pairs of squares to compare, sorted.
 
-    first tells whether a row is of lo, alone whether lo is hi: a block by itself.
+    A block has vectors of one cell. A group's blocks lie in GRID squares at most, or more if one would have over MOST_BLOCKS, so what is
+    shuffled grows as the input. first tells whether a block is of lo; those come first.
     """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     dealt = cut(celled(rows, threshold, block), "cells")
     sizes = dealt.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    part = lambda c: F.pmod(F.xxhash64("id", "v"), F.col(c)).cast("int")
-    placed = dealt.join(sizes, ["g", "cell"]).withColumn("part", part("parts")).select("g", "id", "v", F.struct("cell", "part").alias("own"), F.explode("targets").alias("target"))
-    both = placed.join(sizes.select("g", F.col("cell").alias("target"), "parts"), ["g", "target"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    other = F.struct(F.col("target").alias("cell"), F.col("p").alias("part")).cast("struct<cell:int,part:int>")
-    return both.select("g", F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi"), (F.col("own") <= other).alias("first"), (F.col("own") == other).alias("alone"), "id", "v")
+    group = Window.partitionBy("g")
+    counted = sizes.withColumns({"before": F.sum("parts").over(group.orderBy("cell")) - F.col("parts"), "total": F.sum("parts").over(group)})
+    spans = cut(counted.withColumn("grid", F.greatest(F.least("total", F.lit(GRID)), F.ceil(F.col("total") / MOST_BLOCKS))), "spans")
+    square = lambda number: F.floor((F.col("before") + number) * F.col("grid") / F.col("total")).cast("int")
+    placed = dealt.join(spans, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).withColumn("own", square(F.col("part")))
+    shape = "g string, own int, cell int, part int, targets array<int>, ids binary, single boolean, vs binary"
+    blocks = cut(placed.select("g", "own", "cell", "part", "id", "v", "targets").groupBy("g", "own", "cell", "part").applyInPandas(_packed, shape), "blocks")
+    asked = blocks.select("g", "cell", "part", F.explode("targets").alias("target")).join(spans.select("g", F.col("cell").alias("target"), square(F.lit(0)).alias("low"), square(F.col("parts") - 1).alias("high")), ["g", "target"])
+    others = asked.withColumn("other", F.explode(F.sequence("low", "high"))).groupBy("g", "cell", "part").agg(F.collect_set("other").alias("others"))
+    sent = blocks.join(others, ["g", "cell", "part"]).withColumn("other", F.explode("others"))
+    sides = sent.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"), "cell", "part", "targets", "ids", "single", "vs")
+    return sides.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", F.col("first").desc(), "cell", "part")
+
+
+class _Block:
+    def __init__(self, row: dict):
+        self.ids, self.cell, self.targets = np.frombuffer(row["ids"], np.int64), row["cell"], set(row["targets"])
+        self.x = unit(np.frombuffer(row["vs"], np.float32 if row["single"] else np.float64).astype(np.float64).reshape(len(self.ids), -1))
+        self.at = 0
+
+    def meets(self, other: _Block) -> bool:
+        return self.cell in other.targets and other.cell in self.targets
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Block, _Block]]:
+    """(pair of squares, block, block) of all blocks to compare; a block also meets itself."""
+    now, held, count = None, [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            key = (row["g"], row["lo"], row["hi"])
+            if key != now:
+                now, held, count = key, [], 0
+            block = _Block(row)
+            block.at, count = count, count + len(block.ids)
+            for other in held:
+                if other.meets(block):
+                    yield key, other, block
+            if row["first"]:
+                if row["lo"] == row["hi"]:
+                    yield key, block, block
+                held.append(block)
 
 
 def compared(rows: DataFrame, threshold: float, block: int = BLOCK) -> int:
     """How many pairs of vectors the blocks compare."""
-    sides = meetings(rows, threshold, block).groupBy("g", "lo", "hi").agg(F.count_if("first").alias("l"), F.count_if(~F.col("first")).alias("h"))
-    pairs = F.when(F.col("lo") == F.col("hi"), F.col("l") * (F.col("l") - 1) / 2).otherwise(F.col("l") * F.col("h"))
-    return int(sides.agg(F.sum(pairs)).first()[0] or 0)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in _met(batches):
+            n = len(a.ids)
+            yield pa.RecordBatch.from_pydict({"n": [n * (n - 1) // 2 if a is b else n * len(b.ids)]})
 
-def _met(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of two blocks, in order, and the cosines of the pairs that are to be compared here (others are -9)."""
-    frame = frame.sort_values("id", kind="stable")
-    x = unit(np.stack(frame["v"].to_numpy()))
-    s = x @ x.T
-    first = frame["first"].to_numpy(bool)
-    if not frame["alone"].iloc[0]:
-        s[first[:, None] == first[None, :]] = -9
-    np.fill_diagonal(s, -9)
-    return frame["id"].to_numpy(), s
+    return int(meetings(rows, threshold, block).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def spanning_forest(s: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -184,30 +232,117 @@ def spanning_forest(s: np.ndarray, threshold: float) -> list[tuple[int, int, flo
     return edges
 
 
+PAIR = "a long, b long, similarity double"
+
+
+def _pairs(a, b, similarity) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
+
+
 def pairs(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity) of all pairs of rows(id, v, g) with a < b in one group, of at least threshold."""
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, s = _met(frame)
-        i, j = np.nonzero(np.triu(s >= threshold))
-        keep = ids[i] < ids[j]
-        return pd.DataFrame({"a": ids[i][keep], "b": ids[j][keep], "similarity": s[i, j][keep]})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in _met(batches):
+            s = a.x @ b.x.T
+            i, j = np.nonzero(np.triu(s >= threshold, 1) if a is b else s >= threshold)
+            keep = a.ids[i] != b.ids[j]
+            i, j = i[keep], j[keep]
+            yield _pairs(np.minimum(a.ids[i], b.ids[j]), np.maximum(a.ids[i], b.ids[j]), s[i, j])
+
+    return meetings(rows, threshold, block).mapInArrow(meet, PAIR)
+
 
-    return meetings(rows, threshold, block).groupBy("g", "lo", "hi").applyInPandas(meet, "a long, b long, similarity double")
+def _heaviest(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The heaviest spanning forest of edges; of equals the first pair."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
+            i = root[i]
+        return i
+
+    kept = []
+    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            kept.append((a, b, w))
+    return kept
 
 
 def forest(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity), a < b: for each pair of blocks the heaviest spanning forest of its links, in place of all of them.
+    """(a, b, similarity), a < b: for each pair of squares the heaviest spanning forest of its links, in place of all of them.
 
     Whatever is linked stays so, and the heaviest spanning forest of all links is among these.
     """
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, s = _met(frame)
-        found = [(ids[a], ids[b], w) for a, b, w in spanning_forest(s, threshold) if ids[a] != ids[b]]
-        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    return meetings(rows, threshold, block).groupBy("g", "lo", "hi").applyInPandas(meet, "a long, b long, similarity double")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, edges, most = None, [], MOST_EDGES
+        for key, a, b in _met(batches):
+            if key != now:
+                if edges:
+                    yield _pairs(*zip(*_heaviest(edges)))
+                now, edges, most = key, [], MOST_EDGES
+            ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
+            order = np.argsort(ids, kind="stable")
+            s = np.full((len(ids), len(ids)), -9.0)
+            if a is b:
+                s[:] = a.x @ a.x.T
+            else:
+                s[: len(a.ids), len(a.ids) :] = a.x @ b.x.T
+                s = np.maximum(s, s.T)
+            np.fill_diagonal(s, -9)
+            ids, s = ids[order], s[np.ix_(order, order)]
+            edges += [(int(ids[u]), int(ids[v]), w) for u, v, w in spanning_forest(s, threshold) if ids[u] != ids[v]]
+            if len(edges) > most:
+                edges = _heaviest(edges)
+                most = max(MOST_EDGES, 2 * len(edges))
+        if edges:
+            yield _pairs(*zip(*_heaviest(edges)))
+
+    return meetings(rows, threshold, block).mapInArrow(meet, PAIR)
+
+
+def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """label (the smallest index of each node's part) after nodes left and right are linked."""
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def linked(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(u, v): ids that links join, directly or not; for each pair of squares a row a vector at most. Whatever is linked is joined by these."""
+
+    def ends(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, label, ids = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for key, a, b in _met(batches):
+            if key != now:
+                yield ends(ids, label)
+                now, label, ids = key, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for c in (a, b):
+                if c.at + len(c.ids) > len(label):
+                    label = np.concatenate([label, np.arange(len(label), c.at + len(c.ids))])
+                    ids = np.concatenate([ids, np.zeros(len(label) - len(ids), np.int64)])
+                ids[c.at : c.at + len(c.ids)] = c.ids
+            s = a.x @ b.x.T >= threshold
+            s &= label[a.at : a.at + len(a.ids)][:, None] != label[b.at : b.at + len(b.ids)][None, :]
+            i, j = np.nonzero(s)
+            label = _joined(label, i + a.at, j + b.at)
+        yield ends(ids, label)
+
+    return meetings(rows, threshold, block).mapInArrow(meet, "u long, v long")
 
 
 def heavier(similarity: Column, a: Column, b: Column) -> Column:

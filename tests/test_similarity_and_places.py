@@ -64,6 +64,22 @@ def test_pruned_join_on_anything(spark):
     assert {i: found[i] for i in range(301, 308)} == {301: 301, 302: 302, 303: 303, 304: 304, 305: 305, 306: 306, 307: 306} and 300 not in found
 
 
+def test_a_vector_is_sent_a_fixed_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "GRID", 4)
+    rows = _clustered(np.random.default_rng(3), 4, 150, 0.3)
+    df = similarity.directed(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    sent = similarity.meetings(df, 0.1, block=20).selectExpr("sum(length(ids)) / 8 AS n").first()["n"]
+    assert len(rows) <= sent <= 4 * len(rows)
+    s = _cosines(rows)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.5, 1)))}
+    assert {(r["a"], r["b"]) for r in similarity.pairs(df, 0.5, block=20).collect()} == want
+    for most in (10, 10**6):
+        monkeypatch.setattr(similarity, "MOST_EDGES", most)
+        links = similarity.forest(df, 0.5, block=20).collect()
+        assert {(r["a"], r["b"]) for r in links} <= want and _components(len(rows), [(r["a"], r["b"]) for r in links]) == _components(len(rows), want)
+    assert _components(len(rows), [(r["u"], r["v"]) for r in similarity.linked(df, 0.5, block=20).collect()]) == _components(len(rows), want)
+
+
 def test_spanning_forest_is_the_heaviest():
     rnd = np.random.default_rng(6)
     for _ in range(20):
