@@ -30,26 +30,47 @@ def clusters(df: DataFrame, ident: str, vector: str, threshold: float, within: s
     first = cut(_first_copies(rows), "copies")
     links = similarity.linked(first.select(F.col("first").alias("id"), "v", "g"), threshold, block)
     copies = rows.join(first, ["g", "v"]).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    roots = connected_components(links.unionByName(copies))
+    return _named(df, ident, vector, links.unionByName(copies))
+
+
+def _named(df: DataFrame, ident: str, vector: str, links: DataFrame) -> DataFrame:
+    """(id, cluster) for every row of df with a vector, by links(u, v)."""
     every = df.where(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"))
-    return every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+    return every.join(connected_components(links), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+
+
+def heaviest_links(df: DataFrame, ident: str, vector: str, threshold: float, within: str | None = None, block: int = similarity.BLOCK) -> DataFrame:
+    """(a, b, similarity), a < b: links that hold the heaviest spanning forest of all, similarities rounded, of equals the first pair of ids.
+
+    Equal vectors are compared as one. Each is linked to its first copy, and to a smaller id that is linked to the first copy by as much as copies are.
+    """
+    rows = cut(similarity.directed(df, ident, vector, within), "directed")
+    first = cut(_first_copies(rows), "copies")
+    links = cut(similarity.forest(first.select(F.col("first").alias("id"), "v", "g"), threshold, block), "links")
+    copies = cut(rows.join(first, ["g", "v"]).where("id != first").select(F.col("first").alias("b"), F.col("id").alias("copy")), "copies")
+    tied = links.where("similarity = 1").join(copies, "b").select("a", F.col("copy").alias("b"), "similarity")
+    return cut(links.unionByName(copies.select(F.col("b").alias("a"), F.col("copy").alias("b"), F.lit(1.0).alias("similarity"))).unionByName(tied), "links", replaces=links)
+
 
+def clusters_of(df: DataFrame, ident: str, vector: str, links: DataFrame) -> DataFrame:
+    """(id, cluster) as clusters gives it, by a result of heaviest_links for df."""
+    return _named(df, ident, vector, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-def constrained_clusters(df: DataFrame, ident: str, vector: str, threshold: float, pins: DataFrame, within: str | None = None, block: int = similarity.BLOCK) -> DataFrame:
+
+def constrained_clusters(
+    df: DataFrame, ident: str, vector: str, threshold: float, pins: DataFrame, within: str | None = None, block: int = similarity.BLOCK, links: DataFrame | None = None
+) -> DataFrame:
     """(id, cluster, pin): single linkage that keeps what was decided by hand, for every id with a vector or a pin.
 
     pins(id, pin) names the group that an id was put into (of several the smallest counts). Ids of one group stay together, ids of
     different groups apart, however similar; all others follow the links, the most similar first (of equals the
     first pair of ids), unless a link would join two groups. So what a pass gives can be the next pass's pins and comes out again.
+    Several passes can share their ``links``, a result of heaviest_links for df.
 
     That is the heaviest spanning forest with a root for each group. It grows in rounds: each part without a pin takes
     its best link to another part, which halves their number.
     """
-    rows = cut(similarity.directed(df, ident, vector, within), "directed")
-    first = cut(_first_copies(rows), "copies")
-    links = similarity.forest(first.select(F.col("first").alias("id"), "v", "g"), threshold, block)
-    copies = rows.join(first, ["g", "v"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    edges = cut(links.unionByName(copies).where("a != b"), "links")
+    edges, spent = links if links is not None else heaviest_links(df, ident, vector, threshold, within, block), None
     held = pins.where("id is not null and pin is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min("pin").alias("pin"))
     together = held.groupBy("pin").agg(F.min("id").alias("part"))
     every = df.where(F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id")).union(held.select("id")).distinct()
@@ -57,7 +78,7 @@ def constrained_clusters(df: DataFrame, ident: str, vector: str, threshold: floa
     while True:
         end = lambda e: parts.select(F.col("id").alias(e), F.col("part").alias(f"p{e}"), F.col("pin").alias(f"pin{e}"))  # noqa: E731, B023
         apart = edges.join(end("a"), "a").join(end("b"), "b").where("pa != pb and (pina is null or pinb is null)")
-        edges_left = cut(apart, "links", replaces=edges)
+        edges_left = cut(apart, "links", replaces=spent)
         if edges_left.isEmpty():
             break
         order = similarity.heavier(F.col("similarity"), F.col("a"), F.col("b"))
@@ -67,7 +88,7 @@ def constrained_clusters(df: DataFrame, ident: str, vector: str, threshold: floa
         named = parts.join(roots.withColumnRenamed("id", "part"), "part", "left").select("id", F.coalesce("root", "part").alias("part"), "pin")
         known = named.where("pin is not null").groupBy("part").agg(F.min("pin").alias("its"))
         parts = cut(named.join(known, "part", "left").select("id", "part", F.coalesce("pin", "its").alias("pin")), "parts", replaces=parts)
-        edges = edges_left.select("a", "b", "similarity")
+        edges, spent = edges_left.select("a", "b", "similarity"), edges_left
     name = parts.groupBy("part").agg(F.min("id").alias("cluster"))
     return parts.join(name, "part").select("id", "cluster", "pin")
 

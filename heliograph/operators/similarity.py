@@ -27,8 +27,11 @@ BLOCK = 1024
 #: Squares that a group's blocks lie in; two squares meet in one task, which holds one of them. Blocks of a square at most.
 GRID = 24
 MOST_BLOCKS = 256
-#: Edges that a task gathers before it keeps their heaviest forest.
+#: Edges that a task gathers before it keeps their heaviest forest, and the heights of a forest at which its parts are known.
 MOST_EDGES = 500_000
+LEVELS = 32
+#: Pairs of two blocks from which a whole matrix product is cheaper than a product a pair.
+MANY = 4096
 MOST_PIVOTS = 256
 #: Vectors that the pivots are chosen from.
 SAMPLE = 4096
@@ -174,6 +177,7 @@ class _Block:
     def __init__(self, row: dict):
         self.ids, self.cell, self.targets = np.frombuffer(row["ids"], np.int64), row["cell"], set(row["targets"])
         self.x = unit(np.frombuffer(row["vs"], np.float32 if row["single"] else np.float64).astype(np.float64).reshape(len(self.ids), -1))
+        self.short = self.x.astype(np.float32)
         self.at = 0
 
     def meets(self, other: _Block) -> bool:
@@ -200,6 +204,18 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Block, _Bl
                 held.append(block)
 
 
+def _close(a: _Block, b: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, cosines) of the pairs of at least threshold; of a block with itself each pair once.
+
+    Single numbers tell which pairs can reach the threshold, by a bound on their rounding; these are computed in double precision.
+    """
+    near = a.short @ b.short.T >= threshold - (a.x.shape[1] + 4) * 2.0**-23
+    i, j = np.divmod(np.flatnonzero(np.triu(near, 1) if a is b else near), len(b.ids))
+    s = np.einsum("ij,ij->i", a.x[i], b.x[j]) if len(i) < MANY else (a.x @ b.x.T)[i, j]
+    keep = s >= threshold
+    return i[keep], j[keep], s[keep]
+
+
 def compared(rows: DataFrame, threshold: float, block: int = BLOCK) -> int:
     """How many pairs of vectors the blocks compare."""
 
@@ -211,27 +227,6 @@ def compared(rows: DataFrame, threshold: float, block: int = BLOCK) -> int:
     return int(meetings(rows, threshold, block).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
-def spanning_forest(s: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """The edges of the heaviest spanning forest of the pairs of at least threshold; of equals the first pair in order."""
-    linked = np.flatnonzero((s >= threshold).any(1))
-    s = s[np.ix_(linked, linked)]
-    s = np.where(s >= threshold, np.round(s, DECIMALS), -9)
-    m = len(linked)
-    open_, best, key, parent, at = np.ones(m, bool), np.full(m, -9.0), np.full(m, m * m), np.zeros(m, int), np.arange(m)
-    edges = []
-    for _ in range(m):
-        top = best[open_].max()
-        some = np.flatnonzero(open_ & (best == top))
-        u = int(some[key[some].argmin()])
-        if top > -9:
-            edges.append((int(linked[min(u, parent[u])]), int(linked[max(u, parent[u])]), float(top)))
-        open_[u] = False
-        row, k = s[u], np.where(at < u, at * m + u, u * m + at)
-        better = open_ & (row > -9) & ((row > best) | ((row == best) & (k < key)))
-        best[better], key[better], parent[better] = row[better], k[better], u
-    return edges
-
-
 PAIR = "a long, b long, similarity double"
 
 
@@ -244,32 +239,108 @@ def pairs(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, a, b in _met(batches):
-            s = a.x @ b.x.T
-            i, j = np.nonzero(np.triu(s >= threshold, 1) if a is b else s >= threshold)
+            i, j, s = _close(a, b, threshold)
             keep = a.ids[i] != b.ids[j]
-            i, j = i[keep], j[keep]
-            yield _pairs(np.minimum(a.ids[i], b.ids[j]), np.maximum(a.ids[i], b.ids[j]), s[i, j])
+            u, v = a.ids[i[keep]], b.ids[j[keep]]
+            yield _pairs(np.minimum(u, v), np.maximum(u, v), s[keep])
 
     return meetings(rows, threshold, block).mapInArrow(meet, PAIR)
 
 
-def _heaviest(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """The heaviest spanning forest of edges; of equals the first pair."""
-    root: dict[int, int] = {}
+def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """label (the smallest index of each node's part) after nodes left and right are linked."""
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def heaviest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The heaviest spanning forest of edges (a, b, w), a < b, the heaviest first; of equals the first pair in order.
+
+    It grows in rounds: each part takes its best edge to another part.
+    """
+    order = np.lexsort((b, a, -w))
+    a, b, w = a[order], b[order], w[order]
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label, kept, left = np.arange(len(nodes)), np.zeros(len(a), bool), np.arange(len(a))
+    while True:
+        x, y = label[u[left]], label[v[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return a[kept], b[kept], w[kept]
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        taken = best[best < len(a)]
+        kept[taken] = True
+        label = _joined(label, u[taken], v[taken])
+
 
-    def find(i: int) -> int:
-        while (up := root.setdefault(i, i)) != i:
-            root[i] = root[up]
-            i = root[i]
-        return i
+def spanning_forest(s: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """The edges of the heaviest spanning forest of the pairs of at least threshold; of equals the first pair in order."""
+    i, j = np.nonzero(np.triu(s >= threshold, 1))
+    return list(zip(*(c.tolist() for c in heaviest(i, j, np.round(s[i, j], DECIMALS)))))
 
-    kept = []
-    for a, b, w in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            kept.append((a, b, w))
-    return kept
+
+class _Forest:
+    """The heaviest spanning forest of the edges added, of which about ``most``, or twice the forest's, are held.
+
+    An edge is left out at once if edges that come before it join its ends; the parts of the forest are known after LEVELS shares of its edges.
+    """
+
+    def __init__(self, most: int):
+        self.edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.least, self.most, self.nodes = 0, most, most, None
+
+    def add(self, a: _Block, b: _Block, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> None:
+        u, v = a.ids[i], b.ids[j]
+        x, y, w = np.minimum(u, v), np.maximum(u, v), np.round(s, DECIMALS)
+        keep = u != v
+        if self.nodes is not None and len(i):
+            level = self._level(x, y, w)
+            keep &= self.parts[level, self._place(a.ids, 0)[i]] != self.parts[level, self._place(b.ids, 1)[j]]
+        if keep.any():
+            self.edges.append((x[keep], y[keep], w[keep]))
+            self.held += int(keep.sum())
+        if self.held > self.most:
+            self._shrink()
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return heaviest(*(np.concatenate(c) for c in zip(*self.edges))) if self.edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _shrink(self) -> None:
+        a, b, w = self.forest()
+        self.edges, self.held, self.most = [(a, b, w)], len(a), max(self.least, 2 * len(a))
+        self.nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label, n = np.arange(len(self.nodes)), len(self.nodes)
+        stops = np.unique(np.linspace(0, len(a), LEVELS + 1).astype(int)[1:])
+        stops = stops[stops > 0]
+        self.parts = np.empty((len(stops) + 1, n + 2), np.int64)
+        self.parts[:, n:] = -1, -2  # of ids that no edge has yet
+        self.parts[0, :n] = label
+        for at, (start, stop) in enumerate(zip([0, *stops], stops), 1):
+            label = _joined(label, ends[start:stop], ends[len(a) + start : len(a) + stop])
+            self.parts[at, :n] = label
+        self.last = a[stops - 1], b[stops - 1], w[stops - 1]
+
+    def _place(self, ids: np.ndarray, missing: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.nodes, ids), len(self.nodes) - 1)
+        return np.where(self.nodes[at] == ids, at, len(self.nodes) + missing)
+
+    def _level(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A number of levels of which all edges come before (x, y, w)."""
+        a, b, least = self.last
+        level, tied = np.searchsorted(-least, -w), np.searchsorted(-least, -w, side="right")
+        at = tied - 1
+        return np.where((tied > level) & ((a[at] < x) | ((a[at] == x) & (b[at] < y))), tied, level)
 
 
 def forest(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -279,45 +350,17 @@ def forest(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, edges, most = None, [], MOST_EDGES
+        now, found = None, _Forest(MOST_EDGES)
         for key, a, b in _met(batches):
             if key != now:
-                if edges:
-                    yield _pairs(*zip(*_heaviest(edges)))
-                now, edges, most = key, [], MOST_EDGES
-            ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
-            order = np.argsort(ids, kind="stable")
-            s = np.full((len(ids), len(ids)), -9.0)
-            if a is b:
-                s[:] = a.x @ a.x.T
-            else:
-                s[: len(a.ids), len(a.ids) :] = a.x @ b.x.T
-                s = np.maximum(s, s.T)
-            np.fill_diagonal(s, -9)
-            ids, s = ids[order], s[np.ix_(order, order)]
-            edges += [(int(ids[u]), int(ids[v]), w) for u, v, w in spanning_forest(s, threshold) if ids[u] != ids[v]]
-            if len(edges) > most:
-                edges = _heaviest(edges)
-                most = max(MOST_EDGES, 2 * len(edges))
-        if edges:
-            yield _pairs(*zip(*_heaviest(edges)))
+                yield _pairs(*found.forest())
+                now, found = key, _Forest(MOST_EDGES)
+            found.add(a, b, *_close(a, b, threshold))
+        yield _pairs(*found.forest())
 
     return meetings(rows, threshold, block).mapInArrow(meet, PAIR)
 
 
-def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """label (the smallest index of each node's part) after nodes left and right are linked."""
-    while True:
-        a, b = label[left], label[right]
-        apart = a != b
-        if not apart.any():
-            return label
-        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def linked(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(u, v): ids that links join, directly or not; for each pair of squares a row a vector at most. Whatever is linked is joined by these."""
 
@@ -336,9 +379,7 @@ def linked(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
                     label = np.concatenate([label, np.arange(len(label), c.at + len(c.ids))])
                     ids = np.concatenate([ids, np.zeros(len(label) - len(ids), np.int64)])
                 ids[c.at : c.at + len(c.ids)] = c.ids
-            s = a.x @ b.x.T >= threshold
-            s &= label[a.at : a.at + len(a.ids)][:, None] != label[b.at : b.at + len(b.ids)][None, :]
-            i, j = np.nonzero(s)
+            i, j, _ = _close(a, b, threshold)
             label = _joined(label, i + a.at, j + b.at)
         yield ends(ids, label)
 

@@ -156,6 +156,7 @@ def species_clusters(spark, sf_dir):
 def split_kept_clusters(spark, sf_dir):
     """A second pass over clusters of which some members were split by hand: the split stays, the others follow their links."""
     vectors = load(spark, sf_dir, "embeddings")
-    first = clustering.clusters(vectors, "vec_id", "embedding", FACE)
+    links = clustering.heaviest_links(vectors, "vec_id", "embedding", FACE)
+    first = clustering.clusters_of(vectors, "vec_id", "embedding", links)
     pins = cut(first.where("id % 4 < 2").select("id", (F.col("cluster") * 2 + F.col("id") % 2).alias("pin")), "pins")
-    return clustering.constrained_clusters(vectors, "vec_id", "embedding", FACE, pins)
+    return clustering.constrained_clusters(vectors, "vec_id", "embedding", FACE, pins, links=links)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliograph.operators import boxes, clustering, geocode, similarity
+from heliograph.plans import vectors
 
 
 def _clustered(rnd, groups, each, spread, size=16):
@@ -135,6 +136,45 @@ def test_decisions_survive_passes(spark):
     assert {r["id"]: (r["cluster"], r["pin"]) for r in joined.collect()} == {0: (0, 1), 31: (0, 1), 99: (0, 1)}
 
 
+def test_copies_follow_the_first_of_equal_links(spark):
+    rnd = np.random.default_rng(2)
+    axes = np.linalg.qr(rnd.normal(size=(3, 3)))[0]
+    rows = [(i, [float(c) * int(scale) for c in axes[axis]]) for i, (axis, scale) in enumerate(zip(rnd.integers(0, 3, 48), rnd.integers(1, 4, 48)))]
+    pins = {int(i): k % 7 for k, i in enumerate(rnd.permutation(48)[:20])}
+    df, table = spark.createDataFrame(rows, "id long, v array<double>"), spark.createDataFrame([*pins.items()], "id long, pin long")
+    s = np.round(_cosines(rows), similarity.DECIMALS)
+    want = _kept_apart(48, sorted((-s[i, j], i, j) for i in range(48) for j in range(i + 1, 48) if s[i, j] >= 0.7), pins)
+    got = clustering.constrained_clusters(df, "id", "v", 0.7, table, block=5).collect()
+    assert {r["id"]: (r["cluster"], r["pin"]) for r in got} == want
+
+
+def test_two_passes_compare_once(spark, monkeypatch):
+    compared, meetings = [], similarity.meetings
+    monkeypatch.setattr(similarity, "meetings", lambda *a: compared.append(1) or meetings(*a))
+    assert vectors.split_kept_clusters(spark, "/root/testdata/sf0.001").count() == 500 and len(compared) == 1
+
+
+@pytest.mark.parametrize("spread", [100, 0.3, 1e-12])  # few links, many, all equal
+@pytest.mark.parametrize("most", [10, 300])
+def test_links_that_join_nothing_new_are_not_held(spread, most):
+    rnd = np.random.default_rng(5)
+    x, ids = 1 + rnd.normal(size=(240, 4)) * spread, rnd.permutation(240)
+    row = lambda k: {"ids": ids[k : k + 40].tobytes(), "single": False, "vs": x[k : k + 40].tobytes(), "cell": 0, "targets": [0]}
+    parts, found, links = [similarity._Block(row(k)) for k in range(0, 240, 40)], similarity._Forest(most), {}
+    for at, a in enumerate(parts):
+        for b in parts[at:]:
+            i, j, s = similarity._close(a, b, 0.3)
+            found.add(a, b, i, j, s)
+            links |= {(min(p), max(p)): w for *p, w in zip(a.ids[i].tolist(), b.ids[j].tolist(), np.round(s, similarity.DECIMALS).tolist())}
+            assert found.held <= max(most, 2 * 239)
+    root, want = list(range(240)), []
+    for (i, j), w in sorted(links.items(), key=lambda e: (-e[1], e[0])):
+        if root[i] != root[j]:
+            want.append((i, j, w))
+            root = [root[i] if r == root[j] else r for r in root]
+    assert sorted(zip(*(c.tolist() for c in found.forest()))) == sorted(want)
+
+
 # --- boxes
 
 
