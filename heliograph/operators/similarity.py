@@ -185,7 +185,7 @@ class _Block:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Block, _Block]]:
-    """(pair of squares, block, block) of all blocks to compare; a block also meets itself."""
+    """(pair of squares, block, block) of all blocks to compare, once each; blocks of one square meet where it meets itself, and each itself."""
     now, held, count = None, [], 0
     for batch in batches:
         for i in range(batch.num_rows):
@@ -195,9 +195,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Block, _Bl
                 now, held, count = key, [], 0
             block = _Block(row)
             block.at, count = count, count + len(block.ids)
-            for other in held:
-                if other.meets(block):
-                    yield key, other, block
+            if not row["first"] or row["lo"] == row["hi"]:
+                for other in held:
+                    if other.meets(block):
+                        yield key, other, block
             if row["first"]:
                 if row["lo"] == row["hi"]:
                     yield key, block, block

@@ -154,6 +154,16 @@ def test_two_passes_compare_once(spark, monkeypatch):
     assert vectors.split_kept_clusters(spark, "/root/testdata/sf0.001").count() == 500 and len(compared) == 1
 
 
+def test_blocks_of_one_square_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "GRID", 3)
+    rows = _clustered(np.random.default_rng(12), 4, 60, 0.3)
+    df = similarity.directed(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    s = _cosines(rows)
+    got = [(r["a"], r["b"]) for r in similarity.pairs(df, 0.3, block=20).collect()]
+    assert sorted(got) == [(i, j) for i, j in zip(*(c.tolist() for c in np.nonzero(np.triu(s >= 0.3, 1))))]
+    assert similarity.compared(df, -1.0, block=20) == len(rows) * (len(rows) - 1) // 2
+
+
 @pytest.mark.parametrize("spread", [100, 0.3, 1e-12])  # few links, many, all equal
 @pytest.mark.parametrize("most", [10, 300])
 def test_links_that_join_nothing_new_are_not_held(spread, most):
